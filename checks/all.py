@@ -1,3 +1,3 @@
 """Import every case module."""
 
-from . import cases_core  # noqa: F401
+from . import cases_core, cases_us  # noqa: F401
