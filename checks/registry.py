@@ -17,6 +17,15 @@ from realcurve.plans.panel import Panel
 from .ctes import expand
 
 CASES: dict[str, "Case"] = {}
+_PANELS: dict[tuple[str, str], Panel] = {}
+
+
+def panel(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Panel:
+    """The panel of a folder; queries of one application share its landed calendar-sized tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if fresh or key not in _PANELS:
+        _PANELS[key] = Panel(spark, sf_dir)
+    return _PANELS[key]
 
 
 @dataclass(frozen=True)
@@ -26,8 +35,8 @@ class Case:
     build: Callable[[Panel], DataFrame]
     sql: str | None
 
-    def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shaped(self.build(Panel(spark, sf_dir)), self.spec)
+    def spark(self, spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
+        return shaped(self.build(panel(spark, sf_dir, fresh)), self.spec)
 
     def oracle(self) -> str | None:
         if self.sql is None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.daycount import month_start
 from ..functions.ordered import asof
+from ..session import unsettled
 from . import calendars
 
 MIN_REAL_AUCTION = 1e9  # fixed value: smaller sizes are contingency tests
@@ -75,19 +76,20 @@ def roll_nominal_boundary(issues: DataFrame, linked_rolls: DataFrame) -> DataFra
     return hit.where(F.col("bond_id").isNotNull()).select(*KEY, "eff", "issue_date", "bond_id", "maturity_date")
 
 
-def roll_nominal_matched(issues: DataFrame, linked_rolls: DataFrame, tenor: str = "10y") -> DataFrame:
+def roll_nominal_matched(issues: DataFrame, linked_rolls: DataFrame, tenor: str = "10y", settle=unsettled) -> DataFrame:
     """Each month: the issued nominal nearest in maturity to the on-the-run linked bond.
 
     The smallest gap on or after the target wins, else the smallest before it; equal gaps go to the
     latest issue. Candidates are kept per (month, maturity), so a month sees one row per maturity
-    day and both directions are as-of lookups rather than pairs.
+    day and both directions are as-of lookups rather than pairs. ``settle`` lands the month-sized
+    steps that are read more than once.
     """
     rolls = collapse_rolls(linked_rolls.where(F.col("tenor") == tenor))
-    targets = rolls.groupBy("tenor", month_start(F.col("eff")).alias("month")).agg(
+    targets = settle(rolls.groupBy("tenor", month_start(F.col("eff")).alias("month")).agg(
         F.max(F.struct("eff", "maturity_date")).alias("r")
-    ).select("tenor", "month", F.col("r.eff").alias("roll_day"), F.col("r.maturity_date").alias("target"))
+    ).select("tenor", "month", F.col("r.eff").alias("roll_day"), F.col("r.maturity_date").alias("target")))
     pool = latest_per_issue_day(issues.where((F.col("leg") == "nominal") & (F.col("tenor") == tenor)))
-    pool = pool.groupBy("tenor", "issue_date", "maturity_date").agg(F.max("bond_id").alias("bond_id"))
+    pool = settle(pool.groupBy("tenor", "issue_date", "maturity_date").agg(F.max("bond_id").alias("bond_id")))
     ends = pool.groupBy("tenor").agg(F.max("issue_date").alias("last_issue")).join(
         targets.groupBy("tenor").agg(F.min("month").alias("lo"), F.max("month").alias("last_roll")), "tenor"
     )
@@ -97,11 +99,11 @@ def roll_nominal_matched(issues: DataFrame, linked_rolls: DataFrame, tenor: str
     grid = calendars.months_between_bounds(ends.withColumn("hi", hi), "lo", "hi").select("tenor", "month")
     held = asof(grid, targets, ["tenor"], "month", ["target"])
     cut = targets.select("tenor", "month", "roll_day")
-    months = held.join(cut, ["tenor", "month"], "left").withColumn("cutoff", F.coalesce("roll_day", "month"))
+    months = settle(held.join(cut, ["tenor", "month"], "left").withColumn("cutoff", F.coalesce("roll_day", "month")))
     offered = calendars.months_between_bounds(pool.join(ends.select("tenor", hi.alias("hi")), "tenor"), "issue_date", "hi")
     alive = offered.join(months.select("tenor", "month", "cutoff"), ["tenor", "month"]).where(F.col("issue_date") <= F.col("cutoff"))
     by_maturity = alive.groupBy("tenor", "month", "maturity_date").agg(F.max(F.struct("issue_date", "bond_id")).alias("p"))
-    right = by_maturity.select("tenor", "month", F.col("maturity_date").alias("at"), "maturity_date", "p")
+    right = settle(by_maturity.select("tenor", "month", F.col("maturity_date").alias("at"), "maturity_date", "p"))
     left = months.withColumn("at", F.col("target"))
     after = asof(left, right, ["tenor", "month"], "at", ["maturity_date", "p"], "forward").withColumnsRenamed({"maturity_date": "m_after", "p": "p_after"})
     both = asof(after, right, ["tenor", "month"], "at", ["maturity_date", "p"], "backward")
@@ -120,15 +122,19 @@ def collapse_rolls(rolls: DataFrame) -> DataFrame:
     return daily.withColumn("__p", previous).where(F.col("__p").isNull() | (F.col("__p") != F.col("bond_id"))).drop("__p")
 
 
-def roll_schedule(auctions: DataFrame, calendar: DataFrame, matched_tenors=("10y",), cal_id: str = "US") -> DataFrame:
-    """All roll events of both legs and every tenor."""
-    issues = new_issues(auctions)
-    linked = roll_linked(issues, calendar, cal_id)
+def roll_schedule(auctions: DataFrame, calendar: DataFrame, matched_tenors=("10y",), cal_id: str = "US", settle=unsettled) -> DataFrame:
+    """All roll events of both legs and every tenor.
+
+    The steps below are read several times and hold at most one row per leg, tenor and issue day, so
+    ``settle`` may land them.
+    """
+    issues = settle(latest_per_issue_day(new_issues(auctions)))
+    linked = settle(roll_linked(issues, calendar, cal_id))
     collapsed = collapse_rolls(linked)
     boundary = roll_nominal_boundary(issues, collapsed.where(~F.col("tenor").isin(*matched_tenors)))
     events = linked.unionByName(boundary)
     for tenor in matched_tenors:
-        events = events.unionByName(roll_nominal_matched(issues, linked, tenor))
+        events = events.unionByName(roll_nominal_matched(issues, linked, tenor, settle))
     return collapse_rolls(events)
 
 

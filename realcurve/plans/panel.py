@@ -1,7 +1,8 @@
 """All derived frames of one data folder, each a lazy plan built on first use.
 
-Nothing here runs a job. A frame that several queries share is only shared as a plan; the engine
-reuses equal exchanges inside a query.
+Frames bounded by the calendar (series, day dimensions, rolls, tenor and bucket days) are landed as
+small tables in the shared checkpoint folder when first used, because later steps read them several
+times; frames that grow with the number of bonds or quotes stay lazy.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Landing
 from ..operators import cmt, futures as fut, hedge, issuance, pairs, refindex, rolls, seasonal, walk
 from ..operators.calendars import trading_calendar
 from ..sources import conventions as cv
@@ -26,6 +28,7 @@ class Panel:
 
     def __init__(self, spark: SparkSession, sf_dir: str, emit_from: str = EMIT_FROM, as_of: str = AS_OF):
         self.spark, self.sf_dir, self.emit_from, self.as_of = spark, sf_dir, emit_from, as_of
+        self.land = Landing(spark)
 
     # ---- landed tables
     @cached_property
@@ -38,8 +41,8 @@ class Panel:
 
     @cached_property
     def series(self) -> DataFrame:
-        # days times a dozen series; read by every curve, index and calendar, so kept after the first scan
-        return src.series(self.spark, self.sf_dir).persist()
+        # days times a dozen series; read by every curve, index and calendar, so landed after one scan
+        return self.land(src.series(self.spark, self.sf_dir))
 
     @cached_property
     def auctions(self) -> DataFrame:
@@ -67,18 +70,22 @@ class Panel:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return trading_calendar(self.series).persist()
+        return self.land(trading_calendar(self.series))
 
     # ---- pricing and per-bond walk
-    def _days(self, domestic: bool) -> DataFrame:
-        mine = F.col("conv_id").startswith("US_")
-        return refindex.market_days(self.conv.where(mine if domestic else ~mine), self.series, self.calendar)
+    @cached_property
+    def _domestic_days(self) -> DataFrame:
+        return self.land(refindex.market_days(self.conv.where(F.col("conv_id").startswith("US_")), self.series, self.calendar))
+
+    @cached_property
+    def _foreign_days(self) -> DataFrame:
+        return self.land(refindex.market_days(self.conv.where(~F.col("conv_id").startswith("US_")), self.series, self.calendar))
 
     def metrics(self, only: DataFrame | None = None, domestic: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
         """Quotes valued at settlement; ``only`` prunes the raw scan to the bonds wanted."""
         q = src.raw_quotes(self.spark, self.sf_dir, only)
         key = "us_conv_id" if domestic else "conv_id"
-        return walk.value_quotes(q, walk.bond_rules(self.bonds, self.conv, self.series, key, keep), self._days(domestic))
+        return walk.value_quotes(q, walk.bond_rules(self.bonds, self.conv, self.series, key, keep), self._domestic_days if domestic else self._foreign_days)
 
     @cached_property
     def bond_returns(self) -> DataFrame:
@@ -98,7 +105,7 @@ class Panel:
 
     @cached_property
     def rolls(self) -> DataFrame:
-        return rolls.roll_schedule(self.auctions, self.calendar)
+        return self.land(rolls.roll_schedule(self.auctions, self.calendar, settle=self.land))
 
     @cached_property
     def issue_days(self) -> DataFrame:
@@ -106,28 +113,28 @@ class Panel:
 
     @cached_property
     def spans(self) -> DataFrame:
-        return rolls.roll_effective(self.rolls, self.issue_days, self.calendar)
+        return self.land(rolls.roll_effective(self.rolls, self.issue_days, self.calendar))
 
     @cached_property
     def legs(self) -> DataFrame:
         held = self.spans.select("bond_id").distinct()
-        return walk.leg_walk(self.metrics(only=F.broadcast(held), domestic=True), self.spans, self.emit_from)
+        return self.land(walk.leg_walk(self.metrics(only=F.broadcast(held), domestic=True), self.spans, self.emit_from))
 
     @cached_property
     def tenors(self) -> DataFrame:
-        return walk.tenor_returns(self.legs)
+        return self.land(walk.tenor_returns(self.legs))
 
     @cached_property
     def anchors(self) -> DataFrame:
-        return seasonal.month_anchors(seasonal.monthly_anchor(self.auctions, self.emit_from), self.calendar)
+        return self.land(seasonal.month_anchors(seasonal.monthly_anchor(self.auctions, self.emit_from), self.calendar))
 
     @cached_property
     def gasoline(self) -> DataFrame:
-        return fut.futures_splice_month(self.futures, self.calendar, emit_from=self.emit_from)
+        return self.land(fut.futures_splice_month(self.futures, self.calendar, emit_from=self.emit_from))
 
     @cached_property
     def crude(self) -> DataFrame:
-        return fut.futures_splice_ticker(self.futures, self.calendar, emit_from=self.emit_from)
+        return self.land(fut.futures_splice_ticker(self.futures, self.calendar, emit_from=self.emit_from))
 
     @cached_property
     def gas_days(self) -> DataFrame:
@@ -135,19 +142,19 @@ class Panel:
 
     @cached_property
     def seasonal(self) -> DataFrame:
-        return seasonal.seasonal_table(self.tenors, self.anchors, self.gas_days)
+        return self.land(seasonal.seasonal_table(self.tenors, self.anchors, self.gas_days))
 
     @cached_property
     def pairs_gas(self) -> DataFrame:
-        return hedge.aligned_pairs(self.tenors, self.gasoline, ["tenor"])
+        return self.land(hedge.aligned_pairs(self.tenors, self.gasoline, ["tenor"]))
 
     @cached_property
     def pairs_crude(self) -> DataFrame:
-        return hedge.aligned_pairs(self.tenors, self.crude, ["tenor"])
+        return self.land(hedge.aligned_pairs(self.tenors, self.crude, ["tenor"]))
 
     @cached_property
     def leg_betas(self) -> DataFrame:
-        return hedge.walk_forward_leg_betas(self.pairs_gas, ["tenor"])
+        return self.land(hedge.walk_forward_leg_betas(self.pairs_gas, ["tenor"]))
 
     @cached_property
     def hedge_2y(self) -> DataFrame:
@@ -172,7 +179,7 @@ class Panel:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return cmt.holdings(self.held, self.pool)
+        return self.land(cmt.holdings(self.held, self.pool))
 
     @cached_property
     def tagged(self) -> DataFrame:
@@ -181,8 +188,8 @@ class Panel:
     @cached_property
     def buckets(self) -> DataFrame:
         returns = self.returns_of(cmt.needed_bonds(self.matched))
-        return cmt.bucket_series(returns, self.matched, self.tagged)
+        return self.land(cmt.bucket_series(returns, self.matched, self.tagged))
 
     @cached_property
     def pairs_buckets(self) -> DataFrame:
-        return hedge.aligned_pairs(self.buckets, self.crude, ["market", "bucket"])
+        return self.land(hedge.aligned_pairs(self.buckets, self.crude, ["market", "bucket"]))

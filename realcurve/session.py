@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, app: str = "realcurve") -> SparkSession:
@@ -37,3 +38,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="realcurve-"))
         current = sc.getCheckpointDir()
     return current
+
+
+class Landing:
+    """Writes small intermediate tables to the shared checkpoint folder and reads them back.
+
+    A written table cuts the lineage, survives lost executors and gives the optimizer its true size.
+    Meant for frames bounded by the calendar that later steps read several times.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/realcurve-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def unsettled(df: DataFrame) -> DataFrame:
+    """The default of operators that accept a landing step: leave the plan as it is."""
+    return df
