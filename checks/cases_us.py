@@ -135,8 +135,8 @@ case("slice_cumulative", "tenor month:d slice:4 cum:3", lambda p: seasonal.slice
 case("perf_metrics_slice", "tenor n:i total:3 mean:4 vol:4 sharpe:4 max_drawdown:3", lambda p: stats.perf_metrics_slice(seasonal.slice_cumulative(_be(p), (2, 3)), ["tenor"], "month", "slice"),
      f"""WITH c AS (SELECT *, sum(slice) OVER (PARTITION BY tenor ORDER BY month) AS cum FROM {_SL}),
      d AS (SELECT *, max(cum) OVER (PARTITION BY tenor ORDER BY month) - cum AS dd FROM c),
-     a AS (SELECT tenor, count(*) AS n, sum(slice) AS total, avg(slice) AS mean, stddev_samp(slice) AS vol, max(dd) AS max_drawdown, date_diff('month', min(month), max(month)) / 12.0 AS yrs FROM d GROUP BY 1)
-     SELECT *, mean / vol * sqrt(n / yrs) AS sharpe FROM a""")
+     a AS (SELECT tenor, count(*) AS n, sum(slice) AS total, avg(slice) AS mean, coalesce(stddev_samp(slice), 0) AS vol, max(dd) AS max_drawdown, date_diff('month', min(month), max(month)) / 12.0 AS yrs FROM d GROUP BY 1)
+     SELECT *, CASE WHEN vol > 0 THEN mean / vol * sqrt(n / yrs) ELSE 0.0 END AS sharpe FROM a""")
 case("drawdown", "tenor date:d drawdown:3", lambda p: ordered.drawdown(p.tenors.where("cum_be_bp IS NOT NULL"), ["tenor"], "date", "cum_be_bp"),
      "SELECT tenor, date, max(cum_be_bp) OVER (PARTITION BY tenor ORDER BY date) - cum_be_bp AS drawdown FROM tenor_rets WHERE cum_be_bp IS NOT NULL")
 _ES = """(WITH n AS (SELECT tenor, date, r_be_bp AS v, row_number() OVER (PARTITION BY tenor ORDER BY date) AS pos FROM tenor_rets),

@@ -45,13 +45,14 @@ class Case:
 
 
 def _sql(c: str, kind: str) -> str:
+    name = f'"{c}"'
     if kind == "d":
-        return f"CAST({c} AS VARCHAR) AS {c}"
+        return f"CAST({name} AS VARCHAR) AS {name}"
     if kind == "i":
-        return f"CAST({c} AS BIGINT) AS {c}"
+        return f"CAST({name} AS BIGINT) AS {name}"
     if kind:
-        return f"round(CAST({c} AS DOUBLE), {kind}) + 0.0 AS {c}"
-    return c
+        return f"round(CAST({name} AS DOUBLE), {kind}) + 0.0 AS {name}"
+    return name
 
 
 def shaped(df: DataFrame, spec) -> DataFrame:

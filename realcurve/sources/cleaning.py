@@ -205,28 +205,42 @@ TAP_COLUMNS = {"isin": "string", "event_date": "date", "settle_date": "date", "e
                "yield": "double", "reopening": "boolean"}  # fixed values: the canonical columns
 
 
-def scan_tap_files(spark: SparkSession, folder: str, markets: DataFrame) -> DataFrame:
-    """A folder of tap CSVs: country from the file name, absent columns null, market by bond.
+def scan_tap_files(spark: SparkSession, files: Sequence[str], markets: DataFrame) -> DataFrame:
+    """Tap CSVs, one file (or folder of parts) per country named by its stem.
 
-    Cells are read as text under the header of each file (a file may lack columns), so files are
-    grouped by their header and read once per distinct header.
+    Each keeps its own header; canonical columns it lacks are null; the market comes by bond. The
+    list is one entry per debt office.
     """
-    heads = (
-        spark.read.text(folder, wholetext=False).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-        .where(F.lower("value").contains("isin") & F.lower("value").contains("event_date"))
-    )
-    shapes = [r["value"] for r in heads.select("value").distinct().limit(256).collect()]  # distinct headers, not rows
-    frames = []
-    for header in shapes:
-        names = [c.strip() for c in header.split(",")]
-        schema = ", ".join(f"`{c}` string" for c in names)
-        rows = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE").csv(folder)
-        paths = heads.where(F.col("value") == header).select("path").distinct()
-        tagged = rows.withColumn("path", F.col("_metadata.file_path")).join(F.broadcast(paths), "path", "left_semi").where(F.col(names[0]) != names[0])
-        country = F.upper(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
-        cells = [(F.col(c).try_cast(t) if c in names else F.lit(None).cast(t)).alias(c) for c, t in TAP_COLUMNS.items()]
-        frames.append(tagged.select(*cells, country.alias("country"), F.lit("dmo").alias("source")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    out = None
+    for path in files:
+        raw = spark.read.option("header", True).csv(path)
+        cells = [(F.col(c).try_cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in TAP_COLUMNS.items()]
+        country = path.rstrip("/").rsplit("/", 1)[-1].split(".")[0].upper()
+        part = raw.select(*cells, F.lit(country).alias("country"), F.lit("dmo").alias("source"))
+        out = part if out is None else out.unionByName(part)
     return out.join(markets.select("isin", "market"), "isin", "left")
+
+
+def tap_file_round_trip(spark: SparkSession, taps: DataFrame) -> DataFrame:
+    """Land the taps as CSVs per country, the British ones without an event type, and scan them back."""
+    from ..session import Landing
+
+    root = Landing(spark).root
+    rows = taps.select(isin_of(F.col("bond_id"), F.col("country")).alias("isin"), "event_date", F.lit("tap").alias("event_type"), "amount",
+                       F.lit(True).alias("reopening"), "country", "market")
+    files = []
+    for country in cv.COUNTRIES:
+        cols = ["isin", "event_date", "event_type", "amount", "reopening"]
+        files.append(f"{root}/{country.lower()}.csv")
+        rows.where(F.col("country") == country).select(*[c for c in cols if country != "GB" or c != "event_type"]).write.option("header", True).csv(files[-1])
+    return scan_tap_files(spark, files, rows.select("isin", "market").distinct())
+
+
+def round_trip_mart(spark: SparkSession, mart: DataFrame) -> DataFrame:
+    """Write a mart in both formats and count its rows from the written copy."""
+    from ..operators.exports import write_mart
+    from ..session import Landing
+
+    root = Landing(spark).root
+    write_mart(mart, root)
+    return spark.read.parquet(f"{root}/parquet").groupBy("market", "bucket").agg(F.count(F.lit(1)).alias("rows"))
