@@ -1,3 +1,3 @@
 """Import every case module."""
 
-from . import cases_core, cases_us, cases_intl  # noqa: F401
+from . import cases_core, cases_us, cases_intl, cases_hedge  # noqa: F401

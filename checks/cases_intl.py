@@ -29,13 +29,13 @@ _T = (5, 10, 30)
 case("issuance_pivot", "market event_year t5y:i t10y:i t30y:i", lambda p: issuance.issuance_pivot(p.events, "reopening", _T),
      "SELECT market, event_year, " + ", ".join(f"count(*) FILTER (orig_tenor = {t}) AS t{t}y" for t in _T) + " FROM iss_events WHERE type = 'reopening' GROUP BY 1, 2")
 case("issuance_pivot_amount", "market event_year t5y:1 t10y:1 t30y:1", lambda p: issuance.issuance_pivot(p.events, "new", _T, "amount"),
-     "SELECT market, event_year, " + ", ".join(f"round(coalesce(sum(amt_bn) FILTER (orig_tenor = {t}), 0), 1) AS t{t}y" for t in _T) + " FROM iss_events WHERE type = 'new' GROUP BY 1, 2")
+     "SELECT market, event_year, " + ", ".join(f"coalesce(floor((sum(CAST(round(amt_bn * 100) AS BIGINT)) FILTER (orig_tenor = {t}) + 5) / 10) / 10.0, 0) AS t{t}y" for t in _T) + " FROM iss_events WHERE type = 'new' GROUP BY 1, 2")
 case("issuance_pivot_combined", "market event_year t5y t10y t30y", lambda p: issuance.issuance_pivot_combined(p.events, _T),
      "WITH c AS (SELECT market, event_year, " + ", ".join(f"count(*) FILTER (orig_tenor = {t} AND type = 'new') AS n{t}, count(*) FILTER (orig_tenor = {t} AND type = 'reopening') AS r{t}" for t in _T)
      + " FROM iss_events GROUP BY 1, 2) SELECT market, event_year, "
      + ", ".join(f"CASE WHEN n{t} > 0 AND r{t} > 0 THEN n{t} || '+' || r{t} || 'x' WHEN r{t} > 0 THEN r{t} || 'x' WHEN n{t} > 0 THEN CAST(n{t} AS VARCHAR) ELSE '' END AS t{t}y" for t in _T) + " FROM c")
 case("issuance_long", "market event_year orig_tenor type n:i amt_bn:1", lambda p: issuance.issuance_long(p.events),
-     "SELECT market, event_year, orig_tenor, type, count(*) AS n, round(sum(amt_bn), 1) AS amt_bn FROM iss_events GROUP BY 1, 2, 3, 4")
+     "SELECT market, event_year, orig_tenor, type, count(*) AS n, floor((sum(CAST(round(amt_bn * 100) AS BIGINT)) + 5) / 10) / 10.0 AS amt_bn FROM iss_events GROUP BY 1, 2, 3, 4")
 case("issuance_summary", "market bonds:i reopenings:i first_year last_year min_tenor max_tenor amt_out_bn:0", lambda p: issuance.issuance_summary(p.issuance, p.events),
      """SELECT l.market, count(*) AS bonds, coalesce((SELECT count(*) FROM iss_reop r WHERE r.market = l.market), 0) AS reopenings, min(issue_year) AS first_year, max(issue_year) AS last_year,
      min(orig_tenor) AS min_tenor, max(orig_tenor) AS max_tenor, round(sum(amt_out_bn), 0) AS amt_out_bn FROM iss_lines l GROUP BY 1""")
@@ -105,7 +105,7 @@ _PATH = """(WITH d AS (
      SELECT market, bucket, tap_date, off AS "offset", CASE WHEN seen IS NOT NULL THEN co - co0 END AS out_path, CASE WHEN seen IS NOT NULL AND be_days > 0 THEN cb - cb0 END AS be_path,
        CASE WHEN seen IS NOT NULL THEN cc - cc0 END AS crude_path FROM z)"""
 _paths = lambda p: studies.event_study_bucket(p.buckets, crude=p.crude)
-case("event_study_bucket", "market bucket tap_date:d offset out_path:3 be_path:3 crude_path:2", _paths, f"SELECT * FROM {_PATH}")
+case("event_study_bucket", "market bucket tap_date:d offset out_path:3 be_path:3 crude_path:5", _paths, f"SELECT * FROM {_PATH}")
 _QS = "count({v}) AS n, avg({v}) AS mean, quantile_cont({v}, 0.5) AS median, quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.75) AS q3, quantile_cont({v}, 0.1) AS p10, quantile_cont({v}, 0.9) AS p90, min({v}) AS lo, max({v}) AS hi"
 _QSPEC = "n:i mean:3 median:3 q1:3 q3:3 p10:3 p90:3 lo:3 hi:3"
 case("cycle_distribution", "market bucket offset " + _QSPEC, lambda p: studies.cycle_distribution(studies.cycle_values(_paths(p), "out")),
@@ -133,7 +133,7 @@ case("weekly_sample", "market bucket week:d cum_linked_bp:3 cum_be_bp:3", _wk, f
 case("perf_metrics_weekly", "market bucket points:i ann_ret:3 ann_vol:3 sharpe:4 max_dd:3 hit_pct:3", lambda p: stats.perf_metrics_weekly(_wk(p), ["market", "bucket"], "week", "cum_linked_bp"),
      f"""WITH m AS (SELECT *, cum_linked_bp - lag(cum_linked_bp) OVER w AS mv, cum_linked_bp - max(cum_linked_bp) OVER w AS u FROM {_WK} WINDOW w AS (PARTITION BY market, bucket ORDER BY week))
      SELECT market, bucket, count(*) AS points, avg(mv) * 52 AS ann_ret, stddev_samp(mv) * sqrt(52) AS ann_vol, CASE WHEN stddev_samp(mv) > 0 THEN avg(mv) * 52 / (stddev_samp(mv) * sqrt(52)) END AS sharpe, min(u) AS max_dd,
-     count(*) FILTER (mv > 0)::DOUBLE / count(mv) * 100 AS hit_pct FROM m GROUP BY 1, 2 HAVING count(*) >= 4""")
+     count(*) FILTER (mv > 1e-9)::DOUBLE / count(mv) * 100 AS hit_pct FROM m GROUP BY 1, 2 HAVING count(*) >= 4""")
 case("rebase_to_start", "market bucket week:d rebased:3", lambda p: ordered.rebase_to_start(_wk(p), ["market", "bucket"], "week", "cum_linked_bp", "1998-01-01", "2000-12-31", short=True),
      f"SELECT market, bucket, week, -(cum_linked_bp - first_value(cum_linked_bp) OVER (PARTITION BY market, bucket ORDER BY week)) AS rebased FROM {_WK} WHERE week BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'")
 case("slip_cumulative", "market bucket week:d slip:4", lambda p: exports.slip_cumulative(p.buckets, ["market", "bucket"], "linked_fin_bp"),

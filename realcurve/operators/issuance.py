@@ -14,6 +14,12 @@ TAP_STEP_BN = 0.05  # fixed value
 EVENT_COLUMNS = ["bond_id", "market", "country", "event_date", "settle_date", "event_type", "amount", "price", "yield", "reopening", "source"]
 
 
+def tenths(amount_bn: Column) -> Column:
+    """Sum of two-decimal amounts to one decimal, half up, in whole hundredths so no binary tie decides."""
+    hundredths = F.sum(F.round(amount_bn * 100).cast("bigint"))
+    return F.floor((hundredths + 5) / 10).cast("double") / 10.0
+
+
 def rounded_years(later: Column, earlier: Column) -> Column:
     return F.bround(years_between(later, earlier), 0).cast("int")
 
@@ -84,7 +90,7 @@ def union_events(*parts: DataFrame) -> DataFrame:
 
 def issuance_pivot(events: DataFrame, kind: str, tenors: Sequence[int], values: str = "count") -> DataFrame:
     """Year by original tenor, count or amount; empty cells are zero. Tenors are stated, not discovered."""
-    cell = F.count("bond_id") if values == "count" else F.round(F.sum("amt_bn"), 1)
+    cell = F.count("bond_id") if values == "count" else tenths(F.col("amt_bn"))
     grid = events.where(F.col("type") == kind).groupBy("market", "event_year").pivot("orig_tenor", list(tenors)).agg(cell)
     return grid.select("market", "event_year", *[F.coalesce(F.col(str(t)), F.lit(0)).alias(f"t{t}y") for t in tenors])
 
@@ -108,7 +114,7 @@ def issuance_pivot_combined(events: DataFrame, tenors: Sequence[int]) -> DataFra
 
 def issuance_long(events: DataFrame) -> DataFrame:
     return events.groupBy("market", "event_year", "orig_tenor", "type").agg(
-        F.count("bond_id").alias("n"), F.round(F.sum("amt_bn"), 1).alias("amt_bn")
+        F.count("bond_id").alias("n"), tenths(F.col("amt_bn")).alias("amt_bn")
     )
 
 

@@ -130,7 +130,7 @@ def import_nominal_universe(raw: DataFrame, linkers: DataFrame, flagged: DataFra
     """
     dated = date_columns(raw, ["maturity", "issue_date"])
     shaped = dated.withColumns(
-        {"isin": F.upper(F.trim("isin")), "coupon": F.col("coupon").try_cast("double"), "ticker": F.trim("ticker"), "mark": F.lower("ticker"),
+        {"isin": F.upper(F.trim("isin")), "coupon": F.col("coupon").try_cast("double"), "ticker": F.trim("ticker"), "mark": F.lower(F.trim("ticker")),
          "amt_issued": F.regexp_replace("amt_issued", ",", "").try_cast("double")}
     ).where(F.col("isin").rlike(ISIN_SHAPE))
     shaped = shaped.withColumn("country", F.substring("isin", 1, 2)).where(F.col("country").isin(*countries))
@@ -187,7 +187,7 @@ def parse_gilt_ops(lines: DataFrame, universe: DataFrame) -> DataFrame:
     parsed = wanted.select(
         F.to_date(F.regexp_extract(v, r"(?:^|\s)(\d{1,2}-[A-Za-z]{3}-\d{4})(?:\s|$)", 1), "d-MMM-yyyy").alias("event_date"),
         parse_coupon(F.regexp_extract(v, r"(?i)((?:[\d/¼½¾⅛⅜⅝⅞⅓⅔.]+%? )+)index-linked", 1)).alias("coupon"),
-        F.regexp_extract(v, r"\bGilt (\d{4})\b", 1).cast("int").alias("mat_year"),
+        F.regexp_extract(v, r"\bGilt (\d{4})\b", 1).try_cast("int").alias("mat_year"),
         F.regexp_replace(F.regexp_extract(v, r"\bGilt \d{4}\b.*?\s([\d,]+\.\d+)(?:\s|$)", 1), ",", "").try_cast("double").alias("amt_mn"),
         F.when(v.contains("Syndication"), "syndication").when(v.contains("Tender"), "tender").otherwise("auction").alias("method"),
     ).where(F.col("event_date").isNotNull() & F.col("amt_mn").isNotNull())
