@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from realcurve.functions import financing as fin
 from realcurve.functions import stats
 from realcurve.operators import calendars, exports, futures, hedge, robust
+from realcurve.plans.panel import PAIR_DAYS_PER_YEAR
 from realcurve.streaming import topup
 
 from .ctes import ols
@@ -41,15 +42,15 @@ case("aligned_pairs_bucket", "market bucket date:d " + _K, lambda p: _scaled(p.p
 case("trailing_window", "tenor month:d window rows:i first_day:d", lambda p: hedge.trailing_window(hedge.complete(p.pairs_gas), T).groupBy("tenor", "month", "window").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_day")),
      'SELECT tenor, month, win AS "window", count(*) AS rows, min(date) AS first_day FROM wf_rows GROUP BY 1, 2, 3')
 _WF = "max(CASE WHEN win = '{w}' THEN slope END) AS contracts_{w}, max(CASE WHEN win = '{w}' THEN r2 END) AS r2_{w}, max(CASE WHEN win = '{w}' THEN corr END) AS corr_{w}, max(CASE WHEN win = '{w}' THEN tstat END) AS tstat_{w}, coalesce(max(CASE WHEN win = '{w}' THEN n END), 0) AS n_{w}"
-case("walk_forward_ratio", "tenor month:d rebalance:d contracts_2y:3 r2_2y:5 corr_2y:5 tstat_2y:4 n_2y:i contracts_5y:3 r2_5y:5 tstat_5y:4 n_5y:i", lambda p: hedge.walk_forward_ratio(p.pairs_gas, T),
+case("walk_forward_ratio", "tenor month:d rebalance:d contracts_2y:3 r2_2y:5 corr_2y:5 tstat_2y:4 n_2y:i contracts_5y:3 r2_5y:5 tstat_5y:4 n_5y:i", lambda p: hedge.walk_forward_ratio(p.pairs_gas, T, per_year=PAIR_DAYS_PER_YEAR),
      f"SELECT tenor, month, rebalance, {_WF.format(w='2y')}, {_WF.format(w='5y')} FROM wf GROUP BY 1, 2, 3")
 # the driver panel has few days with both legs, so the same walk-forward also runs on the linked leg alone
 _linked_pairs = lambda p: hedge.aligned_pairs(p.tenors.withColumn("r_nominal_bp", F.lit(0.0)), p.gasoline, T)
-case("walk_forward_linked", "tenor month:d contracts_2y:3 r2_2y:5 tstat_2y:4 n_2y:i", lambda p: hedge.walk_forward_ratio(_linked_pairs(p), T, {"2y": 2}),
+case("walk_forward_linked", "tenor month:d contracts_2y:3 r2_2y:5 tstat_2y:4 n_2y:i", lambda p: hedge.walk_forward_ratio(_linked_pairs(p), T, {"2y": 2}, 30),
      f"""WITH q AS (SELECT tenor, date, x_usd, linked_usd AS y FROM pairs_gas WHERE linked_usd IS NOT NULL),
      m AS (SELECT tenor, CAST(date_trunc('month', date) AS DATE) AS month, min(date) AS r FROM q GROUP BY 1, 2),
      j AS (SELECT q.*, m.month, m.r FROM q JOIN m ON m.tenor = q.tenor AND q.date >= CAST(m.r - to_months(24) AS DATE) AND q.date < m.r)
-     SELECT tenor, month, slope AS contracts_2y, r2 AS r2_2y, tstat AS tstat_2y, n AS n_2y FROM (SELECT tenor, month, r, min(date) AS lo, {ols('x_usd', 'y')} FROM j GROUP BY 1, 2, 3) WHERE n >= 300 AND lo <= CAST(r - to_months(22) AS DATE)""")
+     SELECT tenor, month, slope AS contracts_2y, r2 AS r2_2y, tstat AS tstat_2y, n AS n_2y FROM (SELECT tenor, month, r, min(date) AS lo, {ols('x_usd', 'y')} FROM j GROUP BY 1, 2, 3) WHERE n >= 60 AND lo <= CAST(r - to_months(22) AS DATE)""")
 case("walk_forward_leg_betas", "tenor month:d b_linked_2y:3 b_nominal_2y:3 n_2y:i b_linked_5y:3 b_nominal_5y:3 n_5y:i", lambda p: p.leg_betas, "SELECT * FROM wf_legs")
 _FB = f"{ols('x_usd', 'linked_usd', 'l_')}, {ols('x_usd', 'nominal_usd', 'u_')}, {ols('x_usd', 'be_usd', 'b_')}"
 case("full_sample_betas", "tenor n:i b_linked:3 b_nominal:3 be_beta:3 be_r2:5 be_t:4", lambda p: hedge.full_sample_betas(p.pairs_gas, T),
@@ -76,17 +77,17 @@ case("beta_breakeven", "tenor date:d mid_bp:4 long_bp:4 short_bp:4", lambda p: f
 case("monthly_table", "tenor period r_linked_bp:3 mid_bp:3 long_bp:3 short_bp:3", lambda p: exports.monthly_table(fin.beta_breakeven(_static_days(p), 0.8, 2.0, 1.5), ["r_linked_bp", "mid_bp", "long_bp", "short_bp"]),
      f"""WITH d AS (SELECT tenor, date, r_linked_bp, be - hg AS mid_bp, be - slip - hg AS long_bp, -be - slip + hg AS short_bp FROM (SELECT tenor, date, r_linked_bp, r_linked_bp - 0.8 * r_nominal_bp AS be, 2.0 * s_linked + 0.8 * 1.5 * s_nominal AS slip, (bl - 0.8 * bn) * gas / 1e5 AS hg FROM {_SD}))
      SELECT tenor, strftime(date, '%Y-%m') AS period, sum(r_linked_bp) AS r_linked_bp, sum(mid_bp) AS mid_bp, sum(long_bp) AS long_bp, sum(short_bp) AS short_bp FROM d GROUP BY 1, 2 UNION ALL SELECT tenor, 'TOTAL', sum(r_linked_bp), sum(mid_bp), sum(long_bp), sum(short_bp) FROM d GROUP BY 1""")
-_wf75 = lambda p: hedge.walk_forward_ratio(hedge.aligned_pairs(p.tenors, p.gasoline, T, 0.75), T)
+_wf75 = lambda p: hedge.walk_forward_ratio(hedge.aligned_pairs(p.tenors, p.gasoline, T, 0.75), T, per_year=PAIR_DAYS_PER_YEAR)
 _B = """(WITH r AS (SELECT *, linked_usd - 0.75 * nominal_usd AS be75 FROM wf_rows), a AS (SELECT tenor, month, win, years, reach, count(*) AS n, min(date) AS lo, {a}, {b} FROM r GROUP BY 1, 2, 3, 4, 5)
-     SELECT * FROM a WHERE n >= 150 * years AND lo <= reach)""".format(a=ols("x_usd", "be_usd", "h_"), b=ols("x_usd", "be75", "q_"))
+     SELECT * FROM a WHERE n >= 5 * years AND lo <= reach)""".format(a=ols("x_usd", "be_usd", "h_"), b=ols("x_usd", "be75", "q_"))
 _cell = lambda c, w: f"max(CASE WHEN win = '{w}' THEN {c} END)"
-case("hedge_table", "tenor month:d be100_2y:3 be100_2y_r2:5 be100_5y:3 be75_2y:3 be75_2y_r2:5 be75_5y:3 n_2y:i n_5y:i", lambda p: hedge.hedge_table(hedge.walk_forward_ratio(p.pairs_gas, T), _wf75(p)),
+case("hedge_table", "tenor month:d be100_2y:3 be100_2y_r2:5 be100_5y:3 be75_2y:3 be75_2y_r2:5 be75_5y:3 n_2y:i n_5y:i", lambda p: hedge.hedge_table(hedge.walk_forward_ratio(p.pairs_gas, T, per_year=PAIR_DAYS_PER_YEAR), _wf75(p)),
      f"""SELECT tenor, month, {_cell('h_slope', '2y')} AS be100_2y, {_cell('h_r2', '2y')} AS be100_2y_r2, {_cell('h_slope', '5y')} AS be100_5y, {_cell('q_slope', '2y')} AS be75_2y, {_cell('q_r2', '2y')} AS be75_2y_r2,
      {_cell('q_slope', '5y')} AS be75_5y, coalesce({_cell('n', '2y')}, 0) AS n_2y, coalesce({_cell('n', '5y')}, 0) AS n_5y FROM {_B} GROUP BY 1, 2""")
 
 
 def _compare(p):
-    a = hedge.walk_forward_ratio(p.pairs_gas, T).select("tenor", "month", F.col("contracts_2y").alias("a"))
+    a = hedge.walk_forward_ratio(p.pairs_gas, T, per_year=PAIR_DAYS_PER_YEAR).select("tenor", "month", F.col("contracts_2y").alias("a"))
     b = _wf75(p).select("tenor", "month", F.col("contracts_2y").alias("b"))
     return stats.path_corr(a.join(b, ["tenor", "month"]), T, "month", "a", "b")
 
@@ -190,7 +191,7 @@ case("outlier_report", "market bucket n:i ols_beta:4 ols_r2:6 hc3_t:4 cooks_pct:
      FROM o LEFT JOIN i USING (market, bucket) LEFT JOIN h USING (market, bucket) LEFT JOIN t USING (market, bucket) LEFT JOIN c USING (market, bucket)""")
 
 # ------------------------------------------------------------------ hedged exports and payloads
-case("tenor_full", "tenor date:d settle:d d:i linked_bond_id nominal_bond_id net_financing_bp:4 r_be_bp:4 is_roll_day is_coupon_day is_weekend_or_holiday_step is_5y_auction is_10y_auction is_30y_auction auction_size_bn:2 usd_gas:3 contracts_be100:4 r_be75_hedged_bp:4",
+case("tenor_full", "tenor date:d settle:d d:i linked_bond_id nominal_bond_id net_financing_bp:4 r_be_bp:4 is_roll_day is_coupon_day is_weekend_or_holiday_step is_5y_auction is_10y_auction is_30y_auction auction_size_bn:3 usd_gas:3 contracts_be100:4 r_be75_hedged_bp:4",
      lambda p: exports.tenor_full(p.legs, p.auctions, p.gasoline, hedge.static_hedge(p.tenors.select("tenor", F.trunc("date", "month").alias("month")))),
      f"""WITH t AS (SELECT * FROM leg_rets WHERE leg = 'linked'), u AS (SELECT * FROM leg_rets WHERE leg = 'nominal'),
      b AS (SELECT coalesce(t.tenor, u.tenor) AS tenor, coalesce(t.date, u.date) AS date, coalesce(t.settle, u.settle) AS settle, coalesce(t.days, u.days) AS d, t.bond_id AS linked_bond_id, u.bond_id AS nominal_bond_id,
@@ -202,7 +203,7 @@ case("tenor_full", "tenor date:d settle:d d:i linked_bond_id nominal_bond_id net
      FROM b LEFT JOIN a ON a.auction_date = b.date LEFT JOIN gas_spl g ON g.date = b.date LEFT JOIN {_FULL} ON h.t = b.tenor""")
 case("view_payload", "tenor year n_days:i", lambda p: exports.view_payload(p.tenors, p.gasoline),
      "SELECT tenor, year(date) AS year, count(*) AS n_days FROM tenor_rets WHERE r_be_bp IS NOT NULL GROUP BY 1, 2")
-case("hedge_payload", "tenor window months:i payload", lambda p: exports.hedge_payload(hedge.walk_forward_leg_betas(_linked_pairs(p), T)))
+case("hedge_payload", "tenor window months:i payload", lambda p: exports.hedge_payload(hedge.walk_forward_leg_betas(_linked_pairs(p), T, per_year=30)))
 
 # ------------------------------------------------------------------ streaming
 case("topup_stream", "bond_id date:d clean:4 updates:i", lambda p: topup.run_topup_fixture(p.spark, p.sf_dir),

@@ -356,7 +356,7 @@ def ols(x: str, y: str, p: str = "") -> str:
 cte("wf", f"""
 SELECT * FROM (SELECT tenor, month, rebalance, win, years, reach, count(*) AS rows, min(date) AS lo, {ols('x_usd', 'be_usd')},
   {ols('x_usd', 'linked_usd', 'l_')}, {ols('x_usd', 'nominal_usd', 'u_')} FROM wf_rows GROUP BY 1, 2, 3, 4, 5, 6)
-WHERE rows >= 150 * years AND lo <= reach""")
+WHERE rows >= 5 * years AND lo <= reach""")
 cte("wf_legs", """
 SELECT tenor, month, rebalance, max(CASE WHEN win = '2y' THEN l_slope END) AS b_linked_2y, max(CASE WHEN win = '2y' THEN u_slope END) AS b_nominal_2y,
   coalesce(max(CASE WHEN win = '2y' THEN rows END), 0) AS n_2y, max(CASE WHEN win = '5y' THEN l_slope END) AS b_linked_5y,

@@ -40,13 +40,13 @@ def risk_dv01(ytm_pct: Column, w: Column, n: Column, coupon: Column, freq: Colum
 
 def ratio_truncated(reference: Column, base: Column) -> Column:
     """Truncate to 6 decimals, then half-up to 5, in whole millionths so no binary tie decides."""
-    millionths = F.floor(reference / base * 1e6)
+    millionths = F.floor(F.try_divide(reference, base) * 1e6)
     return F.floor((millionths + 5) / 10).cast("double") / 1e5
 
 
 def ratio_rounded(reference: Column, base: Column) -> Column:
     """Half-even to 5 decimals on the scaled double."""
-    return F.rint(reference / base * 1e5) / 1e5
+    return F.rint(F.try_divide(reference, base) * 1e5) / 1e5
 
 
 def with_coupon_position(df: DataFrame) -> DataFrame:

@@ -17,16 +17,16 @@ def ols_columns(x: Column, y: Column, prefix: str = "") -> list[Column]:
     n = F.count(F.when(both, F.lit(1)))
     sxx, syy, sxy = F.regr_sxx(ys, xs), F.regr_syy(ys, xs), F.regr_sxy(ys, xs)
     usable = (n >= 3) & (sxx > 0)
-    slope = sxy / sxx
-    noise = F.greatest((syy - sxy * sxy / sxx) / (n - 2), F.lit(0.0))
-    se = F.sqrt(noise / sxx)
-    r = sxy / F.sqrt(sxx * syy)
+    slope = F.try_divide(sxy, sxx)
+    noise = F.greatest(F.try_divide(syy - sxy * slope, n - 2), F.lit(0.0))
+    se = F.sqrt(F.try_divide(noise, sxx))
+    r = F.try_divide(sxy, F.sqrt(sxx * syy))
     return [
         F.when(usable, slope).alias(prefix + "slope"),
         F.when(usable, F.regr_avgy(ys, xs) - slope * F.regr_avgx(ys, xs)).alias(prefix + "intercept"),
         F.when(usable & (syy > 0), r * r).alias(prefix + "r2"),
         F.when(usable & (syy > 0), r).alias(prefix + "corr"),
-        F.when(usable & (se > 0), slope / se).alias(prefix + "tstat"),
+        F.when(usable & (se > 0), F.try_divide(slope, se)).alias(prefix + "tstat"),
         n.alias(prefix + "n"),
     ]
 
@@ -91,7 +91,7 @@ def perf_metrics_weekly(df: DataFrame, by: Sequence[str], week: str, level: str)
     agg = moves.groupBy(*by).agg(
         F.count(level).alias("points"), (F.avg("move") * 52).alias("ann_ret"),
         (F.stddev_samp("move") * F.sqrt(F.lit(52.0))).alias("ann_vol"), F.min("under").alias("max_dd"),
-        (F.count_if(F.col("move") > 0) / F.count("move") * 100).alias("hit_pct"),
+        (F.try_divide(F.count_if(F.col("move") > 0), F.count("move")) * 100).alias("hit_pct"),
     )
     return agg.where(F.col("points") >= 4).select(
         *by, "points", "ann_ret", "ann_vol",
@@ -107,5 +107,5 @@ def path_corr(df: DataFrame, by: Sequence[str], month: str, a: str, b: str) -> D
         F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.col(month))).alias("last_a"),
         F.max_by(F.col(b), F.when(F.col(b).isNotNull(), F.col(month))).alias("last_b"),
     )
-    return agg.select(*by, "months", "last_a", "last_b", (F.col("last_b") / F.col("last_a")).alias("ratio"),
+    return agg.select(*by, "months", "last_a", "last_b", F.try_divide("last_b", "last_a").alias("ratio"),
                       F.when(F.col("months") > 2, F.col("corr")).alias("corr"))

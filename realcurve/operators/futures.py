@@ -25,7 +25,7 @@ def _priced(rows: DataFrame, multiplier: float, emit_from: str | None) -> DataFr
     out = rows.where(F.col("prior_mark").isNotNull() & (F.col("prior_mark") != 0) & F.col("front").isNotNull())
     chg = F.col("front") - F.col("prior_mark")
     out = out.select("date", "front", "second", "prior_mark", F.datediff("date", "prev_date").alias("days"), "is_roll", chg.alias("chg"),
-                     (chg * multiplier).alias("usd_per_contract"), (chg / F.col("prior_mark") * 1e4).alias("r_bp"))
+                     (chg * multiplier).alias("usd_per_contract"), (F.try_divide(chg, F.col("prior_mark")) * 1e4).alias("r_bp"))
     if emit_from is not None:
         out = out.where(F.col("date") >= F.lit(emit_from).cast("date"))
     w = Window.partitionBy(F.lit(ONE_SERIES)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,7 +60,7 @@ def naive_vs_spliced(futures: DataFrame, spliced: DataFrame) -> DataFrame:
     """On roll days: the front-only return (across contracts) beside the spliced one."""
     w = Window.partitionBy(F.lit(ONE_SERIES)).orderBy("date")
     front = futures.where(F.col("front").isNotNull()).select("date", "front", F.lag("front").over(w).alias("before"))
-    naive = front.select("date", ((F.col("front") - F.col("before")) / F.col("before") * 1e4).alias("naive_r_bp"))
+    naive = front.select("date", (F.try_divide(F.col("front") - F.col("before"), F.col("before")) * 1e4).alias("naive_r_bp"))
     return spliced.where("is_roll").join(naive, "date", "left").select("date", "days", "r_bp", "naive_r_bp")
 
 

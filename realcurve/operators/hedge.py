@@ -66,11 +66,12 @@ def trailing_window(pairs: DataFrame, by: Sequence[str], windows: dict[str, int]
     return pairs.join(F.broadcast(marks), list(by)).where(inside)
 
 
-def _full_enough(n: str, first: str):
-    return (F.col(n) >= F.col("years") * MIN_DAYS_PER_YEAR) & (F.col(first) <= F.col("reach_day"))
+def _full_enough(n: str, first: str, per_year: int):
+    return (F.col(n) >= F.col("years") * per_year) & (F.col(first) <= F.col("reach_day"))
 
 
-def window_regressions(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS) -> DataFrame:
+def window_regressions(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS,
+                       per_year: int = MIN_DAYS_PER_YEAR) -> DataFrame:
     """Breakeven and per-leg regressions of every full window, one pass over the pairs."""
     rows = trailing_window(complete(pairs), by, windows)
     x = F.col("x_usd")
@@ -78,12 +79,13 @@ def window_regressions(pairs: DataFrame, by: Sequence[str], windows: dict[str, i
         *ols_columns(x, F.col("be_usd")), F.min("date").alias("first_day"), F.count(F.lit(1)).alias("rows"),
         ols_columns(x, F.col("linked_usd"), "l_")[0], ols_columns(x, F.col("nominal_usd"), "n_")[0],
     )
-    return agg.where(_full_enough("rows", "first_day"))
+    return agg.where(_full_enough("rows", "first_day", per_year))
 
 
-def walk_forward_ratio(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS) -> DataFrame:
+def walk_forward_ratio(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS,
+                       per_year: int = MIN_DAYS_PER_YEAR) -> DataFrame:
     """Monthly hedge ratio per window; a month is kept if any window is full."""
-    regs = window_regressions(pairs, by, windows)
+    regs = window_regressions(pairs, by, windows, per_year)
     cells = []
     for tag in windows:
         hit = F.col("window") == tag
@@ -93,9 +95,10 @@ def walk_forward_ratio(pairs: DataFrame, by: Sequence[str], windows: dict[str, i
     return regs.groupBy(*by, "month", "rebalance").agg(*cells)
 
 
-def walk_forward_leg_betas(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS) -> DataFrame:
+def walk_forward_leg_betas(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS,
+                           per_year: int = MIN_DAYS_PER_YEAR) -> DataFrame:
     """Per-leg slopes per window; the ratio of any beta is b_linked - beta * b_nominal."""
-    regs = window_regressions(pairs, by, windows)
+    regs = window_regressions(pairs, by, windows, per_year)
     cells = []
     for tag in windows:
         hit = F.col("window") == tag

@@ -71,8 +71,8 @@ def pct_change(series: DataFrame) -> DataFrame:
     w = Window.partitionBy("index_id").orderBy("month")
     levels = monthly_index(series)
     return levels.withColumns(
-        {"mom_pct": (F.col("level") / F.lag("level", 1).over(w) - 1) * 100,
-         "yoy_pct": (F.col("level") / F.lag("level", 12).over(w) - 1) * 100}
+        {"mom_pct": (F.try_divide(F.col("level"), F.lag("level", 1).over(w)) - 1) * 100,
+         "yoy_pct": (F.try_divide(F.col("level"), F.lag("level", 12).over(w)) - 1) * 100}
     )
 
 

@@ -44,7 +44,7 @@ def line_r2(p: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
     err = F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x"))
     return p.join(lines, list(by)).groupBy(*by).agg(
         F.first("slope").alias("slope"), F.first("intercept").alias("intercept"),
-        F.when(F.regr_syy("y", "y") > 0, 1.0 - F.sum(err * err) / F.regr_syy("y", "y")).alias("r2"),
+        F.when(F.regr_syy("y", "y") > 0, 1.0 - F.try_divide(F.sum(err * err), F.regr_syy("y", "y"))).alias("r2"),
     )
 
 
@@ -62,7 +62,7 @@ def _weighted_line(df: DataFrame, by: Sequence[str]) -> DataFrame:
     wt, x, y = F.col("wt"), F.col("x"), F.col("y")
     df = df.withColumns({"mx": s(wt * x) / s(wt), "my": s(wt * y) / s(wt)})
     dx, dy = x - F.col("mx"), y - F.col("my")
-    df = df.withColumn("slope", s(wt * dx * dy) / s(wt * dx * dx))
+    df = df.withColumn("slope", F.try_divide(s(wt * dx * dy), s(wt * dx * dx)))
     return df.withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
 
 
@@ -81,7 +81,7 @@ def huber_fit(p: DataFrame, by: Sequence[str], passes: int = HUBER_PASSES) -> Da
     for _ in range(passes):
         cur = cur.withColumn("ar", F.abs(_residual())).withColumn("scale", F.percentile("ar", F.lit(0.5)).over(w) / MAD_SCALE)
         limit = HUBER_T * F.col("scale")
-        cur = _weighted_line(cur.withColumn("wt", F.when(F.col("ar") <= limit, F.lit(1.0)).otherwise(limit / F.col("ar"))), by)
+        cur = _weighted_line(cur.withColumn("wt", F.when(F.col("ar") <= limit, F.lit(1.0)).otherwise(F.try_divide(limit, F.col("ar")))), by)
     return _lines(cur, by)
 
 
@@ -128,7 +128,7 @@ def ransac(p: DataFrame, by: Sequence[str], trials: int = RANSAC_TRIALS) -> Data
     draws = draws.withColumns({"ra": (F.col("trial") * 7919 + 13) % F.col("n"), "rb": (F.col("trial") * 104729 + 57) % F.col("n")})
     end = lambda s: ranked.select(*by, F.col("rk").alias(f"r{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
     models = draws.join(end("a"), [*by, "ra"]).join(end("b"), [*by, "rb"]).where(F.col("xa") != F.col("xb"))
-    models = models.withColumn("ms", (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))).withColumn("mi", F.col("ya") - F.col("ms") * F.col("xa"))
+    models = models.withColumn("ms", F.try_divide(F.col("yb") - F.col("ya"), F.col("xb") - F.col("xa"))).withColumn("mi", F.col("ya") - F.col("ms") * F.col("xa"))
     packed = models.groupBy(*by, "tol").agg(F.collect_list(F.struct("trial", "ms", "mi")).alias("models"))  # at most `trials` long
     tried = p.join(packed, list(by)).select(*by, "date", "x", "y", "tol", F.explode("models").alias("m"))
     near = F.abs(F.col("y") - F.col("m.mi") - F.col("m.ms") * F.col("x")) <= F.col("tol")
@@ -149,12 +149,12 @@ def influence_points(p: DataFrame, by: Sequence[str]) -> DataFrame:
     d = d.withColumns({"h": 1.0 / F.col("n") + F.col("dx") * F.col("dx") / F.col("sxx"), "e": F.col("y") - F.col("my") - F.col("slope") * F.col("dx")})
     loo = 1.0 - F.col("h")
     mse = F.col("sse") / (F.col("n") - 2)
-    mse_out = (F.col("sse") - F.col("e") * F.col("e") / loo) / (F.col("n") - 3)
+    mse_out = (F.col("sse") - F.try_divide(F.col("e") * F.col("e"), loo)) / (F.col("n") - 3)
     return d.withColumns(
         {
-            "cooks_d": F.col("e") * F.col("e") / (2.0 * mse) * F.col("h") / (loo * loo),
-            "rstudent": F.col("e") / F.sqrt(mse_out * loo),
-            "hc3": F.col("dx") * F.col("dx") * F.col("e") * F.col("e") / (loo * loo),
+            "cooks_d": F.try_divide(F.col("e") * F.col("e") * F.col("h"), 2.0 * mse * loo * loo),
+            "rstudent": F.try_divide(F.col("e"), F.sqrt(mse_out * loo)),
+            "hc3": F.try_divide(F.col("dx") * F.col("dx") * F.col("e") * F.col("e"), loo * loo),
         }
     )
 
@@ -164,7 +164,7 @@ def influence(infl: DataFrame, by: Sequence[str]) -> DataFrame:
     return infl.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("cooks_d") > 4.0 / F.col("n")).alias("n_cooks"),
         F.count_if(F.abs("rstudent") > 3).alias("n_rstud"), F.count_if(F.col("h") > 6.0 / F.col("n")).alias("n_lev"),
-        (F.first("slope") / (F.sqrt(F.sum("hc3")) / F.first("sxx"))).alias("hc3_t"),
+        F.try_divide(F.first("slope") * F.first("sxx"), F.sqrt(F.sum("hc3"))).alias("hc3_t"),
     )
 
 

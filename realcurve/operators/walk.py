@@ -92,16 +92,16 @@ def financed_return(sized: DataFrame) -> DataFrame:
             "dV": F.col("V") - F.col("V_prev"),
             "coupon_cash": paid,
             "financing": F.coalesce(carried * (F.col("gc") / 100.0), F.lit(0.0)),
-            "fin_sens": carried / 10000.0 / F.col("denom"),
+            "fin_sens": F.try_divide(carried / 10000.0, F.col("denom")),
         }
     )
     rows = rows.withColumn("pnl", F.col("dV") + F.col("coupon_cash") - F.col("financing"))
     return rows.withColumns(
         {
-            "gross_bp": (F.col("dV") + F.col("coupon_cash")) / F.col("denom"),
-            "fin_bp": F.col("financing") / F.col("denom"),
-            "bp": F.col("pnl") / F.col("denom"),
-            "notional": SIZING_USD / F.col("denom"),
+            "gross_bp": F.try_divide(F.col("dV") + F.col("coupon_cash"), F.col("denom")),
+            "fin_bp": F.try_divide("financing", "denom"),
+            "bp": F.try_divide("pnl", "denom"),
+            "notional": F.try_divide(F.lit(SIZING_USD), "denom"),
             "is_coupon": F.col("coupon_cash") != 0,
         }
     )

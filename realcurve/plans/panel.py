@@ -21,6 +21,7 @@ from ..sources import driver_tables as src
 EMIT_FROM = "1996-01-01"
 AS_OF = "2001-12-01"
 LAST_MONTH = "2001-08-01"
+PAIR_DAYS_PER_YEAR = 5  # the derived panel quotes a bond every few days, so a full window is sparser than daily
 
 
 class Panel:
@@ -154,7 +155,7 @@ class Panel:
 
     @cached_property
     def leg_betas(self) -> DataFrame:
-        return self.land(hedge.walk_forward_leg_betas(self.pairs_gas, ["tenor"]))
+        return self.land(hedge.walk_forward_leg_betas(self.pairs_gas, ["tenor"], per_year=PAIR_DAYS_PER_YEAR))
 
     @cached_property
     def hedge_2y(self) -> DataFrame:
