@@ -105,7 +105,7 @@ _PATH = """(WITH d AS (
      SELECT market, bucket, tap_date, off AS "offset", CASE WHEN seen IS NOT NULL THEN co - co0 END AS out_path, CASE WHEN seen IS NOT NULL AND be_days > 0 THEN cb - cb0 END AS be_path,
        CASE WHEN seen IS NOT NULL THEN cc - cc0 END AS crude_path FROM z)"""
 _paths = lambda p: studies.event_study_bucket(p.buckets, crude=p.crude)
-case("event_study_bucket", "market bucket tap_date:d offset out_path:3 be_path:3 crude_path:5", _paths, f"SELECT * FROM {_PATH}")
+case("event_study_bucket", "market bucket tap_date:d offset out_path:3 be_path:3 energy_bp:4", lambda p: _paths(p).withColumn("energy_bp", F.col("crude_path") * 39.1140 / 1e5), f"SELECT *, crude_path * 39.1140 / 1e5 AS energy_bp FROM {_PATH}")
 _QS = "count({v}) AS n, avg({v}) AS mean, quantile_cont({v}, 0.5) AS median, quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.75) AS q3, quantile_cont({v}, 0.1) AS p10, quantile_cont({v}, 0.9) AS p90, min({v}) AS lo, max({v}) AS hi"
 _QSPEC = "n:i mean:3 median:3 q1:3 q3:3 p10:3 p90:3 lo:3 hi:3"
 case("cycle_distribution", "market bucket offset " + _QSPEC, lambda p: studies.cycle_distribution(studies.cycle_values(_paths(p), "out")),
@@ -140,6 +140,11 @@ case("slip_cumulative", "market bucket week:d slip:4", lambda p: exports.slip_cu
      """SELECT market, bucket, CAST(date + to_days(CAST((12 - isodow(date)) % 7 AS INTEGER)) AS DATE) AS week, arg_max(s, date) AS slip FROM (
      SELECT market, bucket, date, sum(linked_fin_bp / gc) OVER (PARTITION BY market, bucket ORDER BY date) AS s FROM bk_series WHERE gc > 0 AND linked_fin_bp IS NOT NULL) GROUP BY 1, 2, 3""")
 
+case("tail_rows", "market bucket month:d r_linked_bp:3", lambda p: ordered.tail_rows(studies.monthly_sum_min10(p.buckets), ["market", "bucket"], "month", 12),
+     f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY month DESC) AS k FROM {_MS}) WHERE k <= 12")
+case("distinct_first", "bond_id event_date:d type amt_bn:2", lambda p: ordered.first_in_order(p.events.select("bond_id", "event_date", "type", "amt_bn"), ["bond_id"], [F.col("event_date"), F.col("type")]),
+     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bond_id ORDER BY event_date, type) AS k FROM iss_events) WHERE k = 1")
+
 # ------------------------------------------------------------------ exports and marts
 case("bond_sheet", "bond_id date:d country program settlement_date:d clean:4 gc_repo:9 bp:4", lambda p: exports.bond_sheet(p.bond_returns.drop("country"), p.bonds, p.conv),
      "SELECT r.bond_id, r.date, c.country, c.program, r.settle AS settlement_date, r.clean, r.gc AS gc_repo, r.bp FROM bond_rets r JOIN fx_static b ON b.bond_id = r.bond_id JOIN fx_conv c ON c.conv_id = b.conv_id")
@@ -168,7 +173,7 @@ case("import_nominal_universe", "isin coupon:4 maturity:d issue_date:d ticker am
      CASE WHEN bond_id % 8 = 2 AND linked THEN 'BTPi' WHEN bond_id % 8 = 4 AND linked THEN 'OAT€i' ELSE 'GOVT' END AS ticker, amt_issued, country
      FROM fx_static WHERE bond_id % 19 <> 3 AND bond_id % 29 <> 7 AND bond_id % 31 <> 1 AND (NOT linked OR bond_id % 16 = 2)""")
 case("parse_gilt_ops", "bond_id event_date:d event_type amount:0 reopening", lambda p: cleaning.parse_gilt_ops(cleaning.operation_lines(p.spark, p.sf_dir), p.bonds.where("linked").select("bond_id", "coupon", "maturity")),
-     """WITH o AS (SELECT o_orderkey AS k, date, b.coupon, b.maturity, round(o_totalprice / 100, 2) AS amt FROM fx_orders JOIN fx_static b ON b.bond_id = (o_custkey // 30) * 2 WHERE o_orderpriority = '2-HIGH'),
+     """WITH o AS (SELECT o_orderkey AS k, date, b.coupon, b.maturity, round(o_totalprice / 100, 4) AS amt FROM fx_orders JOIN fx_static b ON b.bond_id = (o_custkey // 30) * 2 WHERE o_orderpriority = '2-HIGH'),
      v AS (SELECT * FROM o WHERE k % 11 <> 4 AND k % 13 <> 6 AND k % 7 <> 5),
      i AS (SELECT coupon, year(maturity) AS y, min(bond_id) AS bond_id FROM fx_static WHERE linked GROUP BY 1, 2),
      m AS (SELECT i.bond_id, v.date, v.amt, CASE k % 3 WHEN 2 THEN 'syndication' WHEN 1 THEN 'tender' ELSE 'auction' END AS method FROM v JOIN i ON i.coupon = v.coupon AND i.y = year(v.maturity)),

@@ -129,3 +129,9 @@ def rebase_to_start(df: DataFrame, by: Sequence[str], on: str, level: str, start
     )
     moved = F.col(level) - base
     return df.withColumn("rebased", -moved if short else moved)
+
+
+def tail_rows(df: DataFrame, by: Sequence[str], on: str, k: int) -> DataFrame:
+    """The last k rows of each series (a top-k report)."""
+    w = Window.partitionBy(*by).orderBy(F.col(on).desc())
+    return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__k")

@@ -13,12 +13,12 @@ BUMP_BP = 1.0  # fixed value: symmetric bump width
 def annuity_price(periodic_yield: Column, w: Column, n: Column, coupon: Column) -> Column:
     """Dirty price per 100: n coupons at exponents w, w+1, ... plus redemption with the last one.
 
-    Closed geometric sum: two powers a row and no array.
+    Closed geometric sum in log form, exact near a zero yield too: no array and no loop.
     """
     growth = F.lit(1.0) + periodic_yield
-    v = F.lit(1.0) / growth
-    strip = F.when(periodic_yield == 0.0, n.cast("double")).otherwise((1.0 - F.pow(v, n)) / (1.0 - v))
-    return F.pow(v, w) * (coupon * strip + F.lit(100.0) * F.pow(v, n - 1))
+    rate = F.log1p(periodic_yield)
+    strip = F.coalesce(F.try_divide(-F.expm1(-rate * n) * growth, periodic_yield), n.cast("double"))
+    return F.exp(-rate * w) * (coupon * strip + F.lit(100.0) * F.exp(-rate * (n - 1)))
 
 
 def dirty_price(ytm_pct: Column, w: Column, n: Column, coupon: Column, freq: Column) -> Column:

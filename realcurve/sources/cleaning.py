@@ -159,7 +159,7 @@ def operation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(mixed(["1/4", "1/2", "3/4"]), F.lit("%")))
     kind = F.when(k % 11 == 4, "Conventional").otherwise("Index-linked Treasury")
     paper = F.when(k % 13 == 6, "Stock").otherwise("Gilt")
-    amount = F.when(k % 7 == 5, F.lit("")).otherwise(F.concat(F.lit(" "), F.format_number(F.col("o_totalprice") / 100, 2), F.lit(" 1.85")))
+    amount = F.when(k % 7 == 5, F.lit("")).otherwise(F.concat(F.lit(" "), F.format_number(F.col("o_totalprice") / 100, 4), F.lit(" 1.85")))
     method = F.element_at(F.array(F.lit("Auction"), F.lit("Tender"), F.lit("Syndication")), (k % 3 + 1).cast("int"))
     line = F.concat(F.date_format("date", "d-MMM-yyyy"), F.lit(" "), coupon, F.lit(" "), kind, F.lit(" "), paper, F.lit(" "), F.year("maturity").cast("string"), amount, F.lit(" "), method)
     return o.select(line.alias("value"))
@@ -186,7 +186,7 @@ def parse_gilt_ops(lines: DataFrame, universe: DataFrame) -> DataFrame:
     wanted = lines.where(F.lower(v).contains("index-linked") & v.rlike(r"(?i)index-linked.*\bGilt \d{4}\b"))
     parsed = wanted.select(
         F.to_date(F.regexp_extract(v, r"(?:^|\s)(\d{1,2}-[A-Za-z]{3}-\d{4})(?:\s|$)", 1), "d-MMM-yyyy").alias("event_date"),
-        parse_coupon(F.regexp_extract(v, r"(?i)((?:[\d/¼½¾⅛⅜⅝⅞⅓⅔.]+%? )+)index-linked", 1)).alias("coupon"),
+        parse_coupon(F.regexp_extract(v, r"(?i)(?:^|\s)((?:[\d/¼½¾⅛⅜⅝⅞⅓⅔.]+%? )+)index-linked", 1)).alias("coupon"),
         F.regexp_extract(v, r"\bGilt (\d{4})\b", 1).try_cast("int").alias("mat_year"),
         F.regexp_replace(F.regexp_extract(v, r"\bGilt \d{4}\b.*?\s([\d,]+\.\d+)(?:\s|$)", 1), ",", "").try_cast("double").alias("amt_mn"),
         F.when(v.contains("Syndication"), "syndication").when(v.contains("Tender"), "tender").otherwise("auction").alias("method"),
