@@ -173,27 +173,27 @@ def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tap_orders(spark: SparkSession, sf_dir: str, priority: str = "1-URGENT") -> DataFrame:
-    """Urgent orders as issuance of the bond their customer block maps to."""
-    taken = orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").where(F.col("o_orderpriority") == priority)
-    placed = taken.select(F.expr("o_custkey div 15").alias("bond_id"), "o_orderkey", F.col("date").alias("event_date"), "o_totalprice")
-    return placed.join(bonds(spark, sf_dir), "bond_id").where((F.col("event_date") >= F.col("dated")) & (F.col("event_date") < F.col("maturity")))
+    """Urgent orders as issuance of the bond their customer block maps to, in cents by bond and day.
+
+    Orders combine to one row per bond and day before they meet the bonds, so a busy block is not a
+    hot join key.
+    """
+    taken = orders(spark, sf_dir, "o_custkey", "o_totalprice", "o_orderpriority").where(F.col("o_orderpriority") == priority)
+    daily = taken.groupBy(F.expr("o_custkey div 15").alias("bond_id"), F.col("date").alias("event_date")).agg(
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents")
+    )
+    return daily.join(bonds(spark, sf_dir), "bond_id").where((F.col("event_date") >= F.col("dated")) & (F.col("event_date") < F.col("maturity")))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taps of linked bonds by day (orders of one bond and day are one event)."""
-    return (
-        tap_orders(spark, sf_dir).where("linked")
-        .groupBy("bond_id", "market", "country", "event_date")
-        .agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) * 100.0).alias("amount"))
-    )
+    return tap_orders(spark, sf_dir).where("linked").select("bond_id", "market", "country", "event_date", (F.col("cents") * 100.0).alias("amount"))
 
 
 def outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amount outstanding by bond and day: issued amount plus the running taps; every tenth bond is flat."""
     w = Window.partitionBy("bond_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    daily = tap_orders(spark, sf_dir).groupBy("bond_id", "amt_issued", F.col("event_date").alias("date")).agg(
-        F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents")
-    )
+    daily = tap_orders(spark, sf_dir).select("bond_id", "amt_issued", F.col("event_date").alias("date"), "cents")
     moved = F.when(F.col("bond_id") % 10 == 0, F.lit(0)).otherwise(F.col("cents"))
     return daily.withColumn("amount", F.col("amt_issued") + F.sum(moved).over(w) * 10.0).select("bond_id", "date", "amount")
 

@@ -1,19 +1,23 @@
 """Late quote revisions as a stream.
 
 Revisions arrive as files. A stateful aggregate keeps the newest value per (bond, day) while the
-watermark still admits it, and each micro-batch is merged into the landed table: only its newest
-values are shuffled, the table is rewritten per touched day partition.
+watermark still admits it. Each micro-batch is merged into the landed table by month partition: only
+the months the batch touches are read, merged and replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.daycount import month_start
 from ..operators.incremental import topup_merge
 from ..session import Landing
 
 LATE_BOUND = "7 days"  # fixed value: the overlap a top-up reaches back
+PARTITION = "month"
 
 
 def revision_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -32,48 +36,55 @@ def newest_by_day(stream: DataFrame, late: str = LATE_BOUND) -> DataFrame:
     )
 
 
-def start_topup(revisions: DataFrame, target: str, checkpoint: str):
-    """Merge every micro-batch into ``target``: one new version a batch, old cells kept where not revised.
+def daily_totals(stream: DataFrame, late: str = LATE_BOUND) -> DataFrame:
+    """Count and total per event type and day, with late rows admitted for the overlap."""
+    return (
+        stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+        .agg(F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0).alias("total"))
+        .select(F.col("w.start").cast("date").alias("window_start"), "event_type", "n", "total")
+    )
+
+
+def read_landed(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The landed table (also before its first batch)."""
+    return spark.read.schema(schema).parquet(target)
+
+
+def start_topup(revisions: DataFrame, target: str, checkpoint: str, keys: Sequence[str], day: str):
+    """Merge every micro-batch into the month partitions of ``target`` that it touches.
 
-    A batch that is replayed after a failure rewrites the same version from the same previous one.
+    The merged months are staged before they replace the old ones, so a batch lost half-way is simply
+    replayed; merging the same batch twice gives the same table.
     """
     spark = revisions.sparkSession
+    landed = revisions.withColumn(PARTITION, month_start(F.col(day)))
+    schema = landed.schema
+    spark.createDataFrame([], schema).write.mode("append").partitionBy(PARTITION).parquet(target)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        previous = f"{target}/v{batch_id - 1}"
-        merged = batch if batch_id == 0 else topup_merge(spark.read.parquet(previous), batch)
-        merged.write.mode("overwrite").parquet(f"{target}/v{batch_id}")
+        touched = batch.select(PARTITION).distinct()
+        old = read_landed(spark, target, schema).join(F.broadcast(touched), PARTITION, "left_semi")
+        staged = f"{target}-staged/{batch_id}"
+        topup_merge(old, batch, keys).write.mode("overwrite").parquet(staged)
+        fresh = spark.read.schema(schema).parquet(staged)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(target)
 
-    return (
-        revisions.writeStream.outputMode("update").foreachBatch(merge)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return landed.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, target: str, progress: list) -> DataFrame:
-    """The table as of the last finished batch."""
-    return spark.read.parquet(f"{target}/v{max(p['batchId'] for p in progress)}")
+def drain(revisions: DataFrame, root: str, keys: Sequence[str], day: str) -> DataFrame:
+    """Run the top-up over what has arrived and return the landed table."""
+    query = start_topup(revisions, f"{root}/table", f"{root}/checkpoint", keys, day)
+    query.awaitTermination()
+    schema = revisions.withColumn(PARTITION, month_start(F.col(day))).schema
+    return read_landed(revisions.sparkSession, f"{root}/table", schema).drop(PARTITION)
 
 
 def run_topup_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drain the event files through the top-up and return the merged table."""
-    root = Landing(spark).root
-    query = start_topup(newest_by_day(revision_stream(spark, f"{sf_dir}/events*.parquet")), f"{root}/quotes", f"{root}/ckpt")
-    query.awaitTermination()
-    return latest_version(spark, f"{root}/quotes", [p for p in query.recentProgress])
+    """Drain the event files as quote revisions."""
+    return drain(newest_by_day(revision_stream(spark, f"{sf_dir}/events*.parquet")), Landing(spark).root, ["bond_id", "date"], "date")
 
 
 def run_windowed_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily windows per event type with late data admitted for the overlap, written by batch."""
-    root = Landing(spark).root
-    stream = revision_stream(spark, f"{sf_dir}/events*.parquet").withWatermark("ts", LATE_BOUND)
-    counts = stream.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0).alias("total")
-    ).select(F.col("w.start").cast("date").alias("window_start"), "event_type", "n", "total")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/w/v{batch_id}")
-
-    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return latest_version(spark, f"{root}/w", [p for p in query.recentProgress])
+    """Drain the event files as daily totals."""
+    return drain(daily_totals(revision_stream(spark, f"{sf_dir}/events*.parquet")), Landing(spark).root, ["window_start", "event_type"], "window_start")
