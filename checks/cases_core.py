@@ -147,10 +147,12 @@ case("dirty_price", "bond_id date:d price:4",
      lambda p: p.metrics().withColumn("price", pricing.dirty_price(F.col("ytm"), F.col("w"), F.col("n_left"), F.col("coupon"), F.col("freq"))),
      "SELECT bond_id, date, coupon / f * list_sum([pow(1 + ytm / 100 / f, -(k + w)) for k in range(0, n_left)]) + 100 * pow(1 + ytm / 100 / f, -(n_left - 1 + w)) AS price FROM mx_metrics")
 case("dv01", "bond_id date:d dv01:6", lambda p: p.metrics(), "SELECT bond_id, date, dv01 FROM mx_metrics")
-case("bond_metrics", "bond_id date:d settle:d dirty_real:9 V:9", lambda p: p.metrics(domestic=True), "SELECT bond_id, date, settle, dirty_real, V FROM mu_metrics")
+# value-by-ratio cells end in exact halves at any decimal, so the valuation shows as modified duration
+case("bond_metrics", "bond_id date:d settle:d dirty_real:9 mod_duration:6", lambda p: p.metrics(domestic=True).withColumn("mod_duration", F.try_divide("dv01", "V") * 1e4),
+     "SELECT bond_id, date, settle, dirty_real, dv01 / V * 1e4 AS mod_duration FROM mu_metrics")
 
 # ------------------------------------------------------------------ walk
-case("lag_mark", "bond_id date:d prev_date:d settle_prev:d V_prev:9", lambda p: walk.lag_mark(p.metrics()), "SELECT * FROM mx_lag")
+case("lag_mark", "bond_id date:d prev_date:d settle_prev:d v_relative:8", lambda p: walk.lag_mark(p.metrics()).withColumn("v_relative", F.try_divide("V", "V_prev")), "SELECT *, V / V_prev AS v_relative FROM mx_lag")
 case("epoch_denom", "bond_id date:d denom:6", lambda p: walk.epoch_denom(walk.lag_mark(p.metrics())), "SELECT * FROM mx_epoch")
 case("coupon_in_span", "bond_id date:d paid", lambda p: walk.lag_mark(p.metrics()).where("n_prev > n_left").withColumn("paid", F.col("n_prev") - F.col("n_left")),
      "SELECT bond_id, date, paid FROM mx_lag WHERE paid > 0")
@@ -170,7 +172,8 @@ case("package_financing", "real_id date:d long_be:4 short_be:4",
      """SELECT p.real_id, p.date, (-l.V_prev * (p.gc + 0.03) + n.V_prev * (p.gc - 0.03)) / 100 * p.days / 360.0 AS long_be, (l.V_prev * (p.gc - 0.03) - n.V_prev * (p.gc + 0.03)) / 100 * p.days / 360.0 AS short_be
      FROM pair_rets p JOIN bond_rets l ON l.bond_id = p.real_id AND l.date = p.date JOIN bond_rets n ON n.bond_id = p.nominal_id AND n.date = p.date WHERE p.gc IS NOT NULL""")
 case("pair_inner", "real_id nominal_id date:d linked_bp:4 nominal_bp:4", lambda p: pairs.pair_inner(walk.bond_walk(p.metrics()), pairs.scan_pair_map(p.pair_map)), "SELECT * FROM pair_rets")
-case("pair_breakeven", "real_id nominal_id date:d linked_V:9 nominal_V:9 net_fin_bp:4 r_be_bp:4 cum_be_bp:3 is_coupon_day is_weekend_or_holiday_step", lambda p: p.pair_returns, "SELECT * FROM pair_rets")
+case("pair_breakeven", "real_id nominal_id date:d v_relative:8 net_fin_bp:4 r_be_bp:4 cum_be_bp:3 is_coupon_day is_weekend_or_holiday_step",
+     lambda p: p.pair_returns.withColumn("v_relative", F.try_divide("linked_V", "nominal_V")), "SELECT *, linked_V / nominal_V AS v_relative FROM pair_rets")
 case("longest_history_pair", "real_id nominal_id days", lambda p: pairs.longest_history_pair(p.pair_returns),
      "SELECT real_id, nominal_id, count(*) AS days FROM pair_rets GROUP BY 1, 2 ORDER BY days DESC, real_id LIMIT 1")
 
