@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.daycount import month_start
+from ..functions.daycount import nth_weekday
 from ..sources.conventions import CALENDAR_SERIES, REPO_LADDERS, inline
 
 FORWARD_DAYS = 400  # fixed value: weekdays assumed open after the last print
@@ -82,8 +82,7 @@ def repo_curves(series: DataFrame, ladders: dict[str, list[tuple[str, float]]] =
     rungs = inline(spark, ["repo_id", "rung", "series_id", "spread"],
                    [(repo, i, s, x) for repo, many in ladders.items() for i, (s, x) in enumerate(many)])
     placed = series.where(F.col("value").isNotNull()).join(F.broadcast(rungs), "series_id")
-    best = placed.groupBy("repo_id", "date").agg(F.min_by(F.col("value") + F.col("spread"), F.col("rung")).alias("rate"))
-    return best
+    return placed.groupBy("repo_id", "date").agg(F.min_by(F.col("value") + F.col("spread"), F.col("rung")).alias("rate"))
 
 
 def dense_rates(curves: DataFrame) -> DataFrame:
@@ -108,8 +107,6 @@ def calendar_intersect(days: DataFrame, calendar: DataFrame, cal_id: str) -> Dat
 
 def next_expected_auction(markets: DataFrame, as_of: Column, rules: dict[str, tuple[str, int]], due_days: int = 7) -> DataFrame:
     """First rule day at or after ``as_of`` over this month and the next two."""
-    from ..functions.daycount import nth_weekday
-
     month = F.explode(F.expr("transform(sequence(0, 2), i -> add_months(trunc(as_of, 'month'), i))"))
     grid = markets.withColumn("as_of", as_of).withColumn("month", month)
     day = F.lit(None).cast("date")
