@@ -1,8 +1 @@
 """Operators that prepare training data: fingerprints, scores, mixtures, encodings, joins, filters, extraction, packing."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions that run in tasks travel with them, so that executors need no copy of this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import realcurve
 from realcurve.session import Landing
 
 #: Fixed value: what separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: A written and reread table, see ``realcurve.session.Landing``.
-Land = Callable[[DataFrame], DataFrame]
+
+class Land(Landing):
+    """Writes a frame to the shared checkpoint folder and reads it back, see ``Landing``."""
+
+    def path(self) -> str:
+        """A folder of the shared one that nothing is in yet."""
+        self.count += 1
+        return f"{self.root}/{self.count:03d}"
+
+    def compressed(self, df: DataFrame) -> DataFrame:
+        """As a call, smaller on disk and slower to write."""
+        path = self.path()
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +38,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def landing(spark: SparkSession) -> Land:
-    return Landing(spark)
+    return Land(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def with_code(spark: SparkSession) -> SparkSession:
+    """The session, its Python workers able to import this package: its sources are added to the application once, as --py-files would."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root, held = Path(realcurve.__file__).parent, io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(p.relative_to(root.parent)))
+        file = os.path.join(tempfile.mkdtemp(prefix="realcurve-code-"), "realcurve.zip")
+        Path(file).write_bytes(held.getvalue())
+        spark.sparkContext.addPyFile(file)
+        _SHIPPED.add(app)
+    return spark
 
 
 def words(text: Column) -> Column:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Land, components, landing, table
+from .common import Land, components, landing, table, with_code
 
 LEAST_COSINE = 0.98
 #: Vectors of the sample on which codebooks and the length of a visit are fitted.
@@ -150,6 +150,7 @@ def dedup(vectors: DataFrame, land: Land, least: float = LEAST_COSINE) -> DataFr
     vectors, vectors of zeros only and vectors with null or non-finite components link with nothing, and vectors of different dimensions
     don't link. Rows that share an id count as one node. A row with a null id links with nothing and has a null component.
     """
+    with_code(vectors.sparkSession)
     classes = land(_classes(vectors))
     shapes = classes.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("label").alias("labels")).collect()
     counted, forest = [], []

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Land, components, landing, table
+from .common import Land, components, landing, table, with_code
 from .hashing import lowered, mixed, shingle_hashes
 
 #: Words of a shingle, and the least intersection as a share of the union, in hundredths.
@@ -192,6 +192,7 @@ def join(docs: DataFrame, land: Land, shingle: int = SHINGLE, like: int = LIKE)
     Null and empty texts and texts without words have no shingles and link with nothing. Rows that share an id are one document, whose
     rows are linked. A row with a null id links with nothing and has a null component.
     """
+    with_code(docs.sparkSession)
     described = land(_described(docs, shingle))
     real = described.where("doc_id is not null and n_shingles > 0")
     by_key = Window.partitionBy("key")

@@ -50,6 +50,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return final.select("source", "k", "source_size", target.alias("target"))
 
 
+def document_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """By which the documents of a source are put in order: equal for equal ids and texts."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def _shuffled(sized: DataFrame, buckets: int) -> DataFrame:
     """Adds ``start``: words of the same source before the document, in the order of ``key``."""
     cut = sized.withColumn("bucket", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32), F.lit(buckets)).cast("long"))
@@ -88,17 +93,17 @@ def schedule(spark: SparkSession, quotas: DataFrame, n_slots: int) -> DataFrame:
 def mix(docs: DataFrame, land: Land, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """The sized documents and the mix.
 
-    First: ``doc_id, source, size, source_size, target, start`` for every row of ``docs`` (``doc_id, text, source``; other columns are
+    First: ``doc_id, source, size, source_size, target, start, key`` for every row of ``docs`` (``doc_id, text, source``; other columns are
     ignored), where ``start`` with the source names the row. Second: ``slot, k, start, from_word, n_words``: the words of each document piece
     a slot takes, counted from the document's begin. Null texts have size 0; a null source is a source of its own, the last one. Repeated
     rows are documents of their own. Documents of size 0 are taken with 0 words. Each source gives its target, rounded.
     """
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
-    sized = land(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key")))
+    key = document_key(F.col("doc_id"), F.col("text"), seed).alias("key")
+    sized = land(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key))
     goals = land(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share))
     total = sized.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
     joined = sized.join(goals, sized.source.eqNullSafe(goals.source)).select("doc_id", sized.source, "size", "key", "k", "source_size", "target")
-    placed = land(_shuffled(joined, max(1, math.isqrt(total))).drop("key"))
+    placed = land(_shuffled(joined, max(1, math.isqrt(total))))
 
     quota = F.least(F.round("target").cast("long"), MAX_PASSES * F.col("source_size"))
     goals = goals.withColumn("quota", quota).withColumn("blocks", F.ceil(F.col("quota") / block))
@@ -121,15 +126,15 @@ def mix(docs: DataFrame, land: Land, block: int = BLOCK, weights: tuple[int, ...
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document of ``documents``."""
-    return taken(table(spark, sf_dir, "documents"), landing(spark))
+    return taken(table(spark, sf_dir, "documents"), landing(spark)).drop("key")
 
 
 def taken(docs: DataFrame, land: Land) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and ``source``, one row for each row of ``docs``."""
+    """``doc_id, size, source_size, target, taken, source, key``, one row for each row of ``docs``."""
     placed, pieces = mix(docs, land)
     words_taken = pieces.groupBy("k", "start").agg(F.sum("n_words").alias("taken"))
     out = placed.where("size > 0").join(words_taken, ["k", "start"], "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "key")
 
 
 #: The same mix by running sums alone: schedule and blocks decide the order of the words, not how many each document gives.

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, jaccard_join, mixing, toxicity, url_filter
+from . import embedding_dedup, fingerprints, html_extract, jaccard_join, mixing, packing, ppm, rans, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
+    "op2_ppm": ppm.query,
     "op3_mixing": mixing.query,
+    "op4_rans": rans.query,
     "op5_jaccard_join": jaccard_join.query,
     "op6_url_filter": url_filter.query,
+    "op7_html_extract": html_extract.query,
     "op8_toxicity": toxicity.query,
+    "op9_packing": packing.query,
     "op10_embedding_dedup": embedding_dedup.query,
 }
 

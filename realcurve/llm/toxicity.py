@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_code
 
 #: Bytes of an n-gram.
 SIZES = (3, 4, 5, 6)
@@ -131,6 +131,7 @@ def train(rows: DataFrame) -> Model:
 
     Without a row of one of the classes every text scores near the share of class 1 (0.5 without any row).
     """
+    with_code(rows.sparkSession)
     rows = rows.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
     held, docs = _counts(rows)
     if docs.min() == 0:
@@ -149,7 +150,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     Null and empty texts have no n-grams and score by the bias alone. The weights travel as a broadcast of fixed size.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = with_code(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
