@@ -1,8 +1,8 @@
 """LM scoring by prediction by partial matching (PPM) over bytes.
 
 The model is a trie of contexts of up to ``ORDER`` bytes with the counts of the symbols after each, of A-Z lower-cased UTF-8 between marks, gathered from all training
-documents. A symbol is looked for from the longest context down. At a context with ``n`` counts of ``q`` symbols an escape has the
-share ``q / (n + q)`` (method C), and symbols of the longer context, already ruled out, are excluded from ``n`` and ``q``; contexts never seen and those with nothing
+documents. A symbol is looked for from the longest context down. At a context with ``n`` counts of ``q`` symbols a symbol
+counted ``c`` times has the share ``(2 c - 1) / 2 n`` and an escape ``q / 2 n`` (method D), and symbols of the longer context, already ruled out, are excluded from ``n`` and ``q``; contexts never seen and those with nothing
 left are passed without cost. Below order 0 the symbols not seen are equally likely. So the probabilities of all symbols add up to 1.
 
 Neither the trie nor the text goes through one place. A chunk of documents asks for the distinct (context, symbol) pairs of its text; pairs are dealt
@@ -141,8 +141,8 @@ def log_probabilities(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, t
         at, hit = _found(key, own)
         hit &= ~done
         some = left > 0
-        whole = np.where(some, left + kinds, 1)
-        out += np.where(hit, np.log10(np.where(hit, n[at] if len(n) else 1, 1) / whole), 0)
+        whole = np.where(some, 2 * left, 1)
+        out += np.where(hit, np.log10(np.where(hit, 2 * (n[at] if len(n) else 1) - 1, 1) / whole), 0)
         gone = ~done & ~hit & some
         out += np.where(gone, np.log10(np.where(gone, kinds, 1) / whole), 0)
         done |= hit
