@@ -15,8 +15,8 @@ import numpy as np
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers. ``spaced``: parts after the first keep the space before them."""
 
-    #: Parts held at a time; beyond, all are let go.
-    MOST_PARTS = 800_000
+    #: Parts held; beyond, those not asked for last are let go.
+    MOST_PARTS = 500_000
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,6 +25,7 @@ class Encoder:
         self.library, self.spaced = Tokenizer.from_file(path), spaced
         self.library.encode_special_tokens = True  # names of special tokens in a text are ordinary text
         self.size = self.library.get_vocab_size()
+        self.stops = dict(zip(".,", self.whole([".", ","])))
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = self.first if not spaced else {}
 
@@ -33,11 +34,16 @@ class Encoder:
 
     def _learn(self, held: dict[str, bytes | None], parts: set[str], before: str) -> None:
         new = [p for p in parts if p not in held]
+        ended = [p for p in new if len(p) > 1 and p[-1] in self.stops and p[-2].isalpha()]
+        new = list({*new, *(c for p in ended if (c := p[:-1]) not in held)}.difference(ended))
         plain = [p for p in new if not self.spaced or p and not p[0].isspace() and not p[-1].isspace()]
         held.update(dict.fromkeys(new))
         for at in range(0, len(plain), 512):
             some = plain[at : at + 512]
             held.update(zip(some, self._each([before + p for p in some])))
+        for p in ended:  # a letter and a stop are cut too
+            stem = held[p[:-1]]
+            held[p] = None if stem is None else stem + self.stops[p[-1]]
 
     def _each(self, parts: list[str]) -> list[bytes]:
         """Ids of each part, encoded together as one sequence of words."""
@@ -49,9 +55,6 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
-        if len(self.rest) > self.MOST_PARTS or len(self.first) > self.MOST_PARTS:
-            self.first.clear()
-            self.rest.clear()
         split = [(t or "").split(" ") for t in texts]
         heads, tails = set(), set()
         for parts in split:
@@ -60,6 +63,11 @@ class Encoder:
         self._learn(self.first, heads if self.spaced else heads | tails, "")
         if self.spaced:
             self._learn(self.rest, tails, " ")
+        for held in (self.first, self.rest):
+            if len(held) > self.MOST_PARTS:  # those just asked for stay
+                kept = {p: held[p] for p in heads | tails if p in held}
+                held.clear()
+                held.update(kept)
         out, first, rest = [], self.first, self.rest
         for text, parts in zip(texts, split):
             got = [None, *map(rest.__getitem__, parts[1:])]
