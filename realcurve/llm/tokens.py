@@ -34,14 +34,14 @@ class Encoder:
 
     def _learn(self, held: dict[str, bytes | None], parts: set[str], before: str) -> None:
         new = [p for p in parts if p not in held]
-        ended = [p for p in new if len(p) > 1 and p[-1] in self.stops and p[-2].isalpha()]
+        ended = [p for p in new if len(p) > 1 and p[-1] in self.stops and p[-2] < "\u0250" and p[-2].isalpha() and len(p[-2].lower()) == 1]
         new = list({*new, *(c for p in ended if (c := p[:-1]) not in held)}.difference(ended))
         plain = [p for p in new if not self.spaced or p and not p[0].isspace() and not p[-1].isspace()]
         held.update(dict.fromkeys(new))
         for at in range(0, len(plain), 512):
             some = plain[at : at + 512]
             held.update(zip(some, self._each([before + p for p in some])))
-        for p in ended:  # a letter and a stop are cut too
+        for p in ended:  # a Latin letter and a stop are cut too
             stem = held[p[:-1]]
             held[p] = None if stem is None else stem + self.stops[p[-1]]
 
