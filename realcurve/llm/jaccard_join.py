@@ -2,8 +2,8 @@
 
 Equal shingle sets are one class from the begin. Sets of about the same size share a band. In a band, linked sets differ in at most ``k``
 shingles; shingles are dealt by hash into more than ``k`` parts, so two linked sets agree wholly in some part. The sets that agree in a
-part (a key of band, part and content) are candidates. A set is first compared with the least set of each of its keys, which joins most
-copies of one original without a comparison for each pair. Where members of a key remain in several components, the key is cut into tiles
+part (a key of band, part and content) are candidates. A set is first compared with the least of the sets that it shares a key with, if that is the
+least of the key, which joins most copies of one original without a comparison for each pair. Where members of a key remain in several components, the key is cut into tiles
 of two blocks of bounded size; in a tile the counts of differing bits of two bitmaps bound the overlap from above, and pairs that
 pass are compared by exact intersection of the sorted sets. The result is exact: no link is missed, none is added.
 """
@@ -141,20 +141,22 @@ def _sets(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
-    """The ``src, dst`` pairs that link. The sets of a ``dst`` with many partners are compared in several groups."""
-    spread = pairs.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"))
-    dealt = pairs.join(spread, "dst").withColumn("part", F.pmod(F.xxhash64("src"), F.col("groups")))
-    asked = dealt.join(sets.select(F.col("cls").alias("src"), "hashes"), "src").select("dst", "part", "src", "hashes")
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))
-    pivots = spread.select("dst", parts.alias("part")).join(sets.select(F.col("cls").alias("dst"), "hashes"), "dst").select("dst", "part", F.col("dst").alias("src"), "hashes")
+    """The ``src, dst`` pairs that link, from a written table. The partners of a ``dst`` are cut into parts, and parts share tasks by hash."""
+    spread = pairs.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    tasks = -(-pairs.count() // BLOCK) or 1
+    task = F.pmod(F.xxhash64("dst", "part"), F.lit(tasks)).alias("task")
+    dealt = pairs.join(spread, "dst").withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts"))).select("src", "dst", task)
+    asked = dealt.join(sets.select(F.col("cls").alias("src"), "hashes"), "src").select("task", "src", "dst", "hashes")
+    parts = spread.select("dst", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("dst", task).distinct()
+    pivots = parts.join(sets.select(F.col("cls").alias("dst"), "hashes"), "dst").select("task", F.col("dst").alias("src"), "dst", "hashes")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["src"] == rows["dst"]
-        pivot = np.frombuffer(rows["hashes"][own].iloc[0], np.uint64)
+        own = (rows["src"] == rows["dst"]).to_numpy()
+        pivot = {d: np.frombuffer(h, np.uint64) for d, h in zip(rows["dst"][own], rows["hashes"][own])}
         asked = rows[~own]
-        return asked.loc[[linked(np.frombuffer(x, np.uint64), pivot, like) for x in asked["hashes"]], ["src", "dst"]]
+        return asked.loc[[linked(np.frombuffer(x, np.uint64), pivot[d], like) for x, d in zip(asked["hashes"], asked["dst"])], ["src", "dst"]]
 
-    return asked.union(pivots).groupBy("dst", "part").applyInPandas(run, "src long, dst long")
+    return asked.union(pivots).groupBy("task").applyInPandas(run, "src long, dst long")
 
 
 def _tiled(members: DataFrame, sets: DataFrame, like: int) -> DataFrame:
@@ -168,22 +170,28 @@ def _tiled(members: DataFrame, sets: DataFrame, like: int) -> DataFrame:
     tiles = tiles.join(sets.select("cls", "bits", (F.length("hashes") / 8).cast("long").alias("size")), "cls")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-        maps, size = _folded(rows["bits"].tolist()), rows["size"].to_numpy()
-        cls, component, own = rows["cls"].to_numpy(), rows["component"].to_numpy(), rows["own"].to_numpy()
-        out = []
-        for i in range(len(rows)):
-            other = cls > cls[i] if low == high else own != own[i]
-            if low != high and own[i] == high:
-                continue
-            j = np.flatnonzero(other & (component != component[i]))
-            both = size[j] + size[i]
-            overlap = (both - np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1)) // 2
-            j = j[100 * overlap >= like * (both - overlap)]
-            out.append(pd.DataFrame({"src": np.maximum(cls[j], cls[i]), "dst": np.minimum(cls[j], cls[i])}))
-        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": []}, dtype="int64")
-
-    return tiles.groupBy("key", "low", "high").applyInPandas(run, "src long, dst long").distinct()
+        rows = rows.sort_values(["key", "low", "high"], kind="stable")
+        tile = rows[["key", "low", "high"]].to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]).any(axis=1), [True])))
+        columns = [rows[c].to_numpy() for c in ("cls", "component", "own", "size")]
+        bits, out = rows["bits"].tolist(), []
+        for a, b in zip(edges[:-1], edges[1:]):
+            one_block, top = tile[a, 1] == tile[a, 2], tile[a, 2]
+            maps = _folded(bits[a:b])
+            cls, component, own, size = (c[a:b] for c in columns)
+            for i in range(b - a):
+                if not one_block and own[i] == top:
+                    continue
+                j = np.flatnonzero((cls > cls[i] if one_block else own == top) & (component != component[i]))
+                both = size[j] + size[i]
+                overlap = (both - np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)) // 2
+                j = j[100 * overlap >= like * (both - overlap)]
+                if len(j):
+                    out.append((np.maximum(cls[j], cls[i]), np.minimum(cls[j], cls[i])))
+        return pd.DataFrame({"src": np.concatenate([x for x, _ in out]), "dst": np.concatenate([y for _, y in out])}) if out else pd.DataFrame({"src": [], "dst": []}, dtype="int64")
+
+    tasks = -(-members.count() // (8 * BLOCK)) or 1
+    return tiles.withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks))).groupBy("task").applyInPandas(run, "src long, dst long").distinct()
 
 
 def join(docs: DataFrame, land: Land, shingle: int = SHINGLE, like: int = LIKE) -> DataFrame:
@@ -200,7 +208,8 @@ def join(docs: DataFrame, land: Land, shingle: int = SHINGLE, like: int = LIKE)
     shared = land(shared.where("pivot < top").select("key", "cls", "pivot").distinct())
     reps = real.join(shared.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     sets = land(_sets(docs, reps, shingle))
-    stars = land(_verified(shared.where("cls <> pivot").select(F.col("cls").alias("src"), F.col("pivot").alias("dst")).distinct(), sets, like))
+    stars = shared.where("cls <> pivot").groupBy(F.col("cls").alias("src")).agg(F.min("pivot").alias("dst"))
+    stars = land(_verified(land(stars), sets, like))
     found = components(stars, land)
     spread = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
     spread = spread.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key))
