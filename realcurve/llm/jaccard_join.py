@@ -2,8 +2,8 @@
 
 Equal shingle sets are one class from the begin. Sets of about the same size share a band. In a band, linked sets differ in at most ``k``
 shingles; shingles are dealt by hash into more than ``k`` parts, so two linked sets agree wholly in some part. The sets that agree in a
-part (a key of band, part and content) are candidates. A set is first compared with the least of the sets that it shares a key with, if that is the
-least of the key, which joins most copies of one original without a comparison for each pair. Where members of a key remain in several components, the key is cut into tiles
+part (a key of band, part and content) are candidates. The pivot of a key is the one of its sets with the most shared keys. A set is first compared with
+its pivots, which joins most copies of one original without a comparison for each pair. Where members of a key remain in several components, the key is cut into tiles
 of two blocks of bounded size; in a tile the counts of differing bits of two bitmaps bound the overlap from above, and pairs that
 pass are compared by exact intersection of the sorted sets. The result is exact: no link is missed, none is added.
 """
@@ -78,8 +78,8 @@ def linked(a: np.ndarray, b: np.ndarray, like: int = LIKE) -> bool:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """One bit for each hash, in a map of two to four bits a member."""
-    width = 1 << max(7, int(2 * len(h)).bit_length())
+    """One bit for each hash, in a map of eight to sixteen bits a member."""
+    width = 1 << max(7, (8 * len(h)).bit_length())
     bits = np.zeros(width, bool)
     bits[(h % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -204,17 +204,23 @@ def join(docs: DataFrame, land: Land, shingle: int = SHINGLE, like: int = LIKE)
     described = land(_described(docs, shingle))
     real = described.where("doc_id is not null and n_shingles > 0")
     by_key = Window.partitionBy("key")
-    shared = _keyed(docs, shingle, like).withColumn("pivot", F.min("cls").over(by_key)).withColumn("top", F.max("cls").over(by_key))
-    shared = land(shared.where("pivot < top").select("key", "cls", "pivot").distinct())
+    shared = _keyed(docs, shingle, like).withColumn("low", F.min("cls").over(by_key)).withColumn("top", F.max("cls").over(by_key))
+    shared = land(shared.where("low < top").select("key", "cls").distinct())
+    # the pivot of a key is its set with the most shared keys: copies share more with their original than with each other
+    ranked = shared.join(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("keys")), "cls")
+    shared = land(ranked.withColumn("pivot", F.max(F.struct("keys", "cls")).over(by_key)["cls"]).select("key", "cls", "pivot"))
     reps = real.join(shared.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     sets = land(_sets(docs, reps, shingle))
-    stars = shared.where("cls <> pivot").groupBy(F.col("cls").alias("src")).agg(F.min("pivot").alias("dst"))
-    stars = land(_verified(land(stars), sets, like))
-    found = components(stars, land)
-    spread = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
-    spread = spread.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key))
-    rest = land(_tiled(land(spread.where("least < most").select("key", "cls", "component")), sets, like))
-    links = stars.union(_verified(rest, sets, like)).union(_one_id(real))
+    asked = shared.where("cls <> pivot").groupBy(F.col("cls").alias("src"), F.col("pivot").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    asked = land(asked.groupBy("src").agg(F.max(F.struct("n", "dst"))["dst"].alias("dst")))  # the pivot that a set shares most with
+    links = land(_verified(asked, sets, like))
+    parted = land(_parted(shared, links, land))
+    # then the other pivots of keys that are still in parts
+    other = parted.where("cls <> pivot and component <> pivot_component").select(F.col("cls").alias("src"), F.col("pivot").alias("dst")).distinct()
+    other = land(other.join(asked, ["src", "dst"], "left_anti"))
+    links = land(links.union(_verified(other, sets, like)))
+    rest = land(_tiled(land(_parted(shared, links, land).select("key", "cls", "component")), sets, like))
+    links = links.union(_verified(rest, sets, like)).union(_one_id(real))
     found = components(land(links), land)
     named = described.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
     least = named.where("doc_id is not null and n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -222,6 +228,16 @@ def join(docs: DataFrame, land: Land, shingle: int = SHINGLE, like: int = LIKE)
     return out.union(described.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _parted(shared: DataFrame, links: DataFrame, land: Land) -> DataFrame:
+    """The rows of keys whose sets are in several components of ``links``, with components."""
+    by_key = Window.partitionBy("key")
+    found = components(links, land).withColumnRenamed("node", "cls")
+    named = shared.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = named.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key))
+    named = named.withColumn("pivot_component", F.max(F.when(F.col("cls") == F.col("pivot"), F.col("component"))).over(by_key))
+    return named.where("least < most").select("key", "cls", "pivot", "component", "pivot_component")
+
+
 def _one_id(real: DataFrame) -> DataFrame:
     """Links between the classes of an id that has several."""
     pairs = real.select("doc_id", "cls").distinct()
