@@ -28,7 +28,7 @@ BLOCK, LANES, SPAN = 1 << 16, 64, 256
 #: log2 of the sum of a table, and the least state of a coder.
 SCALE, LOW = 20, np.uint64(1 << 31)
 #: Bytes of text wished for in a segment.
-SEGMENT = 8 << 20
+SEGMENT = 4 << 20
 #: The id after each document.
 END = 0
 

@@ -16,7 +16,7 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit numbers. ``spaced``: parts after the first keep the space before them."""
 
     #: Parts held; beyond, those not asked for last are let go.
-    MOST_PARTS = 500_000
+    MOST_PARTS = 250_000
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,21 +38,11 @@ class Encoder:
         new = list({*new, *(c for p in ended if (c := p[:-1]) not in held)}.difference(ended))
         plain = [p for p in new if not self.spaced or p and not p[0].isspace() and not p[-1].isspace()]
         held.update(dict.fromkeys(new))
-        for at in range(0, len(plain), 512):
-            some = plain[at : at + 512]
-            held.update(zip(some, self._each([before + p for p in some])))
+        held.update(zip(plain, self.whole([before + p for p in plain])))
         for p in ended:  # a Latin letter and a stop are cut too
             stem = held[p[:-1]]
             held[p] = None if stem is None else stem + self.stops[p[-1]]
 
-    def _each(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part, encoded together as one sequence of words."""
-        found = self.library.encode(parts, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        edges = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(parts) + 1)) * 4
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
         split = [(t or "").split(" ") for t in texts]
@@ -81,7 +71,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return Encoder(path, spaced)
 
 
-def in_slices(texts: list[str | None], size: int = 4 << 20):
+def in_slices(texts: list[str | None], size: int = 1 << 20):
     """Index ranges of texts of about ``size`` characters together."""
     at, held = 0, 0
     for i, t in enumerate(texts):
