@@ -45,7 +45,12 @@ _SHIPPED: set[str] = set()
 
 
 def with_code(spark: SparkSession) -> SparkSession:
-    """The session, its Python workers able to import this package: its sources are added to the application once, as --py-files would."""
+    """The session, its Python workers able to import this package: its sources are added to the application once, as --py-files would.
+
+    Rows may be long texts, so where the session has the usual number of rows of an Arrow batch, it gets a smaller one.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root, held = Path(realcurve.__file__).parent, io.BytesIO()

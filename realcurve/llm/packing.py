@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,11 +35,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def projection(ids: np.ndarray) -> np.ndarray:
-    """The mean of the ids' fixed random signs, times the root of their number."""
-    h = mixed(ids.astype(np.uint64) + np.uint64(0x5EED))
-    signs = ((h[:, None] >> np.arange(DIMS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64) * 2 - 1
-    return signs.mean(axis=0)
+@lru_cache(maxsize=2)
+def signs(size: int) -> np.ndarray:
+    """Fixed random signs of each id, one for each dimension."""
+    h = mixed(np.arange(size, dtype=np.uint64) + np.uint64(0x5EED))
+    return (((h[:, None] >> np.arange(DIMS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1).astype(np.float32)
+
+
+def projection(ids: np.ndarray, size: int) -> np.ndarray:
+    """The mean of the ids' signs."""
+    return signs(size)[ids].mean(axis=0, dtype=np.float64)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -80,7 +86,7 @@ def tokenized(docs: DataFrame, path: str, spaced: bool, end: int) -> DataFrame:
             texts = batch["text"].tolist()
             for a, b in in_slices(texts):
                 ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in enc.encode(texts[a:b])]
-                v = np.stack([projection(x) for x in ids])
+                v = np.stack([projection(x, max(enc.size, end + 1)) for x in ids])
                 out = {"doc_id": batch["doc_id"].iloc[a:b].astype("Int64"), "ids": [x.astype(kind).tobytes() for x in ids], "n": [len(x) for x in ids], "tie": batch["tie"].iloc[a:b]}
                 yield pd.DataFrame(out | {f"v{d}": v[:, d] for d in range(DIMS)})
 

@@ -16,7 +16,7 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit numbers. ``spaced``: parts after the first keep the space before them."""
 
     #: Parts held; beyond, those not asked for last are let go.
-    MOST_PARTS = 250_000
+    MOST_PARTS = 600_000
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,7 +38,9 @@ class Encoder:
         new = list({*new, *(c for p in ended if (c := p[:-1]) not in held)}.difference(ended))
         plain = [p for p in new if not self.spaced or p and not p[0].isspace() and not p[-1].isspace()]
         held.update(dict.fromkeys(new))
-        held.update(zip(plain, self.whole([before + p for p in plain])))
+        for at in range(0, len(plain), 2000):  # the library's results are large beside their ids
+            some = plain[at : at + 2000]
+            held.update(zip(some, self.whole([before + p for p in some])))
         for p in ended:  # a Latin letter and a stop are cut too
             stem = held[p[:-1]]
             held[p] = None if stem is None else stem + self.stops[p[-1]]
