@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_code
+from .common import Land, landing, table, with_code
 
 #: Bytes of an n-gram.
 SIZES = (3, 4, 5, 6)
@@ -101,7 +101,8 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _sampled(rows: DataFrame, toxic: int) -> pd.DataFrame:
     """At most ``FIT_ROWS`` rows of a class, drawn by a hash of the text."""
     own = rows.where(F.col("toxic") == toxic).select("text", F.xxhash64("text").alias("draw"))
-    return own.orderBy("draw").limit(FIT_ROWS).select("text").toPandas()
+    last = own.select("draw").orderBy("draw").limit(FIT_ROWS).agg(F.max("draw").alias("draw")).first()["draw"]
+    return own.where(F.col("draw") <= last).orderBy("draw").limit(FIT_ROWS).select("text").toPandas()
 
 
 def _fit(ratio: np.ndarray, texts: list[str | None], y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -165,14 +166,14 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, toxic`` of the documents that have a label and are not held out; an id with several labels counts by its largest."""
+def labelled(docs: DataFrame, labels: DataFrame, land: Land) -> DataFrame:
+    """``text, toxic`` of the documents that have a label and are not held out, written once; an id with several labels counts by its largest."""
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(fold(F.col("doc_id"), 3) != 1).join(known, "doc_id")
+    return land.compressed(docs.select("doc_id", "text").where(fold(F.col("doc_id"), 3) != 1).join(known, "doc_id").select("text", "toxic"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` scored by a model of the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(labelled(docs, table(spark, sf_dir, "labels")))
+    model = train(labelled(docs, table(spark, sf_dir, "labels"), landing(spark)))
     return scored(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")

@@ -309,7 +309,7 @@ def test_toxicity_on_held_out_rows(spark, land):
         rows.append((k, " ".join(w)))
         marks.append((k, int(toxic)))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
-    model = toxicity.train(toxicity.labelled(docs, labels))
+    model = toxicity.train(toxicity.labelled(docs, labels, land))
     got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
     held = [k for k, _ in marks if held_out(k, 3)]
     assert len(held) > 150
