@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is scored like any other; a null id takes part in no label.
     """
-    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), landing(spark)))
     names = [f"c{i}" for i in range(len(docs.columns))]  # clashes with the score columns are so ruled out
     text = names[docs.columns.index("text")]
     judged = toxicity.scored(docs.toDF(*names).withColumn("text", F.col(text)), model)
