@@ -183,6 +183,8 @@ def _found(own: DataFrame, index: Index, least: float) -> DataFrame:
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             x = _unit(batch["vector"])
             home = held.value.cells(x)
             visits = [v[v != h] for v, h in zip(held.value.visits(x), home)]
@@ -237,6 +239,8 @@ def _found(own: DataFrame, index: Index, least: float) -> DataFrame:
 def _seen(held):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             x = _unit(batch["vector"])
             visits = list(held.value.visits(x))
             who = np.repeat(np.arange(len(batch)), [len(v) for v in visits])
