@@ -83,6 +83,8 @@ def _squared(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def _codes(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     codes = x[rng.choice(len(x), k, replace=False)]
+    if not x.shape[1]:  # the right half of vectors of one number
+        return codes
     for _ in range(ROUNDS):
         near = _squared(x, codes).argmin(axis=1)
         count = np.bincount(near, minlength=k)
