@@ -125,36 +125,52 @@ def _keyed(docs: DataFrame, shingle: int, like: int) -> DataFrame:
     return docs.where("doc_id is not null").select("text").mapInPandas(run, "key long, cls long")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """``cls, hashes, bits`` of the classes in ``reps`` (``doc_id, cls``)."""
+def _texts(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """``cls, text`` of the classes in ``reps`` (``doc_id, cls``). A text is a third of its hashes on disk, so hashes are made where they meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            own = []
             for text, c in zip(batch["text"], batch["cls"]):
                 h = shingle_hashes(lowered(text), shingle)
-                if len(h) and class_of(h) == c:  # else another text of a repeated id
-                    rows.append((c, h.tobytes(), bitmap(h)))
-            yield pd.DataFrame(rows, columns=["cls", "hashes", "bits"])
+                own.append(len(h) > 0 and class_of(h) == c)  # else another text of a repeated id
+            yield batch.loc[own, ["cls", "text"]]
 
-    return docs.select("doc_id", "text").join(reps, "doc_id").select("text", "cls").mapInPandas(run, "cls long, hashes binary, bits binary").dropDuplicates(["cls"])
+    met = docs.select("doc_id", "text").join(reps, "doc_id").where("rows > 1").select("cls", "text").dropDuplicates()
+    several = met.mapInPandas(run, "cls long, text string").dropDuplicates(["cls"])
+    return docs.select("doc_id", "text").join(reps.where("rows = 1"), "doc_id").select("cls", "text").union(several)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
-    """The ``src, dst`` pairs that link, from a written table. The partners of a ``dst`` are cut into parts, and parts share tasks by hash."""
+def _sets(texts: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """``cls, hashes, bits`` of the texts whose class is in ``classes``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_hashes(lowered(t), shingle) for t in batch["text"]]
+            yield pd.DataFrame({"cls": batch["cls"], "hashes": [h.tobytes() for h in sets], "bits": [bitmap(h) for h in sets]})
+
+    return texts.join(classes, "cls", "left_semi").select("cls", "text").mapInPandas(run, "cls long, hashes binary, bits binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, shingle: int, like: int) -> DataFrame:
+    """The ``src, dst`` pairs that link, from a written table; ``sets`` has ``cls`` and either ``hashes`` or ``text``. The partners of a ``dst`` are cut into parts, and parts share tasks by hash."""
+    form = "hashes" if "hashes" in sets.columns else "text"
     spread = pairs.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     tasks = -(-pairs.count() // BLOCK) or 1
     task = F.pmod(F.xxhash64("dst", "part"), F.lit(tasks)).alias("task")
     dealt = pairs.join(spread, "dst").withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts"))).select("src", "dst", task)
-    asked = dealt.join(sets.select(F.col("cls").alias("src"), "hashes"), "src").select("task", "src", "dst", "hashes")
+    asked = dealt.join(sets.select(F.col("cls").alias("src"), form), "src").select("task", "src", "dst", form)
     parts = spread.select("dst", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("dst", task).distinct()
-    pivots = parts.join(sets.select(F.col("cls").alias("dst"), "hashes"), "dst").select("task", F.col("dst").alias("src"), "dst", "hashes")
+    pivots = parts.join(sets.select(F.col("cls").alias("dst"), form), "dst").select("task", F.col("dst").alias("src"), "dst", form)
+
+    def hashes(held: bytes | str) -> np.ndarray:
+        return np.frombuffer(held, np.uint64) if form == "hashes" else shingle_hashes(lowered(held), shingle)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = (rows["src"] == rows["dst"]).to_numpy()
-        pivot = {d: np.frombuffer(h, np.uint64) for d, h in zip(rows["dst"][own], rows["hashes"][own])}
+        pivot = {d: hashes(h) for d, h in zip(rows["dst"][own], rows[form][own])}
         asked = rows[~own]
-        return asked.loc[[linked(np.frombuffer(x, np.uint64), pivot[d], like) for x, d in zip(asked["hashes"], asked["dst"])], ["src", "dst"]]
+        return asked.loc[[linked(hashes(x), pivot[d], like) for x, d in zip(asked[form], asked["dst"])], ["src", "dst"]]
 
     return asked.union(pivots).groupBy("task").applyInPandas(run, "src long, dst long")
 
@@ -209,18 +225,21 @@ def join(docs: DataFrame, land: Land, shingle: int = SHINGLE, like: int = LIKE)
     # the pivot of a key is its set with the most shared keys: copies share more with their original than with each other
     ranked = shared.join(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("keys")), "cls")
     shared = land(ranked.withColumn("pivot", F.max(F.struct("keys", "cls")).over(by_key)["cls"]).select("key", "cls", "pivot"))
-    reps = real.join(shared.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = land(_sets(docs, reps, shingle))
+    many = described.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    reps = real.join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(many, "doc_id")
+    reps = land(reps)
+    texts = land.compressed(_texts(docs, reps, shingle))
     asked = shared.where("cls <> pivot").groupBy(F.col("cls").alias("src"), F.col("pivot").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
     asked = land(asked.groupBy("src").agg(F.max(F.struct("n", "dst"))["dst"].alias("dst")))  # the pivot that a set shares most with
-    links = land(_verified(asked, sets, like))
+    links = land(_verified(asked, texts, shingle, like))
     parted = land(_parted(shared, links, land))
     # then the other pivots of keys that are still in parts
     other = parted.where("cls <> pivot and component <> pivot_component").select(F.col("cls").alias("src"), F.col("pivot").alias("dst")).distinct()
     other = land(other.join(asked, ["src", "dst"], "left_anti"))
-    links = land(links.union(_verified(other, sets, like)))
+    sets = land(_sets(texts, parted.select("cls").distinct(), shingle))
+    links = land(links.union(_verified(other, sets, shingle, like)))
     rest = land(_tiled(land(_parted(shared, links, land).select("key", "cls", "component")), sets, like))
-    links = links.union(_verified(rest, sets, like)).union(_one_id(real))
+    links = links.union(_verified(rest, sets, shingle, like)).union(_one_id(real))
     found = components(land(links), land)
     named = described.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
     least = named.where("doc_id is not null and n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
