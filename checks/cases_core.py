@@ -24,9 +24,9 @@ case("dated_date", "bond_id dated:d", lambda p: landed.dated_date(p.bonds, p.auc
      "SELECT b.bond_id, coalesce(arg_min(a.dated_date, a.auction_date), any_value(b.issue)) AS dated FROM fx_static b LEFT JOIN fx_auctions a USING (bond_id) GROUP BY 1")
 case("coupon_freq", "bond_id freq", lambda p: walk.bond_rules(p.bonds, p.conv, p.series),
      "SELECT bond_id, coalesce(c.freq, CASE WHEN static_freq > 0 THEN static_freq END, c.freq_default, 2) AS freq FROM fx_static b JOIN fx_conv c ON c.conv_id = b.conv_id")
-case("scan_universe", "bond_id market", lambda p: landed.scan_universe(landed.build_universe(p.bonds, p.conv)),
+case("scan_universe", "bond_id market", lambda p: landed.scan_universe(landed.build_universe(p.bonds, p.conv, p.idle)),
      "SELECT bond_id, market FROM fx_static WHERE linked AND NOT deferred AND bond_id % 41 <> 8")
-case("build_universe", "bond_id market country program freq deferred", lambda p: landed.build_universe(p.bonds, p.conv),
+case("build_universe", "bond_id market country program freq deferred", lambda p: landed.build_universe(p.bonds, p.conv, p.idle),
      "SELECT bond_id, market, c.country, c.program, c.freq, (c.deferred OR bond_id % 41 = 8) AS deferred FROM fx_static b JOIN fx_conv c ON c.conv_id = b.market WHERE linked")
 case("scan_pair_map", "real_id nominal_id beta:4 note", lambda p: pairs.scan_pair_map(p.pair_map),
      "SELECT bond_id AS real_id, bond_id + 1 AS nominal_id, 1.0 AS beta, 'L' || bond_id || ' vs N' || (bond_id + 1) AS note FROM fx_static WHERE linked")
@@ -188,13 +188,13 @@ case("feed_coverage", "ids:i present:i first:d last:d pct", lambda p: quality.fe
 case("topup_merge", "bond_id date:d clean:6 ytm:6 vendor_ir:6", lambda p: incremental.topup_merge(*landed.revision_split(p.quotes)),
      """SELECT bond_id, date, CASE WHEN date >= DATE '1999-06-01' AND bond_id % 2 = 0 THEN clean + 0.5 ELSE clean END AS clean, ytm, CASE WHEN date < DATE '2000-06-01' OR bond_id % 2 = 1 THEN vendor_ir END AS vendor_ir
      FROM fx_quotes WHERE NOT (bond_id % 2 = 1 AND date >= DATE '2000-06-01')""")
-case("topup_start", "bond_id last_date:d start:d", lambda p: incremental.topup_start(p.quotes, p.bonds, F.lit(p.as_of).cast("date")),
-     "SELECT bond_id, max(q.date) AS last_date, max(q.date) - 7 AS start FROM fx_quotes q JOIN fx_static b USING (bond_id) WHERE maturity > DATE '2001-12-01' AND NOT deferred GROUP BY 1")
+case("topup_start", "bond_id last_date:d start:d", lambda p: incremental.topup_start(p.quotes, p.bonds, F.lit(p.as_of).cast("date"), p.idle),
+     "SELECT bond_id, max(q.date) AS last_date, max(q.date) - 7 AS start FROM fx_quotes q JOIN fx_static b USING (bond_id) WHERE maturity > DATE '2001-12-01' AND NOT deferred AND bond_id % 41 <> 8 GROUP BY 1")
 case("missing_ids", "bond_id", lambda p: incremental.missing_ids(p.bonds, p.quotes.where("bond_id % 9 <> 4")),
      "SELECT bond_id FROM fx_static WHERE bond_id NOT IN (SELECT bond_id FROM fx_quotes WHERE bond_id % 9 <> 4)")
 case("market_matrix", "market country program index_id freq settle_lag cal_id floor quote ccy repo_id lag_months interp deferred bonds:i",
      lambda p: landed.market_matrix(p.bonds),
      """SELECT c.conv_id AS market, c.country, c.program, c.index_id, c.freq, c.settle_lag, c.cal_id, c.floor, c.quote, c.ccy, c.repo_id, c.lag_months, c.interp, c.deferred, count(b.bond_id) AS bonds
      FROM fx_conv c LEFT JOIN fx_static b ON b.market = c.conv_id WHERE c.conv_id NOT LIKE 'NOM%' AND c.conv_id NOT LIKE 'US%' GROUP BY ALL""")
-case("universe_counts", "country program bonds:i", lambda p: landed.universe_counts(landed.build_universe(p.bonds, p.conv), ["country", "program"]),
+case("universe_counts", "country program bonds:i", lambda p: landed.universe_counts(landed.build_universe(p.bonds, p.conv, p.idle), ["country", "program"]),
      "SELECT c.country, c.program, count(*) AS bonds FROM fx_static b JOIN fx_conv c ON c.conv_id = b.market GROUP BY 1, 2")

@@ -159,7 +159,7 @@ case("mart_bonds", "bond_id market country program maturity:d first_issue:d coup
 case("write_mart", "market bucket rows:i", lambda p: cleaning.round_trip_mart(p.spark, cmt.mart_cmt(p.buckets)), "SELECT market, bucket, count(*) AS rows FROM bk_series GROUP BY 1, 2")
 
 # ------------------------------------------------------------------ raw exports
-case("import_pair_map", "status real_id nominal_id beta:2 note beta_1m:2 beta_3m:2", lambda p: cleaning.import_pair_map(cleaning.comparator_report(p.bonds), landed.build_universe(p.bonds, p.conv)),
+case("import_pair_map", "status real_id nominal_id beta:2 note beta_1m:2 beta_3m:2", lambda p: cleaning.import_pair_map(cleaning.comparator_report(p.bonds), landed.build_universe(p.bonds, p.conv, p.idle)),
      """WITH a AS (SELECT bond_id, country FROM fx_static WHERE linked AND NOT deferred AND bond_id % 41 <> 8),
      r AS (SELECT bond_id FROM fx_static WHERE linked AND bond_id % 10 <> 6 AND bond_id % 14 <> 0)
      SELECT 'mapped' AS status, CAST(r.bond_id AS VARCHAR) AS real_id, CAST(r.bond_id + 1 AS VARCHAR) AS nominal_id, 1.0 AS beta, 'L' || r.bond_id || ' vs N' || (r.bond_id + 1) AS note,

@@ -134,10 +134,11 @@ WITH j AS (
   SELECT q.*, b.* EXCLUDE (bond_id), c.* EXCLUDE (country, deferred, conv_id), c.conv_id AS ck,
     COALESCE(c.freq, CASE WHEN static_freq > 0 THEN static_freq END, freq_default, 2) AS f
   FROM fx_quotes q JOIN fx_static b USING (bond_id) JOIN fx_conv c ON c.conv_id = b.{conv_key}
-  WHERE q.date >= b.dated AND q.date < b.maturity),
+  WHERE q.clean IS NOT NULL AND q.ytm IS NOT NULL),
 n AS (SELECT j.*, k.seq AS s0 FROM j ASOF JOIN fx_cal k ON j.cal_id = k.cal_id AND j.date < k.date),
 t AS (SELECT n.*, least(s0 + settle_lag - 1, (SELECT max(seq) FROM fx_cal y WHERE y.cal_id = n.cal_id)) AS sq FROM n)
-SELECT t.*, k.date AS settle FROM t JOIN fx_cal k ON k.cal_id = t.cal_id AND k.seq = t.sq""")
+SELECT t.*, k.date AS settle FROM t JOIN fx_cal k ON k.cal_id = t.cal_id AND k.seq = t.sq
+WHERE k.date >= t.dated AND k.date < t.maturity""")
     cte(f"{prefix}_dri", f"""
 SELECT settle, index_id, lag_months, interp, {dri('o.settle', 'o.index_id', 'o.lag_months', 'o.interp')} AS dri
 FROM (SELECT DISTINCT settle, index_id, lag_months, interp FROM {prefix}_settled WHERE index_id IS NOT NULL) o""")
@@ -327,9 +328,9 @@ cte("seas_be", "SELECT *, linked_pnl - nominal_pnl AS value FROM seas")
 # ------------------------------------------------------------------ hedge pairs
 for nm, fut in (("gas", "gas_spl"), ("crude", "crude_spl")):
     cte(f"pairs_{nm}", f"""
-SELECT tenor, date, x_usd, linked_usd, nominal_usd, linked_usd - nominal_usd AS be_usd FROM (
+SELECT * FROM (SELECT tenor, date, x_usd, linked_usd, nominal_usd, linked_usd - nominal_usd AS be_usd FROM (
   SELECT r.tenor, f.date, any_value(f.usd_per_contract) AS x_usd, sum(r_linked_bp) * 100000.0 AS linked_usd, sum(r_nominal_bp) * 100000.0 AS nominal_usd
-  FROM tenor_rets r ASOF JOIN {fut} f ON r.date <= f.date GROUP BY 1, 2)""")
+  FROM tenor_rets r ASOF JOIN {fut} f ON r.date <= f.date GROUP BY 1, 2)) WHERE be_usd IS NOT NULL""")
     cte(f"pts_{nm}", f"SELECT tenor, date, x_usd AS x, be_usd AS y FROM pairs_{nm} WHERE be_usd IS NOT NULL")
 cte("wf_rows", """
 SELECT p.*, m.month, m.rebalance, y.w AS win, y.y AS years, CAST(m.rebalance - to_months(12 * y.y - 2) AS DATE) AS reach
@@ -376,7 +377,7 @@ FROM fx_taps WHERE linked GROUP BY 1, 2, 3, 4""")
 cte("iss_lines", """
 SELECT market, country, bond_id, issue AS issue_date, year(issue) AS issue_year, maturity, year(maturity) AS maturity_year,
   CAST(round_even((maturity - issue) / 365.25, 0) AS INTEGER) AS orig_tenor, round(amt_issued / 1e9, 2) AS amt_issued_bn, round(amt_out / 1e9, 2) AS amt_out_bn
-FROM fx_static WHERE linked AND NOT deferred""")
+FROM fx_static WHERE linked AND NOT deferred AND bond_id % 41 <> 8""")
 cte("iss_reop", """
 SELECT l.market, e.bond_id, e.event_date, year(e.event_date) AS event_year, 'reopening' AS type, round(e.amount / 1e9, 2) AS amt_bn, orig_tenor,
   CAST(round_even((maturity - e.event_date) / 365.25, 0) AS INTEGER) AS remaining_tenor, maturity, 'taps' AS source

@@ -14,7 +14,6 @@ from ..functions.daycount import nth_weekday
 from ..sources.conventions import CALENDAR_SERIES, REPO_LADDERS, inline
 
 FORWARD_DAYS = 400  # fixed value: weekdays assumed open after the last print
-LOOKBACK_DAYS = 366
 
 
 def trading_calendar(series: DataFrame, calendar_series: dict[str, str] = CALENDAR_SERIES) -> DataFrame:
@@ -31,13 +30,23 @@ def trading_calendar(series: DataFrame, calendar_series: dict[str, str] = CALEND
 
 
 def dense_days(calendar: DataFrame) -> DataFrame:
-    """Every calendar day of each calendar with ``next_seq``, the ordinal of the first open day after it."""
+    """Days from the eve of each calendar's first open day to its last one, with ``next_seq``, the ordinal of the first open day after.
+
+    Earlier days count from the first open day as its eve does; ``clipped`` moves any day into the span.
+    """
     span = calendar.groupBy("cal_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.max("seq").alias("last_seq"))
-    grid = span.select("cal_id", "last_seq", F.explode(F.sequence(F.date_sub("lo", LOOKBACK_DAYS), F.col("hi"))).alias("date"))
+    grid = span.select("cal_id", "last_seq", F.explode(F.sequence(F.date_sub("lo", 1), F.col("hi"))).alias("date"))
     passed = F.count("seq").over(Window.partitionBy("cal_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     return grid.join(calendar, ["cal_id", "date"], "left").withColumn("next_seq", (passed + 1).cast("int"))
 
 
+def clipped(obs: DataFrame, days: DataFrame, keys: list[str], on: str = "date", out: str = "__at") -> DataFrame:
+    """``obs`` with its day moved to the nearest one that ``days`` has for the keys; rows whose keys ``days`` lacks keep their day."""
+    ends = days.groupBy(*keys).agg(F.min("date").alias("__lo"), F.max("date").alias("__hi"))
+    near = F.least(F.greatest(F.col(on), F.col("__lo")), F.col("__hi"))
+    return obs.join(F.broadcast(ends), keys, "left").withColumn(out, F.when(F.col(on).isNotNull(), near)).drop("__lo", "__hi")
+
+
 def settle_days(calendar: DataFrame, lags: DataFrame) -> DataFrame:
     """Settlement date of every day: the lag-th open day strictly after it, clipped to the last one.
 
@@ -51,26 +60,44 @@ def settle_days(calendar: DataFrame, lags: DataFrame) -> DataFrame:
 
 
 def settle_join(obs: DataFrame, calendar: DataFrame, lags: DataFrame) -> DataFrame:
-    """Attach ``settle`` to observations carrying cal_id, settle_lag and date."""
-    return obs.join(F.broadcast(settle_days(calendar, lags)), ["cal_id", "settle_lag", "date"])
+    """Attach ``settle`` to observations carrying cal_id, settle_lag and date.
+
+    Days before the calendar count from its first open day, later ones settle on its last; null where there is no such calendar.
+    """
+    keys = ["cal_id", "settle_lag"]
+    days = settle_days(calendar, lags)
+    looked = days.withColumnRenamed("date", "__at")
+    return clipped(obs, days, keys).join(F.broadcast(looked), [*keys, "__at"], "left").drop("__at")
 
 
 def first_bday_on_or_after(days: DataFrame, calendar: DataFrame, on: str, cal_id: str, out: str = "bday") -> DataFrame:
     """Next open day at or after each date; null past the end of the calendar."""
     day_map = dense_days(calendar.where(F.col("cal_id") == cal_id))
+    early = day_map.groupBy("cal_id").agg(F.min("date").alias("__lo"))
     first = F.when(F.col("seq").isNotNull(), F.col("seq")).otherwise(F.col("next_seq"))
-    looked = day_map.select(F.col("date").alias(on), first.cast("int").alias("__seq"))
+    looked = day_map.select(F.col("date").alias("__at"), first.cast("int").alias("__seq"))
     open_days = calendar.where(F.col("cal_id") == cal_id).select(F.col("seq").alias("__seq"), F.col("date").alias(out))
-    return days.join(F.broadcast(looked.join(open_days, "__seq").drop("__seq")), on, "left")
+    placed = _from_eve(days, early, on, cal_id)
+    return placed.join(F.broadcast(looked.join(open_days, "__seq").drop("__seq")), "__at", "left").drop("__at")
+
+
+def _from_eve(days: DataFrame, early: DataFrame, on: str, cal_id: str) -> DataFrame:
+    """``days`` with ``__at``, the day itself or the eve of the calendar's first open day if that is later."""
+    eve = early.where(F.col("cal_id") == cal_id).select(F.col("cal_id").alias("__cal"), "__lo")
+    placed = days.withColumn("__cal", F.lit(cal_id)).join(F.broadcast(eve), "__cal", "left")
+    return placed.withColumn("__at", F.when(F.col(on).isNotNull(), F.greatest(F.col(on), F.col("__lo")))).drop("__cal", "__lo")
 
 
 def next_bday(days: DataFrame, calendar: DataFrame, on: str, cal_id: str, out: str) -> DataFrame:
     """Open day strictly after each date, else the next weekday past the end."""
     cal = calendar.where(F.col("cal_id") == cal_id)
     open_days = cal.select(F.col("seq").alias("__seq"), F.col("date").alias("__d"))
-    looked = dense_days(cal).select(F.col("date").alias(on), F.col("next_seq").alias("__seq")).join(open_days, "__seq").drop("__seq")
+    dense = dense_days(cal)
+    early = dense.groupBy("cal_id").agg(F.min("date").alias("__lo"))
+    looked = dense.select(F.col("date").alias("__at"), F.col("next_seq").alias("__seq")).join(open_days, "__seq").drop("__seq")
     step = F.when(F.weekday(on) == 4, 3).when(F.weekday(on) == 5, 2).otherwise(1)
-    return days.join(F.broadcast(looked), on, "left").withColumn(out, F.coalesce("__d", F.date_add(on, step))).drop("__d")
+    placed = _from_eve(days, early, on, cal_id).join(F.broadcast(looked), "__at", "left")
+    return placed.withColumn(out, F.coalesce("__d", F.date_add(on, step))).drop("__d", "__at")
 
 
 def repo_curves(series: DataFrame, ladders: dict[str, list[tuple[str, float]]] = REPO_LADDERS) -> DataFrame:
@@ -86,7 +113,7 @@ def repo_curves(series: DataFrame, ladders: dict[str, list[tuple[str, float]]] =
 
 
 def dense_rates(curves: DataFrame) -> DataFrame:
-    """Repo rate of every day, carried forward to the end of the calendar; null before the first print."""
+    """Repo rate of every day up to the end of the calendar, carried forward; ``rates_at`` reads it without an end."""
     span = curves.groupBy("repo_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     grid = span.select("repo_id", F.explode(F.sequence(F.col("lo"), F.date_add("hi", FORWARD_DAYS))).alias("date"))
     w = Window.partitionBy("repo_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -94,6 +121,14 @@ def dense_rates(curves: DataFrame) -> DataFrame:
     return filled.select("repo_id", "date", "gc")
 
 
+def rates_at(obs: DataFrame, curves: DataFrame) -> DataFrame:
+    """``obs`` (with repo_id and date) with ``gc``, the last print at or before its day; null before the first print only."""
+    rates = dense_rates(curves)
+    ends = rates.groupBy("repo_id").agg(F.max("date").alias("__hi"))
+    placed = obs.join(F.broadcast(ends), "repo_id", "left").withColumn("__at", F.least("date", "__hi")).drop("__hi")
+    return placed.join(F.broadcast(rates.withColumnRenamed("date", "__at")), ["repo_id", "__at"], "left").drop("__at")
+
+
 def months_between_bounds(bounds: DataFrame, lo: str, hi: str, out: str = "month") -> DataFrame:
     """One row per calendar month from ``lo`` to ``hi``."""
     return bounds.withColumn(out, F.explode(F.expr(f"sequence(trunc({lo}, 'month'), trunc({hi}, 'month'), interval 1 month)")))

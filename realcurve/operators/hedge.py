@@ -30,16 +30,17 @@ def bucket_to_next_day(returns: DataFrame, energy: DataFrame, by: Sequence[str],
     return placed.groupBy(*by, F.col("energy_date").alias("date")).agg(*[F.sum(c).alias(c) for c in cols])
 
 
-def aligned_pairs(returns: DataFrame, energy: DataFrame, by: Sequence[str], beta: float = 1.0) -> DataFrame:
+def aligned_pairs(returns: DataFrame, energy: DataFrame, by: Sequence[str], beta: float = 1.0, partial: bool = False) -> DataFrame:
     """Energy dollars a contract beside the leg dollars that span the same days.
 
-    Null when a side is missing; ``be_usd`` is linked minus beta times nominal.
+    ``be_usd`` is linked minus beta times nominal. Rows without it are left out, unless ``partial`` keeps the days of one leg only.
     """
     legs = bucket_to_next_day(returns, energy, by, ["r_linked_bp", "r_nominal_bp"])
     usd = energy.select("date", F.col("usd_per_contract").alias("x_usd"))
     met = legs.join(F.broadcast(usd), "date")
     out = met.select(*by, "date", "x_usd", (F.col("r_linked_bp") * BP_USD).alias("linked_usd"), (F.col("r_nominal_bp") * BP_USD).alias("nominal_usd"))
-    return out.withColumn("be_usd", F.col("linked_usd") - beta * F.col("nominal_usd")).where(F.col("x_usd").isNotNull())
+    out = out.withColumn("be_usd", F.col("linked_usd") - beta * F.col("nominal_usd")).where(F.col("x_usd").isNotNull())
+    return out if partial else complete(out)
 
 
 def complete(pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.landed import active
+
 OVERLAP_DAYS = 7  # fixed value: how far back a top-up reaches
 
 
@@ -18,9 +20,9 @@ def topup_merge(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("bond_id"
     return old.join(n, list(keys), "full").select(*keys, *[F.coalesce(*side(c)).alias(c) for c in fields])
 
 
-def topup_start(quotes: DataFrame, bonds: DataFrame, as_of: Column) -> DataFrame:
+def topup_start(quotes: DataFrame, bonds: DataFrame, as_of: Column, idle: DataFrame) -> DataFrame:
     """First day to fetch again per live, active bond: last known day less the overlap."""
-    live = bonds.where((F.col("maturity") > as_of) & ~F.col("deferred")).select("bond_id")
+    live = active(bonds, idle).where(F.col("maturity") > as_of).select("bond_id")
     last = quotes.groupBy("bond_id").agg(F.max("date").alias("last_date"))
     return last.join(live, "bond_id", "left_semi").withColumn("start", F.date_sub("last_date", OVERLAP_DAYS))
 

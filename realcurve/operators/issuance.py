@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.daycount import BUCKETS, bucket_label, years_between
 from ..sources.conventions import LONG_END_MARKETS
+from ..sources.landed import active
 
 TAP_STEP_BN = 0.05  # fixed value
 EVENT_COLUMNS = ["bond_id", "market", "country", "event_date", "settle_date", "event_type", "amount", "price", "yield", "reopening", "source"]
@@ -24,9 +25,9 @@ def rounded_years(later: Column, earlier: Column) -> Column:
     return F.bround(years_between(later, earlier), 0).cast("int")
 
 
-def bond_issuance(bonds: DataFrame) -> DataFrame:
-    """One row per active linker with its original tenor and sizes in bn."""
-    known = bonds.where(F.col("linked") & ~F.col("deferred") & F.col("issue").isNotNull() & F.col("maturity").isNotNull())
+def bond_issuance(bonds: DataFrame, idle: DataFrame) -> DataFrame:
+    """One row per active linker with its original tenor and sizes in bn; ``idle`` lists ids that never trade."""
+    known = active(bonds, idle).where(F.col("linked") & F.col("issue").isNotNull() & F.col("maturity").isNotNull())
     return known.select(
         "market", "country", "bond_id", F.col("issue").alias("issue_date"), F.year("issue").alias("issue_year"),
         "maturity", F.year("maturity").alias("maturity_year"), rounded_years(F.col("maturity"), F.col("issue")).alias("orig_tenor"),

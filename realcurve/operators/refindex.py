@@ -53,15 +53,19 @@ def base_reference(bonds_with_conv: DataFrame, series: DataFrame) -> DataFrame:
 def market_days(conv: DataFrame, series: DataFrame, calendar: DataFrame) -> DataFrame:
     """(conv_id, date) to settlement date, reference index at settlement and repo rate.
 
+    The days reach from before the first calendar and curve to their ends, so that a day outside, clipped to them, has its value.
     Conventions times days: bounded by the calendar, so it may be broadcast.
     """
     lags = conv.select("cal_id", "settle_lag").distinct()
-    settled = calendars.settle_days(calendar, lags)
-    rates = calendars.dense_rates(calendars.repo_curves(series))
+    curves = calendars.repo_curves(series)
+    ends = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b")).union(curves.agg(F.min("date"), F.max("date"))).agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    whole = lags.withColumn("k", F.lit(1)).join(F.broadcast(ends.withColumn("k", F.lit(1))), "k")
+    every = whole.select("cal_id", "settle_lag", F.explode(F.sequence(F.date_sub("a", 1), F.col("b"))).alias("date"))
+    settled = calendars.settle_join(every, calendar, lags)
     keys = conv.select("conv_id", "cal_id", "settle_lag", "repo_id", *RATIO_KEYS)
     days = settled.join(F.broadcast(keys), ["cal_id", "settle_lag"])
     days = daily_reference_index(days, series)
-    return days.join(F.broadcast(rates), ["repo_id", "date"], "left").select("conv_id", "date", "settle", "dri", "gc")
+    return calendars.rates_at(days, curves).select("conv_id", "date", "settle", "dri", "gc")
 
 
 def pct_change(series: DataFrame) -> DataFrame:

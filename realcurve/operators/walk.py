@@ -13,6 +13,7 @@ from ..functions.daycount import month_start
 from ..functions.ordered import up_to_now
 from ..functions.pricing import bond_metrics
 from . import refindex
+from .calendars import clipped
 
 SIZING_USD = 1.0e7  # fixed value: face scale giving 100k of DV01
 
@@ -38,10 +39,13 @@ def value_quotes(quotes: DataFrame, rules: DataFrame, days: DataFrame) -> DataFr
     """Quotes joined to their bond's rules and the day dimension, valued at settlement.
 
     ``days`` (market_days) is bounded by markets times calendar days, hence the broadcast; the bond
-    join is left to the optimizer because the number of bonds grows with the data.
+    join is left to the optimizer because the number of bonds grows with the data. A quote counts if its settlement
+    lies in the bond's life; days outside the day dimension take its first or last row.
     """
-    marked = quotes.join(rules, "bond_id").where((F.col("date") >= F.col("dated")) & (F.col("date") < F.col("maturity")))
-    marked = marked.join(F.broadcast(days), ["conv_id", "date"])
+    known = quotes.dropna(subset=["clean", "ytm"])  # else the next return would lose its previous mark
+    marked = clipped(known.join(rules, "bond_id"), days, ["conv_id"])
+    marked = marked.join(F.broadcast(days.withColumnRenamed("date", "__at")), ["conv_id", "__at"]).drop("__at")
+    marked = marked.where((F.col("settle") >= F.col("dated")) & (F.col("settle") < F.col("maturity")))
     ratio = F.when(F.col("index_id").isNull(), F.lit(1.0)).otherwise(
         refindex.index_ratio(F.col("rounding"), F.col("dri"), F.col("dri_base"), F.col("base_index"))
     )

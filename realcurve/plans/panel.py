@@ -36,6 +36,10 @@ class Panel:
     def bonds(self) -> DataFrame:
         return src.bonds(self.spark, self.sf_dir)
 
+    @cached_property
+    def idle(self) -> DataFrame:
+        return src.non_traded(self.spark, self.sf_dir)
+
     @cached_property
     def quotes(self) -> DataFrame:
         return src.raw_quotes(self.spark, self.sf_dir)
@@ -164,7 +168,7 @@ class Panel:
     # ---- international buckets
     @cached_property
     def issuance(self) -> DataFrame:
-        return issuance.bond_issuance(self.bonds)
+        return issuance.bond_issuance(self.bonds, self.idle)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -193,4 +197,4 @@ class Panel:
 
     @cached_property
     def pairs_buckets(self) -> DataFrame:
-        return self.land(hedge.aligned_pairs(self.buckets, self.crude, ["market", "bucket"]))
+        return self.land(hedge.aligned_pairs(self.buckets, self.crude, ["market", "bucket"], partial=True))

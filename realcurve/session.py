@@ -26,7 +26,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "realc
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch folder only where none is set."""
+    """The shared checkpoint folder of the cluster; a scratch folder only where none is set and all tasks run on this machine."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -35,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return shared
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="realcurve-"))
         current = sc.getCheckpointDir()
     return current

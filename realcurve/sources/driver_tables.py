@@ -224,3 +224,8 @@ def futures(spark: SparkSession, sf_dir: str) -> DataFrame:
         front_gen.alias("front_gen"),
         F.when(day % 9 != 0, F.add_months(front_gen, F.when(day == 19, 2).otherwise(1))).alias("second_gen"),
     )
+
+
+def non_traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that stand for the list of private placements."""
+    return bonds(spark, sf_dir).where(F.col("bond_id") % 41 == 8).select("bond_id")

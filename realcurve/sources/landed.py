@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from . import conventions as cv
 
 
-def non_traded() -> Column:
-    """Private placements that never trade: a rule of the derived panel standing for a list of ids."""
-    return F.col("bond_id") % 41 == 8
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing floats arrive as NaN; one null policy from here on."""
     floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
@@ -54,11 +49,17 @@ def dated_date(bonds: DataFrame, auctions: DataFrame) -> DataFrame:
     return bonds.join(first, "bond_id", "left").select("bond_id", F.coalesce("__d", "issue").alias("dated"))
 
 
-def build_universe(bonds: DataFrame, conv: DataFrame) -> DataFrame:
-    """Linkers with their conventions; deferred structures and non-traded lines are flagged."""
+def active(bonds: DataFrame, idle: DataFrame) -> DataFrame:
+    """Bonds that trade: no deferred structure and not in ``idle`` (bond_id), the list of private placements."""
+    return bonds.where(~F.col("deferred")).join(idle.select("bond_id"), "bond_id", "left_anti")
+
+
+def build_universe(bonds: DataFrame, conv: DataFrame, idle: DataFrame) -> DataFrame:
+    """Linkers with their conventions; deferred structures and lines in ``idle`` (bond_id), which never trade, are flagged."""
     rules = conv.select(F.col("conv_id").alias("market"), "country", "program", "index_id", "freq", F.col("deferred").alias("__def"))
     seed = bonds.where("linked").select("bond_id", "market", "coupon", "maturity", F.col("issue").alias("first_issue"))
-    return seed.join(F.broadcast(rules), "market").withColumn("deferred", F.col("__def") | non_traded()).drop("__def")
+    listed = seed.join(F.broadcast(rules), "market").join(idle.select("bond_id", F.lit(True).alias("__idle")).distinct(), "bond_id", "left")
+    return listed.withColumn("deferred", F.col("__def") | F.coalesce("__idle", F.lit(False))).drop("__def", "__idle")
 
 
 def scan_universe(universe: DataFrame, include_deferred: bool = False) -> DataFrame:
@@ -110,9 +111,9 @@ def asof_rate(obs: DataFrame, curves: DataFrame) -> DataFrame:
     Curves are bounded by days, so they are made dense and broadcast: the fact is never windowed and
     a curve that serves most bonds is no hot key.
     """
-    from ..operators.calendars import dense_rates
+    from ..operators.calendars import rates_at
 
-    return obs.join(F.broadcast(dense_rates(curves)), ["repo_id", "date"], "left")
+    return rates_at(obs, curves)
 
 
 def settle_grid(calendar: DataFrame, conv: DataFrame) -> DataFrame:

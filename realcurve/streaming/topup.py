@@ -1,7 +1,7 @@
 """Late quote revisions as a stream.
 
-Revisions arrive as files. A stateful aggregate keeps the newest value per (bond, day) while the
-watermark still admits it. Each micro-batch is merged into the landed table by month partition: only
+Revisions arrive as files, in any order. A stateful aggregate keeps the newest value per (bond, day), one row
+each as in the landed table, and refuses none. Each micro-batch is merged into the landed table by month partition: only
 the months the batch touches are read, merged and replaced.
 """
 
@@ -16,30 +16,29 @@ from ..functions.daycount import month_start
 from ..operators.incremental import topup_merge
 from ..session import Landing
 
-LATE_BOUND = "7 days"  # fixed value: the overlap a top-up reaches back
 PARTITION = "month"
 
 
 def revision_stream(spark: SparkSession, path: str) -> DataFrame:
     """Event files as revisions: user as bond, value as the revised quote."""
     schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    raw = spark.readStream.schema(schema).parquet(path)
     return raw.select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("bond_id"), "event_type", "value")
 
 
-def newest_by_day(stream: DataFrame, late: str = LATE_BOUND) -> DataFrame:
-    """Newest value per bond and day, counted; state is dropped once the watermark passes the day."""
+def newest_by_day(stream: DataFrame) -> DataFrame:
+    """Newest value per bond and day, counted; a late file of one bond counts like any other."""
     return (
-        stream.withWatermark("ts", late).groupBy("bond_id", F.window("ts", "1 day").alias("w"))
+        stream.groupBy("bond_id", F.window("ts", "1 day").alias("w"))
         .agg(F.max_by("value", F.struct("ts", "event_id")).alias("clean"), F.count(F.lit(1)).alias("updates"))
         .select("bond_id", F.col("w.start").cast("date").alias("date"), "clean", "updates")
     )
 
 
-def daily_totals(stream: DataFrame, late: str = LATE_BOUND) -> DataFrame:
-    """Count and total per event type and day, with late rows admitted for the overlap."""
+def daily_totals(stream: DataFrame) -> DataFrame:
+    """Count and total per event type and day, late rows included."""
     return (
-        stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+        stream.groupBy(F.window("ts", "1 day").alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0).alias("total"))
         .select(F.col("w.start").cast("date").alias("window_start"), "event_type", "n", "total")
     )

@@ -21,3 +21,11 @@ def test_late_revision_wins_and_old_rows_stay(spark, tmp_path):
     assert {(r["bond_id"], r["date"].day, r["clean"], r["updates"]) for r in second.collect()} == want
     again = topup.drain(topup.newest_by_day(topup.revision_stream(spark, src)), root, ["bond_id", "date"], "date")
     assert again.count() == 3
+
+
+def test_files_out_of_order_lose_nothing(spark, tmp_path):
+    src, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    for i, month in enumerate((6, 7, 5)):
+        write(spark, src, [(i, dt.datetime(2024, month, 3), i, "q", 10.0 + i)])
+        got = topup.drain(topup.newest_by_day(topup.revision_stream(spark, src)), root, ["bond_id", "date"], "date")
+    assert {(r["bond_id"], r["date"].month, r["clean"]) for r in got.collect()} == {(0, 6, 10.0), (1, 7, 11.0), (2, 5, 12.0)}
