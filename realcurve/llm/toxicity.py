@@ -167,8 +167,11 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, land: Land) -> DataFrame:
-    """``text, toxic`` of the documents that have a label and are not held out, written once; an id with several labels counts by its largest."""
-    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """``text, toxic`` of the documents that have a label and are not held out, written once; an id with several labels counts by its largest.
+
+    Labels grow with the documents, so they are never broadcast: both sides meet by a shuffle at every size.
+    """
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).hint("merge")
     return land.compressed(docs.select("doc_id", "text").where(fold(F.col("doc_id"), 3) != 1).join(known, "doc_id").select("text", "toxic"))
 
 
