@@ -1,8 +1,9 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact intersection.
 
 Equal shingle sets are one class from the begin. Sets of about the same size share a band. In a band, linked sets differ in at most ``k``
-shingles; shingles are dealt by hash into more than ``k`` parts, so two linked sets agree wholly in some part. The sets that agree in a
-part (a key of band, part and content) are candidates. The pivot of a key is the one of its sets with the most shared keys. A set is first compared with
+shingles; shingles are dealt by hash into ``k + g`` parts, so two linked sets agree wholly in ``g`` parts. The sets that agree in a
+part (a key of band, part and content) are candidates. As linked sets share ``g`` keys, each set leaves out its ``g - 1`` most frequent
+ones, in one order of all keys, and linked sets still share one: a shingle that is common everywhere joins no large group. The pivot of a key is the one of its sets with the most shared keys. A set is first compared with
 its pivots, which joins most copies of one original without a comparison for each pair. Where members of a key remain in several components, the key is cut into tiles
 of two blocks of bounded size; in a tile the counts of differing bits of two bitmaps bound the overlap from above, and pairs that
 pass are compared by exact intersection of the sorted sets. The result is exact: no link is missed, none is added.
@@ -41,30 +42,40 @@ def _allowed(top: int, like: int) -> int:
     return (top + top * 100 // like) * (100 - like) // (100 + like)
 
 
-def signature_keys(h: np.ndarray, like: int = LIKE) -> np.ndarray:
-    """The keys of a set: it shares one at least with every other set it links to."""
+def signature_keys(h: np.ndarray, like: int = LIKE) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set and, for each, ``2 * spare + (0 or 1)``, the last to tell its two bands apart.
+
+    With every other set it links to, it shares more than ``spare`` keys of one band, ``spare`` the lesser of both sets at least.
+    """
     size = len(h)
     edges = _edges(size)
     band = len(edges) - 2
     bands = [band]
     if band and edges[band] - 1 >= -(-like * size // 100):
         bands.append(band - 1)
-    keys = []
+    keys, spares = [], []
     for b in bands:
         k = _allowed(edges[b + 1] - 1, like)
         if not k:
             continue  # only equal sets link
-        parts = k + 2 + k // 50
+        parts = k + 2 + k // 8
         part = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         first = np.flatnonzero(np.diff(part[order], prepend=-1))
         held = part[order][first]
         content = np.add.reduceat(mixed(h ^ np.uint64(0x51)), [0]) if len(first) == 1 else np.add.reduceat(mixed(h[order] ^ np.uint64(0x51)), first)
         keys.append(mixed(content + mixed(held.astype(np.uint64) * np.uint64(64) + np.uint64(b))))
+        count = len(held)
         if parts - len(held) >= parts - k:  # two sets might agree in empty parts only
             empty = np.setdiff1d(np.arange(parts), held).astype(np.uint64)
             keys.append(mixed(mixed(empty * np.uint64(64) + np.uint64(b)) ^ np.uint64(0xE)))
-    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            count = parts
+        # empty parts that agree give no key unless both sets have many, so as many are not spared
+        spare = max(0, parts - k - 1 - (parts - len(held)))
+        spares.append(np.full(count, 2 * spare + (b != band), np.int32))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate(keys).view(np.int64), np.concatenate(spares)
 
 
 def class_of(h: np.ndarray) -> int:
@@ -104,25 +115,24 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, shingle: int, like: int) -> DataFrame:
-    """``key, cls`` of every set; copies within a partition give their keys once."""
+    """``key, spare, cls`` of every set; copies within a partition give their keys once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            keys, owners = [], []
+            keys, spares, owners = [], [], []
             for text in batch["text"]:
                 h = shingle_hashes(lowered(text), shingle)
                 if len(h) and (c := class_of(h)) not in seen:
                     seen.add(c)
-                    keys.append(signature_keys(h, like))
-                    owners.append(np.full(len(keys[-1]), c))
-                if sum(map(len, keys[-1:])) and len(keys) >= 1000:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "cls": np.concatenate(owners)})
-                    keys, owners = [], []
+                    key, spare = signature_keys(h, like)
+                    keys.append(key)
+                    spares.append(spare)
+                    owners.append(np.full(len(key), c))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "cls": np.concatenate(owners)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "spare": np.concatenate(spares), "cls": np.concatenate(owners)})
 
-    return docs.where("doc_id is not null").select("text").mapInPandas(run, "key long, cls long")
+    return docs.where("doc_id is not null").select("text").mapInPandas(run, "key long, spare int, cls long")
 
 
 def _texts(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
@@ -221,7 +231,12 @@ def join(docs: DataFrame, land: Land, shingle: int = SHINGLE, like: int = LIKE)
     real = described.where("doc_id is not null and n_shingles > 0")
     by_key = Window.partitionBy("key")
     shared = _keyed(docs, shingle, like).withColumn("low", F.min("cls").over(by_key)).withColumn("top", F.max("cls").over(by_key))
-    shared = land(shared.where("low < top").select("key", "cls").distinct())
+    shared = shared.where("low < top").withColumn("n", F.count(F.lit(1)).over(by_key)).select("key", "spare", "cls", "n").distinct()
+    # every set leaves out as many of its most frequent keys of a band as it can spare
+    frequent = Window.partitionBy("cls", "spare").orderBy(F.desc("n"), F.desc("key"))
+    shared = shared.withColumn("place", F.row_number().over(frequent)).where(F.col("place") > F.shiftright("spare", 1)).select("key", "cls")
+    shared = shared.withColumn("low", F.min("cls").over(by_key)).withColumn("top", F.max("cls").over(by_key))
+    shared = land(shared.where("low < top").select("key", "cls"))
     # the pivot of a key is its set with the most shared keys: copies share more with their original than with each other
     ranked = shared.join(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("keys")), "cls")
     shared = land(ranked.withColumn("pivot", F.max(F.struct("keys", "cls")).over(by_key)["cls"]).select("key", "cls", "pivot"))

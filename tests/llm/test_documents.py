@@ -290,7 +290,11 @@ def test_linked_sets_share_a_key():
             b = a[rng.random(len(a)) > rng.random() * 0.2]
             b = np.unique(np.concatenate((b, rng.integers(0, 1 << 63, rng.integers(0, 1 + size // 8)).astype(np.uint64))))
             if len(b) and jaccard_join.linked(a, b, like) and not np.array_equal(a, b):
-                assert set(jaccard_join.signature_keys(a, like)) & set(jaccard_join.signature_keys(b, like))
+                (x, x_spare), (y, y_spare) = jaccard_join.signature_keys(a, like), jaccard_join.signature_keys(b, like)
+                _, at, to = np.intersect1d(x, y, return_indices=True)
+                # in some band both can leave out what they spare and share a key still
+                assert any((np.minimum(x_spare[at], y_spare[to])[x_spare[at] & 1 == f] >> 1 < (x_spare[at] & 1 == f).sum()).all()
+                           and (x_spare[at] & 1 == f).any() for f in (0, 1))
 
 
 # toxicity
