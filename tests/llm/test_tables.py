@@ -81,6 +81,16 @@ def test_html_template_text_outside_articles(spark, land):
     assert {r.text for r in html_extract.extract(df, land).collect()} == {f"Own text {i}" for i in range(9)}
 
 
+def test_html_template_blocks_inside_main(spark, land):
+    # unmarked blocks that all pages share are template also within <main>, a text that moves about the slots is not
+    lines = ["<div><b>{0} is here</b></div>", "<div><p>Own text {0}</p></div>", "<section><p>Goes about</p></section>"]
+    page = "<html><body><main><div>All pages say this</div>{1}<div>Follow us</div>{2}<div>Copyright line</div>{3}</main></body></html>"
+    turns = [(0, 1, 2), (1, 2, 0), (2, 0, 1)]
+    df = spark.createDataFrame([(i, f"http://one.org/{i}", page.format(i, *(lines[k].format(i) for k in turns[i % 3]))) for i in range(9)], "page_id long, url string, html string")
+    texts = ["{0} is here", "Own text {0}", "Goes about"]
+    assert {r.page_id: r.text for r in html_extract.extract(df, land).collect()} == {i: "\n\n".join(texts[k].format(i) for k in turns[i % 3]) for i in range(9)}
+
+
 def test_html_pages_of_the_folder(spark, sf_dir):
     import html
     import re
