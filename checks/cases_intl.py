@@ -66,6 +66,12 @@ case("bucket_occupancy", "market bucket " + " ".join(f"y{y}" for y in _YRS), lam
      c AS (SELECT market, bucket, year(mid) AS yr, arg_min(maturity, (abs(rem - {_TG}), year(maturity), bond_id)) AS m, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY 1, 2, 3),
      d AS (SELECT market, bucket, yr, right(CAST(year(m) AS VARCHAR), 2) || CASE WHEN n > 1 THEN '*' ELSE '' END AS cell FROM c)
      SELECT market, bucket, {', '.join(f"coalesce(max(cell) FILTER (yr = {y}), '·') AS y{y}" for y in _YRS)} FROM d GROUP BY 1, 2""")
+# every year from the first to the last event, as rows
+case("bucket_occupancy_years", "market bucket year:i cell", lambda p: issuance.bucket_occupancy_years(p.events),
+     f"""WITH y AS (SELECT make_date(unnest(generate_series(min(year(event_date)), max(year(event_date)))), 6, 30) AS mid FROM iss_events),
+     b AS (SELECT f.*, mid, (maturity - mid) / 365.25 AS rem, {label_sql('((maturity - mid) / 365.25)', LONG)} AS bucket FROM first_ev f JOIN y ON issued <= mid AND mid <= maturity)
+     SELECT market, bucket, year(mid) AS year, right(CAST(year(arg_min(maturity, (abs(rem - {_TG}), year(maturity), bond_id))) AS VARCHAR), 2) || CASE WHEN count(*) > 1 THEN '*' ELSE '' END AS cell
+     FROM b WHERE bucket IS NOT NULL GROUP BY 1, 2, 3""")
 
 # ------------------------------------------------------------------ constant maturity
 case("held_monthly", "market bucket month:d bond_id", lambda p: p.held, "SELECT * FROM held_m")

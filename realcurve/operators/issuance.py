@@ -212,12 +212,11 @@ def bucket_coverage(events: DataFrame, first_year: int, last_year: int, recent_f
     return both.select("market", "bucket", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("auctions_all", "auctions_recent", "bonds", "presence_pct")])
 
 
-def bucket_occupancy(events: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Bucket by year at 30 June: maturity year of the bond nearest the grid point, starred if several."""
+def _occupied(alive: DataFrame) -> DataFrame:
+    """Market, bucket, year and cell from lives and days ``mid``: maturity year of the bond nearest the grid point, starred if several."""
     from ..functions.daycount import BUCKET_TARGETS
 
-    days = F.explode(F.array(*[F.lit(f"{y}-06-30").cast("date") for y in years]))
-    alive = lives(events).withColumn("mid", days).where((F.col("issued") <= F.col("mid")) & (F.col("mid") <= F.col("maturity")))
+    alive = alive.where((F.col("issued") <= F.col("mid")) & (F.col("mid") <= F.col("maturity")))
     rem = years_between(F.col("maturity"), F.col("mid"))
     alive = alive.withColumn("rem", rem).withColumn("bucket", bucket_label(F.col("rem"), long_end(F.col("market")))).where(F.col("bucket").isNotNull())
     targets = F.create_map(*[F.lit(x) for pair in BUCKET_TARGETS.items() for x in pair])
@@ -226,10 +225,23 @@ def bucket_occupancy(events: DataFrame, years: Sequence[int]) -> DataFrame:
         F.sum("bonds").alias("bonds"),
     )
     cell = F.concat(F.substring(F.col("b.my").cast("string"), 3, 2), F.when(F.col("bonds") > 1, "*").otherwise(""))
-    grid = best.withColumn("cell", cell).groupBy("market", "bucket").pivot("year", list(years)).agg(F.max("cell"))
+    return best.select("market", "bucket", "year", cell.alias("cell"))
+
+
+def bucket_occupancy(events: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Bucket by stated year at 30 June, one column a year."""
+    days = F.explode(F.array(*[F.lit(f"{y}-06-30").cast("date") for y in years]))
+    grid = _occupied(lives(events).withColumn("mid", days)).groupBy("market", "bucket").pivot("year", list(years)).agg(F.max("cell"))
     return grid.select("market", "bucket", *[F.coalesce(F.col(str(y)), F.lit("·")).alias(f"y{y}") for y in years])
 
 
+def bucket_occupancy_years(events: DataFrame) -> DataFrame:
+    """Bucket by year at 30 June, one row for each occupied cell of every year from the first to the last event."""
+    span = events.agg(F.min(F.year("event_date")).alias("lo"), F.max(F.year("event_date")).alias("hi")).where("lo is not null")
+    years = span.select(F.explode(F.sequence("lo", "hi")).alias("y"))
+    return _occupied(lives(events).crossJoin(F.broadcast(years)).withColumn("mid", F.make_date("y", F.lit(6), F.lit(30))))
+
+
 def bucket_order() -> Column:
     """Sort key of the grid."""
     return F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), F.col("bucket"))
