@@ -152,6 +152,13 @@ case("theil_sen", "market bucket slope:5 intercept:5 pairs:i", lambda p: robust.
      f"""WITH s AS (SELECT market, bucket, unnest([{_lags}]) AS s FROM {_PTS} WINDOW w AS (PARTITION BY market, bucket ORDER BY {_RANK})),
      m AS (SELECT market, bucket, quantile_cont(s, 0.5) AS slope, count(s) AS pairs FROM s WHERE s IS NOT NULL GROUP BY 1, 2)
      SELECT market, bucket, any_value(slope) AS slope, any_value(pairs) AS pairs, quantile_cont(y - slope * x, 0.5) AS intercept FROM {_PTS} p JOIN m USING (market, bucket) GROUP BY 1, 2""")
+case("theil_sen_full", "market bucket slope:5 intercept:5 pairs:i", lambda p: robust.theil_sen_full(_points(p), B),
+     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY {_RANK}) AS rk FROM {_PTS}),
+     z AS (SELECT market, bucket, count(*) AS n FROM r GROUP BY 1, 2),
+     k AS (SELECT market, bucket, n, min(s) AS steps FROM (SELECT *, unnest(range(1, n)) AS s FROM z) WHERE s = n - 1 OR s * n - s * (s + 1) // 2 >= 10000 GROUP BY 1, 2, 3),
+     m AS (SELECT a.market, a.bucket, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope, count(*) AS pairs FROM r a JOIN r b ON a.market = b.market AND a.bucket = b.bucket
+       JOIN k ON k.market = a.market AND k.bucket = a.bucket WHERE b.rk - a.rk BETWEEN 1 AND steps AND a.x <> b.x GROUP BY 1, 2)
+     SELECT market, bucket, any_value(slope) AS slope, any_value(pairs) AS pairs, quantile_cont(y - slope * x, 0.5) AS intercept FROM {_PTS} p JOIN m USING (market, bucket) GROUP BY 1, 2""")
 case("ransac", "market bucket slope:5 intercept:5 inliers:i", lambda p: robust.ransac(_points(p), B),
      f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY {_RANK}) - 1 AS rk FROM {_PTS}),
      a AS (SELECT market, bucket, quantile_cont(y, 0.5) AS mid, count(*) AS n FROM r GROUP BY 1, 2),

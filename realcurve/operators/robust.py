@@ -20,6 +20,7 @@ HUBER_PASSES = 12
 MEDIAN_PASSES = 20
 MEDIAN_EPS = 1.0
 PAIR_STEPS = 6          # partners per point in the sampled pairwise slopes
+MOST_PAIRS = 10_000     # groups of no more pairs use all of them, larger ones at least as many
 RANSAC_TRIALS = 100
 TOP_INFLUENCE = 8
 TRIM_SHARES = (0.005, 0.01, 0.025, 0.05)
@@ -118,6 +119,24 @@ def theil_sen(p: DataFrame, by: Sequence[str], steps: int = PAIR_STEPS) -> DataF
     return level.select(*by, "slope", "intercept", "pairs")
 
 
+def theil_sen_full(p: DataFrame, by: Sequence[str], most: int = MOST_PAIRS) -> DataFrame:
+    """Median slope over all pairs of a group with ``most`` pairs or less; a larger one takes each point with as many of the points
+    before it in a scrambled order as make ``most`` pairs at least.
+    """
+    _, w = shuffled_rank(by)
+    n, span = F.count(F.lit(1)).over(Window.partitionBy(*by)), F.col("n") - 0.5
+    fewest = F.ceil(span - F.sqrt(F.greatest(span * span - 2.0 * most, F.lit(0.0))))  # least k with k n - k (k + 1) / 2 >= most
+    ranked = p.select(*by, "x", "y", F.row_number().over(w).alias("rk"), n.alias("n")).withColumn(
+        "steps", F.when(F.col("n") * (F.col("n") - 1) / 2 <= most, F.col("n") - 1).otherwise(fewest).cast("int"))
+    late = ranked.where(F.least("steps", F.col("rk") - 1) > 0).withColumn("k", F.explode(F.sequence(F.lit(1), F.least("steps", F.col("rk") - 1))))
+    late = late.select(*by, "x", "y", (F.col("rk") - F.col("k")).alias("rk"))
+    early = ranked.select(*by, "rk", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    slope = late.join(early, [*by, "rk"]).where(F.col("x") != F.col("x0")).groupBy(*by).agg(
+        F.percentile((F.col("y") - F.col("y0")) / (F.col("x") - F.col("x0")), F.lit(0.5)).alias("slope"), F.count(F.lit(1)).alias("pairs"))
+    return p.join(slope, list(by)).groupBy(*by).agg(
+        F.first("slope").alias("slope"), F.percentile(F.col("y") - F.col("slope") * F.col("x"), F.lit(0.5)).alias("intercept"), F.first("pairs").alias("pairs"))
+
+
 def ransac(p: DataFrame, by: Sequence[str], trials: int = RANSAC_TRIALS) -> DataFrame:
     """Consensus line: seeded two-point trials, inliers within the MAD of y, refit on the best trial's inliers."""
     _, w = shuffled_rank(by)
