@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import Land, landing, table, with_code
 
-#: Bytes of an n-gram.
+#: Characters (code points) of an n-gram.
 SIZES = (3, 4, 5, 6)
 #: log2 of the number of hashed features.
 HASH_BITS = 18
 #: Added to the counts of either class.
 SMOOTHING = 1.0
-#: Labelled rows of each class on which the weights are fitted; the counts behind the ratios see all rows.
+#: Different labelled texts of each class on which the weights are fitted; the counts behind the ratios see all rows.
 FIT_ROWS = 2000
 #: Features with a ratio nearer to 0 than this are left out of the fit: they tell the classes too little apart.
 LEAST_RATIO = 0.75
@@ -39,8 +39,9 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 def features(text: str | None) -> np.ndarray:
     """Hashed n-grams of a text, repeats included. A text without words has none."""
-    data = np.frombuffer(b" " + (text or "").encode("utf-8", "replace").lower() + b" ", np.uint8)
-    blank = _SPACE[data]
+    data = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "replace"), "<u4")
+    data = np.where((data >= 65) & (data <= 90), data + 32, data)
+    blank = _SPACE[np.minimum(data, 255)]
     gap = np.concatenate(([0], np.cumsum(blank)))
     mixed = np.where(blank, np.uint64(1), data.astype(np.uint64) + np.uint64(2))
     out = []
@@ -52,7 +53,7 @@ def features(text: str | None) -> np.ndarray:
         for k in range(n):
             h = (h ^ mixed[k : k + count]) * _FACTORS[k]
             h ^= h >> np.uint64(29)
-        # white space only as the first or the last byte of an n-gram
+        # white space only as the first or the last character of an n-gram
         inner = gap[n - 1 : n - 1 + count] - gap[1 : 1 + count] if n > 2 else np.zeros(count, np.int64)
         out.append((h[inner == 0] >> np.uint64(64 - HASH_BITS)).astype(np.int32))
     return np.concatenate(out) if out else np.zeros(0, np.int32)
@@ -99,10 +100,10 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(rows: DataFrame, toxic: int) -> pd.DataFrame:
-    """At most ``FIT_ROWS`` rows of a class, drawn by a hash of the text."""
+    """At most ``FIT_ROWS`` different texts of a class, drawn by a hash of the text: copies of a text take one place."""
     own = rows.where(F.col("toxic") == toxic).select("text", F.xxhash64("text").alias("draw"))
-    last = own.select("draw").orderBy("draw").limit(FIT_ROWS).agg(F.max("draw").alias("draw")).first()["draw"]
-    return own.where(F.col("draw") <= last).orderBy("draw").limit(FIT_ROWS).select("text").toPandas()
+    last = own.select("draw").distinct().orderBy("draw").limit(FIT_ROWS).agg(F.max("draw").alias("draw")).first()["draw"]
+    return own.where(F.col("draw") <= last).distinct().orderBy("draw", "text").limit(FIT_ROWS).select("text").toPandas()
 
 
 def _fit(ratio: np.ndarray, texts: list[str | None], y: np.ndarray) -> tuple[np.ndarray, float]:

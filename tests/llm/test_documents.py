@@ -331,6 +331,20 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.train(one_class.where("1 = 0")).bias == 0.0
 
 
+def test_toxicity_draws_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 5)
+    rows = spark.createDataFrame([(f"text {i}", 1) for i in range(40)], "text string, toxic int")
+    low = sorted((r.h, r.text) for r in rows.selectExpr("text", "xxhash64(text) h").collect())[:5]
+    copied = rows.union(spark.createDataFrame([(low[0][1], 1)] * 50, "text string, toxic int"))
+    assert toxicity._sampled(copied, 1)["text"].tolist() == [t for _, t in low]
+
+
+def test_toxicity_ngrams_are_of_characters():
+    # two words of three-byte characters: only whole characters make n-grams, 3 to 6 with the marks around
+    assert len(toxicity.features("日本 x")) == 3 + 1 and len(toxicity.features("日本語 日")) == 3 + 2 + 1 + 1
+    assert toxicity.features("AbÉ").tolist() == toxicity.features("abÉ").tolist() != toxicity.features("abé").tolist()
+
+
 # packing
 
 
