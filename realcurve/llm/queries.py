@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, html_extract, jaccard_join, mixing, packing, ppm, rans, toxicity, url_filter
+from . import embedding_dedup, fingerprints, html_extract, jaccard_join, mixing, packing, ppm, quality_cascade, rans, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "op13_quality_cascade": quality_cascade.query,
 }
 
 ORACLES = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
+    "op13_quality_cascade": quality_cascade.ORACLE_SQL,
 }
