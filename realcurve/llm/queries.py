@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, hard_negatives, html_extract, jaccard_join, mixing, packing, ppm, quality_cascade, rans, toxicity, url_filter
+from . import alignment, embedding_dedup, fingerprints, hard_negatives, html_extract, jaccard_join, mixing, packing, ppm, quality_cascade, rans, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "op11_alignment": alignment.query,
     "op12_hard_negatives": hard_negatives.query,
     "op13_quality_cascade": quality_cascade.query,
 }
