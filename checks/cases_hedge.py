@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from realcurve.functions import financing as fin
 from realcurve.functions import stats
-from realcurve.operators import calendars, exports, futures, hedge, robust
+from realcurve.operators import calendars, exports, futures, hedge, robust, walk
 from realcurve.plans.panel import PAIR_DAYS_PER_YEAR
-from realcurve.streaming import topup
+from realcurve.sources import driver_tables as src
+from realcurve.streaming import recompute, topup
 
 from .ctes import ols
 from .registry import case
@@ -217,3 +218,18 @@ case("topup_stream", "bond_id date:d clean:4 updates:i", lambda p: topup.run_top
      "SELECT user_id AS bond_id, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS clean, count(*) AS updates FROM events GROUP BY 1, 2")
 case("topup_windowed", "window_start:d event_type n:i total:2", lambda p: topup.run_windowed_fixture(p.spark, p.sf_dir),
      "SELECT CAST(ts AS DATE) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS total FROM events GROUP BY 1, 2")
+
+
+def _recomputed(p):
+    """Returns after four batches of revisions, each walked from the first month it changes."""
+    rules = p.land(walk.bond_rules(p.bonds, p.conv, p.series))
+    store = recompute.ReturnStore(p.spark, p.land.path(), lambda q: walk.value_quotes(q, rules, p._foreign_days))
+    store.build(p.quotes)
+    revisions = src.quote_revisions(p.spark, p.sf_dir)
+    for batch in (3, 0, 2, 1):
+        store.apply(revisions.where(F.col("event_id") % 4 == batch), batch)
+    store.expire()
+    return store.read()
+
+
+case("topup_recompute", "bond_id date:d bp:4 denom:6 cum_bp:3 is_coupon", _recomputed, "SELECT * FROM revised_rets")

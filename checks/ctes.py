@@ -81,6 +81,9 @@ SELECT l_suppkey AS bond_id, CAST(l_shipdate AS DATE) AS date,
   0.5 + 0.5 * (CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*)) AS ytm,
   CASE WHEN CAST(l_shipdate AS DATE) >= DATE '2000-01-01' THEN 1.0 + CAST(sum(l_linenumber) AS DOUBLE) / count(*) / 1000.0 END AS vendor_ir
 FROM lineitem GROUP BY 1, CAST(l_shipdate AS DATE)""")
+cte("fx_revised", """
+WITH e AS (SELECT user_id AS bond_id, DATE '1996-01-01' + CAST(event_id * 37 % 2000 AS INTEGER) AS date, arg_max(90.0 + value / 100.0, (ts, event_id)) AS c, arg_max(0.5 + (event_id % 50) / 100.0::DOUBLE, (ts, event_id)) AS y FROM events GROUP BY 1, 2)
+SELECT bond_id, date, coalesce(c, clean) AS clean, coalesce(y, ytm) AS ytm, vendor_ir FROM fx_quotes FULL JOIN e USING (bond_id, date)""")
 cte("fx_orders", "SELECT *, CAST(o_orderdate AS DATE) AS date FROM orders")
 cte("fx_status", """
 SELECT o_orderstatus AS st, date, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 / 1e5 AS value
@@ -127,13 +130,13 @@ def dri(day: str, index: str, lag: str, interp: str) -> str:
     return f"CASE WHEN {interp} THEN {lo} + (day({day}) - 1)::DOUBLE / day(last_day({day})) * ({hi} - {lo}) ELSE {lo} END"
 
 
-def metrics(prefix: str, conv_key: str) -> None:
+def metrics(prefix: str, conv_key: str, quotes: str = "fx_quotes") -> None:
     """Valued quotes under the conventions of ``conv_key``; the price is summed coupon by coupon."""
     cte(f"{prefix}_settled", f"""
 WITH j AS (
   SELECT q.*, b.* EXCLUDE (bond_id), c.* EXCLUDE (country, deferred, conv_id), c.conv_id AS ck,
     COALESCE(c.freq, CASE WHEN static_freq > 0 THEN static_freq END, freq_default, 2) AS f
-  FROM fx_quotes q JOIN fx_static b USING (bond_id) JOIN fx_conv c ON c.conv_id = b.{conv_key}
+  FROM {quotes} q JOIN fx_static b USING (bond_id) JOIN fx_conv c ON c.conv_id = b.{conv_key}
   WHERE q.clean IS NOT NULL AND q.ytm IS NOT NULL),
 n AS (SELECT j.*, k.seq AS s0 FROM j ASOF JOIN fx_cal k ON j.cal_id = k.cal_id AND j.date < k.date),
 t AS (SELECT n.*, least(s0 + settle_lag - 1, (SELECT max(seq) FROM fx_cal y WHERE y.cal_id = n.cal_id)) AS sq FROM n)
@@ -174,8 +177,9 @@ FROM w""")
 
 metrics("mx", "conv_id")
 metrics("mu", "us_conv_id")
+metrics("mr", "conv_id", "fx_revised")
 
-for pre in ("mx", "mu"):
+for pre in ("mx", "mu", "mr"):
     cte(f"{pre}_lag", f"""
 SELECT * EXCLUDE (pays), CASE WHEN coalesce(dv01_prev, 0) <> 0 THEN dv01_prev ELSE dv01 END AS denom0,
   len([x for x in pays if x > settle_prev AND x <= settle]) AS paid
@@ -204,6 +208,8 @@ def bp_cols(source: str) -> str:
 
 
 cte("mx_epoch", "SELECT *, first_value(denom0) OVER (PARTITION BY bond_id, date_trunc('month', date) ORDER BY date) AS denom FROM mx_lag")
+cte("mr_epoch", "SELECT *, first_value(denom0) OVER (PARTITION BY bond_id, date_trunc('month', date) ORDER BY date) AS denom FROM mr_lag")
+cte("revised_rets", f"SELECT *, sum(bp) OVER (PARTITION BY bond_id ORDER BY date) AS cum_bp FROM ({bp_cols(returns_sql('mr_epoch'))})")
 cte("bond_rets", f"SELECT *, sum(bp) OVER (PARTITION BY bond_id ORDER BY date) AS cum_bp FROM ({bp_cols(returns_sql('mx_epoch'))})")
 
 # ------------------------------------------------------------------ auctions and rolls

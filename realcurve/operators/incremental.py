@@ -1,4 +1,9 @@
-"""Top-up of landed quotes."""
+"""Top-up of landed quotes, and what it takes to carry it into the returns.
+
+A revised quote changes its bond's returns from its own day on and no other bond's. The sizing of a month rests on the month's first mark, so
+a bond is walked again from the start of the month of its first changed day. What the walk needs from before is one row, the bond's last mark and
+running sum of an earlier month; such marks are kept by bond and month.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.daycount import month_start
+from ..functions.ordered import up_to_now
 from ..sources.landed import active
+from .walk import RETURN_COLUMNS, epoch_denom, financed_return, lag_mark
 
 OVERLAP_DAYS = 7  # fixed value: how far back a top-up reaches
 
@@ -36,3 +44,58 @@ def apply_overrides(series: DataFrame, overrides: DataFrame) -> DataFrame:
     """Insert or replace the given (series, date) cells. Overrides are a short hand-kept list."""
     kept = series.join(overrides.select("series_id", "date"), ["series_id", "date"], "left_anti")
     return kept.unionByName(overrides.select(*series.columns))
+
+
+VERSION = ["ts", "event_id"]
+MARK = ["settle", "V", "dv01", "n_left"]
+
+
+def newest_cells(rows: DataFrame, keys: Sequence[str], values: Sequence[str], version: Sequence[str] = VERSION) -> DataFrame:
+    """One row per key: of each value the newest known, and the newest version. A row without a version is older than all with one.
+
+    Associative, so it merges a batch with itself, with what is landed, and again with the same batch, to the same table.
+    """
+    v = F.struct(*[F.col(c).alias(c) for c in version])
+    known = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*version))).alias(c)
+    return rows.groupBy(*keys).agg(*[known(c) for c in values], F.max(v).alias("__v")).select(*keys, *values, *[F.col(f"__v.{c}").alias(c) for c in version])
+
+
+def dirty_bonds(old: DataFrame, new: DataFrame, values: Sequence[str]) -> DataFrame:
+    """``bond_id, from_month``: bonds of which a value of ``new`` differs from the landed one, and the month of the first such day."""
+    before = old.select("bond_id", "date", F.struct(*values).alias("__old"))
+    after = new.select("bond_id", "date", F.struct(*values).alias("__new"))
+    changed = after.join(before, ["bond_id", "date"], "left").where(~F.col("__new").eqNullSafe(F.col("__old")))
+    return changed.groupBy("bond_id").agg(month_start(F.min("date")).alias("from_month"))
+
+
+def month_marks(metrics: DataFrame, returns: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """``bond_id, month, date``, the last mark of each bond and month, and its running sum so far (``seeds`` holds the sum from before)."""
+    last = metrics.groupBy("bond_id", month_start(F.col("date")).alias("month")).agg(F.max(F.struct("date", *MARK)).alias("m"))
+    level = returns.groupBy("bond_id", month_start(F.col("date")).alias("month")).agg(F.max_by("cum_bp", "date").alias("__cum"))
+    rows = last.join(level, ["bond_id", "month"], "left").select("bond_id", "month", "m.*", "__cum")
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select("bond_id", "month", "date", *MARK, F.col("cum_bp").alias("__cum")))
+    return rows.withColumn("cum_bp", F.last("__cum", ignorenulls=True).over(up_to_now(["bond_id"], "month"))).drop("__cum")
+
+
+def seeds_of(marks: DataFrame, dirty: DataFrame) -> DataFrame:
+    """The last mark of each dirty bond before its ``from_month``; none where its history starts there."""
+    earlier = marks.join(dirty, "bond_id").where(F.col("month") < F.col("from_month"))
+    return earlier.groupBy("bond_id").agg(F.max(F.struct("month", "date", *MARK, "cum_bp")).alias("m")).select("bond_id", "m.*")
+
+
+def walk_tail(metrics: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The walk of ``metrics`` (whole months of a bond) gone on with from ``seeds``: the same rows, digit by digit, as a walk of all.
+
+    The running sum starts with the sum before as its first term, in the order of the days as ever.
+    """
+    mark = seeds.select("bond_id", "date", *MARK)
+    walked = financed_return(epoch_denom(lag_mark(metrics.unionByName(mark, allowMissingColumns=True))))  # a seed has no previous mark: it gives no row
+    before = seeds.select("bond_id", "date", F.col("cum_bp").alias("bp"), F.lit(True).alias("__seed"))
+    rows = walked.select(*[c for c in RETURN_COLUMNS if c != "cum_bp"], F.lit(False).alias("__seed")).unionByName(before, allowMissingColumns=True)
+    return rows.withColumn("cum_bp", F.sum("bp").over(up_to_now(["bond_id"], "date"))).where(~F.col("__seed")).select(*RETURN_COLUMNS)
+
+
+def outside(table: DataFrame, dirty: DataFrame, day: str) -> DataFrame:
+    """Rows that a recomputation leaves: of other bonds, and of earlier months."""
+    return table.join(dirty, "bond_id", "left").where(F.col("from_month").isNull() | (F.col(day) < F.col("from_month"))).drop("from_month")

@@ -54,9 +54,13 @@ class Landing:
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/realcurve-{uuid.uuid4().hex}"
         self.count = 0
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def path(self) -> str:
+        """A folder of the shared one that nothing is in yet."""
         self.count += 1
-        path = f"{self.root}/{self.count:03d}"
+        return f"{self.root}/{self.count:03d}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = self.path()
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

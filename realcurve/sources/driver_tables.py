@@ -93,6 +93,15 @@ def raw_quotes(spark: SparkSession, sf_dir: str, only: DataFrame | None = None)
     )
 
 
+def quote_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late revisions of quotes, one per event: the user as bond, days spread over the quoted years. The vendor's ratio isn't revised."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").alias("bond_id"), F.date_add(F.lit("1996-01-01").cast("date"), (F.col("event_id") * 37 % 2000).cast("int")).alias("date"),
+        (90.0 + F.col("value") / 100.0).alias("clean"), (0.5 + F.col("event_id") % 50 / 100.0).alias("ytm"), F.lit(None).cast("double").alias("vendor_ir"),
+        F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
 def quotes(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Quotes inside the life of the bond (static joined on)."""
     q = raw_quotes(spark, sf_dir, only)

@@ -1,22 +1,23 @@
 """Late quote revisions as a stream.
 
-Revisions arrive as files, in any order. A stateful aggregate keeps the newest value per (bond, day), one row
-each as in the landed table, and refuses none. Each micro-batch is merged into the landed table by month partition: only
-the months the batch touches are read, merged and replaced.
+Revisions arrive as files, in any order. The stream keeps no state: every landed row carries the version of its value, so a
+micro-batch is reduced and merged into the months it touches by comparing versions, whichever query brings it and however late. A month is replaced at
+once or not at all, together with the number of the batch, so a batch that broke off or is replayed is merged once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.daycount import month_start
-from ..operators.incremental import topup_merge
 from ..session import Landing
+from ..sources.versioned import VersionedTable
 
 PARTITION = "month"
+Combine = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
 def revision_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -27,56 +28,51 @@ def revision_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest_by_day(stream: DataFrame) -> DataFrame:
-    """Newest value per bond and day, counted; a late file of one bond counts like any other."""
-    return (
-        stream.groupBy("bond_id", F.window("ts", "1 day").alias("w"))
-        .agg(F.max_by("value", F.struct("ts", "event_id")).alias("clean"), F.count(F.lit(1)).alias("updates"))
-        .select("bond_id", F.col("w.start").cast("date").alias("date"), "clean", "updates")
-    )
+    """Revisions as landed rows: the value of a bond and day, one update, and its version (``ts, event_id``)."""
+    return stream.select("bond_id", F.col("ts").cast("date").alias("date"), F.col("value").alias("clean"), F.lit(1).cast("long").alias("updates"), "ts", "event_id")
+
+
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest value per key, updates counted. Associative and order-free; updates that are delivered by two queries count twice."""
+    best = F.max(F.struct("ts", "event_id", "clean")).alias("b")
+    return rows.groupBy(*keys).agg(best, F.sum("updates").alias("updates")).select(*keys, "b.clean", "updates", "b.ts", "b.event_id")
 
 
 def daily_totals(stream: DataFrame) -> DataFrame:
-    """Count and total per event type and day, late rows included."""
-    return (
-        stream.groupBy(F.window("ts", "1 day").alias("w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0).alias("total"))
-        .select(F.col("w.start").cast("date").alias("window_start"), "event_type", "n", "total")
-    )
+    """Revisions as landed rows: count and cents of an event type and day."""
+    return stream.select(F.col("ts").cast("date").alias("window_start"), "event_type", F.lit(1).cast("long").alias("n"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+
 
+def added(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts and cents added up per key."""
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
 
-def read_landed(spark: SparkSession, target: str, schema) -> DataFrame:
-    """The landed table (also before its first batch)."""
-    return spark.read.schema(schema).parquet(target)
 
+def landed_table(revisions: DataFrame, target: str, day: str) -> VersionedTable:
+    """The landed table of a stream, by month of ``day``."""
+    return VersionedTable(revisions.sparkSession, target, revisions.withColumn(PARTITION, month_start(F.col(day))).schema, PARTITION)
 
-def start_topup(revisions: DataFrame, target: str, checkpoint: str, keys: Sequence[str], day: str):
-    """Merge every micro-batch into the month partitions of ``target`` that it touches.
 
-    The merged months are staged before they replace the old ones, so a batch lost half-way is simply
-    replayed; merging the same batch twice gives the same table.
-    """
-    spark = revisions.sparkSession
-    landed = revisions.withColumn(PARTITION, month_start(F.col(day)))
-    schema = landed.schema
-    spark.createDataFrame([], schema).write.mode("append").partitionBy(PARTITION).parquet(target)
+def start_topup(revisions: DataFrame, target: str, checkpoint: str, keys: Sequence[str], day: str, combine: Combine = newest):
+    """Merge every micro-batch into the months of ``target`` that it touches; only these are read and replaced, replaced ones are deleted."""
+    table, land = landed_table(revisions, target, day), Landing(revisions.sparkSession)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(PARTITION).distinct()
-        old = read_landed(spark, target, schema).join(F.broadcast(touched), PARTITION, "left_semi")
-        staged = f"{target}-staged/{batch_id}"
-        topup_merge(old, batch, keys).write.mode("overwrite").parquet(staged)
-        fresh = spark.read.schema(schema).parquet(staged)
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(target)
+        if table.applied(checkpoint, batch_id):
+            return
+        fresh = land(combine(batch, keys).withColumn(PARTITION, month_start(F.col(day))))
+        touched = [r[PARTITION] for r in fresh.select(PARTITION).distinct().collect()]  # bounded by the calendar
+        merged = combine(table.read(touched).unionByName(fresh), keys).withColumn(PARTITION, month_start(F.col(day)))
+        table.publish(merged, touched, checkpoint, batch_id)
+        table.expire()
 
-    return landed.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return revisions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(revisions: DataFrame, root: str, keys: Sequence[str], day: str) -> DataFrame:
+def drain(revisions: DataFrame, root: str, keys: Sequence[str], day: str, combine: Combine = newest) -> DataFrame:
     """Run the top-up over what has arrived and return the landed table."""
-    query = start_topup(revisions, f"{root}/table", f"{root}/checkpoint", keys, day)
-    query.awaitTermination()
-    schema = revisions.withColumn(PARTITION, month_start(F.col(day))).schema
-    return read_landed(revisions.sparkSession, f"{root}/table", schema).drop(PARTITION)
+    start_topup(revisions, f"{root}/table", f"{root}/checkpoint", keys, day, combine).awaitTermination()
+    return landed_table(revisions, f"{root}/table", day).read().drop(PARTITION)
 
 
 def run_topup_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +82,5 @@ def run_topup_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_windowed_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drain the event files as daily totals."""
-    return drain(daily_totals(revision_stream(spark, f"{sf_dir}/events*.parquet")), Landing(spark).root, ["window_start", "event_type"], "window_start")
+    totals = drain(daily_totals(revision_stream(spark, f"{sf_dir}/events*.parquet")), Landing(spark).root, ["window_start", "event_type"], "window_start", added)
+    return totals.withColumn("total", F.col("cents") / 100.0)
