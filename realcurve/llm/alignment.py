@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Land, landing, table, with_code
 
 #: Characters of the texts of a chunk, and parts that a worker remembers.
-CHUNK, MOST_PARTS = 2_000_000, 100_000
+CHUNK, MOST_PARTS = 2_000_000, 200_000
 #: Fixed value: what stands for a space in pieces.
 SPACE_MARK = "▁"
 #: A pair of ids as one number.
@@ -47,20 +49,18 @@ def piece_bytes(piece: str) -> bytes:
 
 def sliced(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
     """Groups as ``(a from, a to, b from, b to)`` and links as pairs of ids, of two id lists over the same bytes."""
-    a_end, b_end, at = {}, {}, 0
-    for i, n in enumerate(a_sizes):
-        at += n
-        a_end[at] = i + 1
-    at = 0
-    for i, n in enumerate(b_sizes):
-        at += n
-        b_end[at] = i + 1
+    a_end = dict(zip(accumulate(a_sizes), range(1, len(a_ids) + 1)))
+    b_end = dict(zip(accumulate(b_sizes), range(1, len(b_ids) + 1)))
     groups, links, i, j = [], [], 0, 0
     for end in sorted(a_end.keys() & b_end.keys()):
         p, q = a_end[end], b_end[end]
         groups.append((i, p, j, q))
-        if p - i == 1 or q - j == 1:  # one token on a side overlaps all of the other
-            links += [(x, y) for x in a_ids[i:p] for y in b_ids[j:q]]
+        if p - i == 1:  # one token on a side overlaps all of the other
+            x = a_ids[i]
+            links += [(x, y) for y in b_ids[j:q]]
+        elif q - j == 1:
+            y = b_ids[j]
+            links += [(x, y) for x in a_ids[i:p]]
         else:
             u, v, left, right = i, j, a_sizes[i], b_sizes[j]
             while True:
@@ -93,6 +93,8 @@ class Aligner:
         self.a_bytes = {i: bytes(of[c] for c in piece) if all(c in of for c in piece) else piece.encode() for piece, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [piece_bytes(p) for p in pieces]
+        self.a_size, self.b_size = {i: len(x) for i, x in self.a_bytes.items()}, [*map(len, self.b_bytes)]
+        self.written = [str(i) for i in range(max(len(pieces), 1 + max(self.a_bytes)))]
         # a piece that goes on after a space would join two parts
         self.cuts = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
         self.held: dict[str, tuple | None] = {}
@@ -105,8 +107,8 @@ class Aligner:
             return []
         return self.CUT.split(text) if self.cuts else [text]
 
-    def learn(self, parts: set[str]) -> None:
-        """Aligns the parts not held yet. ``held``: groups as text, links as pairs with their numbers, tokens, groups."""
+    def learn(self, parts: list[str]) -> list[tuple | None]:
+        """For each part its groups as text, its links, its tokens of either side and its groups; parts not held are aligned first."""
         if len(self.held) > MOST_PARTS:
             self.held = {p: self.held[p] for p in parts if p in self.held}
         new = [p for p in parts if p not in self.held]
@@ -114,15 +116,16 @@ class Aligner:
             some = new[at : at + 1000]
             for p, a, b in zip(some, self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False), self.b.encode(some, num_threads=1)):
                 self.held[p] = self._aligned(" " + p, a.ids, b)
+        return [self.held[p] for p in parts]
 
     def _aligned(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple | None:
-        a, b, whole = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids], text.encode()
-        if b"".join(a) != whole or b"".join(b) != whole:
+        whole, a_bytes, b_bytes, written = text.encode(), self.a_bytes, self.b_bytes, self.written
+        if b"".join([a_bytes[i] for i in a_ids]) != whole or b"".join([b_bytes[i] for i in b_ids]) != whole:
             return None
-        groups, links = sliced(a_ids, b_ids, [*map(len, a)], [*map(len, b)])
-        written = ";".join(f"{','.join(map(str, a_ids[i:p]))}|{','.join(map(str, b_ids[j:q]))}" for i, p, j, q in groups)
-        pairs, times = np.unique(np.array([x << SHIFT | y for x, y in links], np.int64), return_counts=True)
-        return written, pairs, times, len(a_ids), len(b_ids), len(groups)
+        groups, links = sliced(a_ids, b_ids, [self.a_size[i] for i in a_ids], [self.b_size[i] for i in b_ids])
+        a, b = [written[i] for i in a_ids], [written[i] for i in b_ids]
+        shown = ";".join([f"{a[i]}|{b[j]}" if p - i == 1 == q - j else ",".join(a[i:p]) + "|" + ",".join(b[j:q]) for i, p, j, q in groups])
+        return shown, array("q", [x << SHIFT | y for x, y in links]), len(a_ids), len(b_ids), len(groups)
 
 
 @lru_cache(maxsize=1)
@@ -131,40 +134,38 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 
 
 CHUNKS = ("chunk long, doc_id array<long>, no_id array<boolean>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
-          "doc_parts array<int>, part array<int>, times array<int>, part_pairs array<int>, pair_at array<int>, pair_times array<int>, pairs array<long>, links array<long>")
+          "doc_parts array<int>, part array<int>, times array<int>, part_pairs array<int>, pair_at array<int>, pairs array<long>, links array<long>")
 
 
 def _chunk(number: int, ids: list, texts: list[str | None], own: Aligner) -> pd.DataFrame:
-    """The row of a chunk. ``part, times``: the parts of its documents one after another, ``doc_parts`` of each; ``pair_at, pair_times``:
-    the links of its parts likewise, by place in ``pairs``, which are the distinct pairs with their ``links`` in the chunk."""
-    split = [own.parts(t) for t in texts]
-    own.learn(set().union(*split) if split else set())
-    held, place = own.held, {}
-    rows, parts, times = [], [], []
-    for found in split:
-        got = [held[p] for p in found]
-        if not got or None in got:
+    """The row of a chunk. ``part, times``: the parts of its documents one after another, ``doc_parts`` of each; ``pair_at``: the links of its
+    parts likewise, ``part_pairs`` of each, by place in ``pairs``, which are the distinct pairs with their ``links`` in the chunk."""
+    place: dict[str, int] = {}
+    split = [[place.setdefault(p, len(place)) for p in own.parts(t)] for t in texts]
+    found = own.learn([*place])
+    shown, bad = [f and f[0] for f in found], {i for i, f in enumerate(found) if f is None}
+    sums = np.array([f[2:] if f else (0, 0, 0) for f in found], np.int64).reshape(-1, 3)
+    none, parts, times, rows = np.zeros(0, np.int64), [], [], []
+    for local in split:
+        if not local or bad and not bad.isdisjoint(local):
             rows.append((0, 0, 0, "", 0))
             continue
-        local = np.array([place.setdefault(p, len(place)) for p in found], np.int32)
-        each, n = np.unique(local, return_counts=True)
+        each, n = np.unique(np.array(local, np.int64), return_counts=True)
         parts.append(each)
         times.append(n)
         sha = hashlib.sha256()
-        for at in range(0, len(got), 4096):  # long texts are written piece by piece
-            sha.update(((";" if at else "") + ";".join([g[0] for g in got[at : at + 4096]])).encode())
-        rows.append((sum(g[3] for g in got), sum(g[4] for g in got), sum(g[5] for g in got), sha.hexdigest(), len(each)))
-    own_parts = [held[p] for p in place]
-    none = np.zeros(0, np.int64)
+        for at in range(0, len(local), 4096):  # long texts are written piece by piece
+            sha.update(((";" if at else "") + ";".join([shown[i] for i in local[at : at + 4096]])).encode())
+        n_a, n_b, n_groups = (int(x) for x in n @ sums[each])
+        rows.append((n_a, n_b, n_groups, sha.hexdigest(), len(each)))
     part, times = (np.concatenate(x).astype(np.int64) if x else none for x in (parts, times))
-    used = np.bincount(part, times, len(own_parts)).astype(np.int64)
-    sizes = np.array([len(g[1]) for g in own_parts], np.int64)
-    pairs, at = np.unique(np.concatenate([g[1] for g in own_parts]) if own_parts else none, return_inverse=True)
-    pair_times = np.concatenate([g[2] for g in own_parts]) if own_parts else none
-    links = np.bincount(at, pair_times * np.repeat(used, sizes), len(pairs)).astype(np.int64)
+    used = np.bincount(part, times, len(found)).astype(np.int64)
+    sizes = np.array([len(f[1]) if f else 0 for f in found], np.int64)
+    pairs, at = np.unique(np.frombuffer(b"".join([f[1] for f in found if f]), np.int64), return_inverse=True)
+    links = np.bincount(at, np.repeat(used, sizes), len(pairs)).astype(np.int64)
     n_a, n_b, n_groups, sha, doc_parts = zip(*rows)
     n_links = [a + b - g for a, b, g in zip(n_a, n_b, n_groups)]  # a group's tokens overlap in a chain
-    row = (number, [i or 0 for i in ids], [i is None for i in ids], n_a, n_b, n_groups, n_links, sha, np.array(doc_parts), part, times, sizes, at, pair_times, pairs, links)
+    row = (number, [i or 0 for i in ids], [i is None for i in ids], n_a, n_b, n_groups, n_links, sha, np.array(doc_parts), part, times, sizes, at, pairs, links)
     return pd.DataFrame({c.split()[0]: [list(v) if isinstance(v, tuple) else v] for c, v in zip(CHUNKS.split(", "), row)})
 
 
@@ -195,11 +196,11 @@ def _summed(chunk: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     place, of = known["place"].to_numpy(np.int64), {"best": np.zeros(len(r["pairs"]), np.int64), "total": np.zeros(len(r["pairs"]), np.int64)}
     for name, value in of.items():
         value[place] = known[name].to_numpy(np.int64)
-    at, pair_times, sizes, part, times, doc_parts = (np.asarray(r[c], np.int64) for c in ("pair_at", "pair_times", "part_pairs", "part", "times", "doc_parts"))
+    at, sizes, part, times, doc_parts = (np.asarray(r[c], np.int64) for c in ("pair_at", "part_pairs", "part", "times", "doc_parts"))
     by_part, by_doc, sums = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(doc_parts)), doc_parts), {}
     for name, value in of.items():
         of_part, of_doc = np.zeros(len(sizes), np.int64), np.zeros(len(doc_parts), np.int64)
-        np.add.at(of_part, by_part, pair_times * value[at])
+        np.add.at(of_part, by_part, value[at])
         np.add.at(of_doc, by_doc, times * of_part[part])
         sums[name] = of_doc
     ids = pd.array(np.asarray(r["doc_id"], np.int64), "Int64")
