@@ -40,7 +40,7 @@ _KSQL = "x_usd / 1e3 AS x_k, linked_usd / 1e6 AS linked_m, nominal_usd / 1e6 AS
 case("aligned_pairs", "tenor date:d " + _K, lambda p: _scaled(p.pairs_gas), f"SELECT tenor, date, {_KSQL} FROM pairs_gas")
 case("aligned_pairs_crude", "tenor date:d " + _K, lambda p: _scaled(p.pairs_crude), f"SELECT tenor, date, {_KSQL} FROM pairs_crude")
 case("aligned_pairs_bucket", "market bucket date:d " + _K, lambda p: _scaled(p.pairs_buckets), f"SELECT market, bucket, date, {_KSQL} FROM pairs_bk")
-case("trailing_window", "tenor month:d window rows:i first_day:d", lambda p: hedge.trailing_window(hedge.complete(p.pairs_gas), T).groupBy("tenor", "month", "window").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_day")),
+case("trailing_window", "tenor month:d window rows:i first_day:d", lambda p: hedge.window_moments(hedge.complete(p.pairs_gas), T),
      'SELECT tenor, month, win AS "window", count(*) AS rows, min(date) AS first_day FROM wf_rows GROUP BY 1, 2, 3')
 _WF = "max(CASE WHEN win = '{w}' THEN slope END) AS contracts_{w}, max(CASE WHEN win = '{w}' THEN r2 END) AS r2_{w}, max(CASE WHEN win = '{w}' THEN corr END) AS corr_{w}, max(CASE WHEN win = '{w}' THEN tstat END) AS tstat_{w}, coalesce(max(CASE WHEN win = '{w}' THEN n END), 0) AS n_{w}"
 case("walk_forward_ratio", "tenor month:d rebalance:d contracts_2y:3 r2_2y:5 corr_2y:5 tstat_2y:4 n_2y:i contracts_5y:3 r2_5y:5 tstat_5y:4 n_5y:i", lambda p: hedge.walk_forward_ratio(p.pairs_gas, T, per_year=PAIR_DAYS_PER_YEAR),
@@ -48,7 +48,7 @@ case("walk_forward_ratio", "tenor month:d rebalance:d contracts_2y:3 r2_2y:5 cor
 # the driver panel has few days with both legs, so the same walk-forward also runs on the linked leg alone
 _linked_pairs = lambda p: hedge.aligned_pairs(p.tenors.withColumn("r_nominal_bp", F.lit(0.0)), p.gasoline, T)
 case("walk_forward_linked", "tenor month:d contracts_2y:3 r2_2y:5 tstat_2y:4 n_2y:i", lambda p: hedge.walk_forward_ratio(_linked_pairs(p), T, {"2y": 2}, 30),
-     f"""WITH q AS (SELECT tenor, date, x_usd, linked_usd AS y FROM pairs_gas WHERE linked_usd IS NOT NULL),
+     f"""WITH q AS (SELECT tenor, f.date, any_value(f.usd_per_contract) AS x_usd, sum(r_linked_bp) * 100000.0 AS y FROM tenor_rets r ASOF JOIN gas_spl f ON r.date <= f.date WHERE r_linked_bp IS NOT NULL GROUP BY 1, 2),
      m AS (SELECT tenor, CAST(date_trunc('month', date) AS DATE) AS month, min(date) AS r FROM q GROUP BY 1, 2),
      j AS (SELECT q.*, m.month, m.r FROM q JOIN m ON m.tenor = q.tenor AND q.date >= CAST(m.r - to_months(24) AS DATE) AND q.date < m.r)
      SELECT tenor, month, slope AS contracts_2y, r2 AS r2_2y, tstat AS tstat_2y, n AS n_2y FROM (SELECT tenor, month, r, min(date) AS lo, {ols('x_usd', 'y')} FROM j GROUP BY 1, 2, 3) WHERE n >= 60 AND lo <= CAST(r - to_months(22) AS DATE)""")

@@ -31,6 +31,17 @@ def ols_columns(x: Column, y: Column, prefix: str = "") -> list[Column]:
     ]
 
 
+def moment_columns(n: str, sxx: str, syy: str, sxy: str) -> dict[str, Column]:
+    """Slope, r2, corr, t and n from a count and centred products, with the rules of ``ols_columns``."""
+    c, xx, yy, xy = (F.col(k) for k in (n, sxx, syy, sxy))
+    usable = (c >= 3) & (xx > 0)
+    slope, r = F.try_divide(xy, xx), F.try_divide(xy, F.sqrt(xx * yy))
+    se = F.sqrt(F.try_divide(F.greatest(F.try_divide(yy - xy * slope, c - 2), F.lit(0.0)), xx))
+    seen = usable & (yy > 0)
+    return {"slope": F.when(usable, slope), "r2": F.when(seen, r * r), "corr": F.when(seen, r),
+            "tstat": F.when(seen & (se > 0), F.try_divide(slope, se)), "n": c.cast("long")}
+
+
 def ols(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """One regression per group."""
     return df.groupBy(*by).agg(*ols_columns(F.col(x), F.col(y)))

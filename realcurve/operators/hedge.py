@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.daycount import month_start
 from ..functions.ordered import asof, up_to_now
-from ..functions.stats import ols_columns
+from ..functions.stats import moment_columns, ols_columns
 
 BP_USD = 100_000.0  # fixed value: dollars per basis point of a leg
 WINDOWS = {"2y": 2, "5y": 5}  # fixed values: trailing years
@@ -47,24 +47,51 @@ def complete(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("be_usd").isNotNull())
 
 
-def rebalance_days(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """First common day of each month."""
-    return pairs.groupBy(*by, month_start(F.col("date")).alias("month")).agg(F.min("date").alias("rebalance"))
+PRODUCTS = {"be": "be_usd", "l": "linked_usd", "n": "nominal_usd"}
 
 
-def trailing_window(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS) -> DataFrame:
-    """Each pair row in every rebalance window ``[R - years, R)`` that contains it.
+def _prefixes(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each pair row with what the rows before it add up to: their number, and for each product the number, sums and products of centred values.
 
-    Rebalance days are one row a month, so they are broadcast and meet the pairs in place. Calendar
-    years are stepped from R, as month arithmetic does (a 29 February clips).
+    Values are centred on their group's means, so that differences of two prefixes keep their digits.
     """
+    group, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias
+    centred = pairs.withColumns({"__x": F.col("x_usd") - F.avg("x_usd").over(group)} | {f"__{k}": F.col(c) - F.avg(c).over(group) for k, c in PRODUCTS.items()})
+    sums = [total(F.lit(1.0))("__rows")]
+    for k in PRODUCTS:
+        y = F.col(f"__{k}")
+        x = F.when(y.isNotNull(), F.col("__x"))
+        y = F.when(x.isNotNull(), y)
+        for name, value in (("c", F.when(y.isNotNull(), 1.0)), ("sx", x), ("sy", y), ("sxx", x * x), ("sxy", x * y), ("syy", y * y)):
+            sums.append(total(value)(f"__{k}_{name}"))
+    return centred.select(*by, "date", *sums)
+
+
+def window_moments(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS) -> DataFrame:
+    """Moments of every rebalance window ``[R - years, R)``: ``rows``, ``first_day`` and, for each product, count, sums and centred products.
+
+    A window is the difference of two prefixes, the one at R and the one at its first day, which is looked up as of ``R - years``: no
+    day meets a window. Calendar years are stepped from R, as month arithmetic does (a 29 February clips). Windows without rows are left out.
+    """
+    prefixes = _prefixes(pairs, by)
+    names = [c for c in prefixes.columns if c.startswith("__")]
     spans = F.explode(F.array(*[F.struct(F.lit(t).alias("window"), F.lit(y).alias("years")) for t, y in windows.items()]))
-    marks = rebalance_days(pairs, by).select(*by, "month", "rebalance", spans.alias("s")).select(
-        *by, "month", "rebalance", "s.window", "s.years", F.add_months("rebalance", -12 * F.col("s.years")).alias("from_day"),
-        F.add_months("rebalance", 2 - 12 * F.col("s.years")).alias("reach_day"),
-    )
-    inside = (F.col("date") >= F.col("from_day")) & (F.col("date") < F.col("rebalance"))
-    return pairs.join(F.broadcast(marks), list(by)).where(inside)
+    at = prefixes.withColumn("month", month_start(F.col("date"))).groupBy(*by, "month").agg(F.min(F.struct("date", *names)).alias("e"))  # first common day of each month
+    marks = at.select(*by, "month", F.col("e.date").alias("rebalance"), F.col("e").alias("end"), spans.alias("s")).select(
+        *by, "month", "rebalance", "end", "s.window", "s.years", F.add_months("rebalance", -12 * F.col("s.years")).alias("from_day"),
+        F.add_months("rebalance", 2 - 12 * F.col("s.years")).alias("reach_day"))
+    opens = prefixes.select(*by, F.col("date").alias("from_day"), F.col("date").alias("first_day"), F.struct(*names).alias("start"))
+    met = asof(marks, opens, by, "from_day", ["first_day", "start"], "forward").where(F.col("first_day") < F.col("rebalance"))
+    within = lambda c: F.col(f"end.{c}") - F.col(f"start.{c}")
+    out = met.select(*by, "month", "rebalance", "window", "years", "reach_day", "first_day", within("__rows").cast("long").alias("rows"), *[within(c).alias(c[2:]) for c in names[1:]], *[F.col(f"end.{c}").alias(f"to_{c[2:]}") for c in names if c.endswith(("sxx", "syy"))])
+    for k in PRODUCTS:
+        n = F.col(f"{k}_c")
+        part = lambda a, b, c, k=k, n=n: F.col(f"{k}_{c}") - F.try_divide(F.col(f"{k}_{a}") * F.col(f"{k}_{b}"), n)
+        # what is left of the sum up to here by rounding is no spread
+        spread = lambda a, c, k=k, part=part: F.when(part(a, a, c) > 1e-13 * F.col(f"to_{k}_{c}"), part(a, a, c)).otherwise(0.0)
+        out = out.withColumns({f"{k}_xx": spread("sx", "sxx"), f"{k}_yy": spread("sy", "syy"), f"{k}_xy": part("sx", "sy", "sxy")})
+    return out
 
 
 def _full_enough(n: str, first: str, per_year: int):
@@ -73,14 +100,11 @@ def _full_enough(n: str, first: str, per_year: int):
 
 def window_regressions(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS,
                        per_year: int = MIN_DAYS_PER_YEAR) -> DataFrame:
-    """Breakeven and per-leg regressions of every full window, one pass over the pairs."""
-    rows = trailing_window(complete(pairs), by, windows)
-    x = F.col("x_usd")
-    agg = rows.groupBy(*by, "month", "rebalance", "window", "years", "reach_day").agg(
-        *ols_columns(x, F.col("be_usd")), F.min("date").alias("first_day"), F.count(F.lit(1)).alias("rows"),
-        ols_columns(x, F.col("linked_usd"), "l_")[0], ols_columns(x, F.col("nominal_usd"), "n_")[0],
-    )
-    return agg.where(_full_enough("rows", "first_day", per_year))
+    """Breakeven and per-leg regressions of every full window, from its moments."""
+    full = window_moments(complete(pairs), by, windows).where(_full_enough("rows", "first_day", per_year))
+    fit = moment_columns("be_c", "be_xx", "be_yy", "be_xy")
+    slope = lambda k: moment_columns(f"{k}_c", f"{k}_xx", f"{k}_yy", f"{k}_xy")["slope"]
+    return full.select(*by, "month", "rebalance", "window", "years", "reach_day", "first_day", "rows", *[c.alias(n) for n, c in fit.items()], slope("l").alias("l_slope"), slope("n").alias("n_slope"))
 
 
 def walk_forward_ratio(pairs: DataFrame, by: Sequence[str], windows: dict[str, int] = WINDOWS,
