@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from realcurve.functions import financing as fin
 from realcurve.functions import stats
-from realcurve.operators import calendars, exports, futures, hedge, robust, walk
+from realcurve.operators import calendars, exports, futures, hedge, lines, robust, walk
 from realcurve.plans.panel import PAIR_DAYS_PER_YEAR
 from realcurve.sources import driver_tables as src
 from realcurve.streaming import recompute, topup
@@ -112,16 +112,16 @@ case("path_corr", "market bucket months:i last_a:3 last_b:3 corr:5", _leg_paths,
      SELECT market, bucket, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS months, arg_max(a, month) FILTER (a IS NOT NULL) AS last_a, arg_max(b, month) FILTER (b IS NOT NULL) AS last_b,
      CASE WHEN count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) > 2 THEN corr(a, b) END AS corr FROM m GROUP BY 1, 2""")
 
-# ------------------------------------------------------------------ robust battery: bucket legs (x in thousands, y in millions)
+# ------------------------------------------------------------------ robust battery: breakevens of buckets (x in thousands, y in millions)
 B = ["market", "bucket"]
 
 
 def _points(p):
-    q = p.pairs_buckets.withColumns({"xs": F.col("x_usd") / 1e3, "ys": F.col("linked_usd") / 1e6})
+    q = p.pairs_buckets.withColumns({"xs": F.col("x_usd") / 1e3, "ys": F.col("be_usd") / 1e6})
     return robust.points(q, B, "xs", "ys")
 
 
-_PTS = "(SELECT market, bucket, date, x_usd / 1e3 AS x, linked_usd / 1e6 AS y FROM pairs_bk WHERE x_usd IS NOT NULL AND linked_usd IS NOT NULL)"
+_PTS = "(SELECT market, bucket, date, x_usd / 1e3 AS x, be_usd / 1e6 AS y FROM pairs_bk WHERE x_usd IS NOT NULL AND be_usd IS NOT NULL)"
 _OLS = f"(SELECT market, bucket, {ols('x', 'y')} FROM {_PTS} GROUP BY 1, 2)"
 case("ols", "market bucket n:i slope:5 intercept:5 r2:6 corr:6 tstat:4", lambda p: robust.fit(_points(p), B), f"SELECT * FROM {_OLS}")
 _WZ = f"""(SELECT p.market, p.bucket, least(greatest(x, xl), xh) AS x, least(greatest(y, yl), yh) AS y FROM {_PTS} p JOIN (
@@ -133,26 +133,40 @@ case("line_r2", "market bucket slope:5 intercept:5 r2:6", lambda p: robust.line_
      FROM {_PTS} p JOIN l USING (market, bucket) GROUP BY 1, 2""")
 
 
-def _irls_sql(passes: int, weight: str, scale: str | None) -> str:
-    line = """SELECT *, my - slope * mx AS intercept FROM (SELECT *, sum(wt * (x - mx) * (y - my)) OVER g / sum(wt * (x - mx) * (x - mx)) OVER g AS slope FROM (
-       SELECT market, bucket, date, x, y, wt, sum(wt * x) OVER g / sum(wt) OVER g AS mx, sum(wt * y) OVER g / sum(wt) OVER g AS my FROM {src} WINDOW g AS (PARTITION BY market, bucket)) WINDOW g AS (PARTITION BY market, bucket))"""
-    steps = [f"i0 AS MATERIALIZED ({line.format(src=f'(SELECT *, 1.0::DOUBLE AS wt FROM {_PTS})')})"]
-    for i in range(1, passes + 1):
-        resid = f"(SELECT market, bucket, date, x, y, abs(y - intercept - slope * x) AS ar FROM i{i - 1})"
-        scaled = f"(SELECT *, quantile_cont(ar, 0.5) OVER (PARTITION BY market, bucket) / {robust.MAD_SCALE} AS sc FROM {resid})" if scale else resid
-        steps.append(f"i{i} AS MATERIALIZED ({line.format(src=f'(SELECT *, {weight} AS wt FROM {scaled})')})")
-    return f"WITH {', '.join(steps)} SELECT market, bucket, max(slope) AS slope, max(intercept) AS intercept FROM i{passes} GROUP BY 1, 2"
+def _huber_sql(pts: str) -> str:
+    """Rounds of reweighting until a line stands still."""
+    return f"""(WITH RECURSIVE q AS (SELECT market, bucket, x, y FROM {pts}),
+     h AS (SELECT market, bucket, 0 AS k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, 1.0::DOUBLE AS moved FROM q GROUP BY 1, 2
+       UNION ALL SELECT market, bucket, k + 1, b, my - b * mx, abs(b - b0) / (abs(b) + 1e-9) + abs(my - b * mx - a0) / (abs(my - b * mx) + 1e-3) FROM (
+         SELECT *, sxy / sxx AS b FROM (
+           SELECT market, bucket, any_value(k) AS k, any_value(b) AS b0, any_value(a) AS a0, any_value(mx) AS mx, any_value(my) AS my, sum(wt * (x - mx) * (y - my)) AS sxy, sum(wt * (x - mx) * (x - mx)) AS sxx FROM (
+             SELECT *, sum(wt * x) OVER g / sum(wt) OVER g AS mx, sum(wt * y) OVER g / sum(wt) OVER g AS my FROM (
+               SELECT *, CASE WHEN ar <= {lines.HUBER_T} * sc THEN 1.0 ELSE {lines.HUBER_T} * sc / ar END AS wt FROM (
+                 SELECT *, quantile_cont(ar, 0.5) OVER g / {lines.MAD_SCALE} AS sc FROM (SELECT q.*, h.k, h.b, h.a, abs(q.y - h.a - h.b * q.x) AS ar FROM q JOIN h USING (market, bucket) WHERE h.moved > 1e-12 AND h.k < 300 AND h.b IS NOT NULL) WINDOW g AS (PARTITION BY market, bucket)) WHERE sc > 1e-12)
+             WINDOW g AS (PARTITION BY market, bucket)) GROUP BY 1, 2)))
+     SELECT market, bucket, arg_max(b, k) AS slope, arg_max(a, k) AS intercept FROM h GROUP BY 1, 2)"""
 
 
-case("huber_fit", "market bucket slope:5 intercept:5", lambda p: robust.huber_fit(_points(p), B),
-     _irls_sql(robust.HUBER_PASSES, f"CASE WHEN ar <= {robust.HUBER_T} * sc THEN 1.0 ELSE {robust.HUBER_T} * sc / ar END", "mad"))
-case("median_fit", "market bucket slope:4 intercept:4", lambda p: robust.median_fit(_points(p), B, eps=0.01), _irls_sql(robust.MEDIAN_PASSES, "1.0 / greatest(ar, 0.01)", None))
+def _median_sql(pts: str) -> str:
+    """The best of the lines through every two points."""
+    return f"""(WITH q AS (SELECT market, bucket, x, y, row_number() OVER (PARTITION BY market, bucket ORDER BY date) AS i FROM {pts}),
+     l AS (SELECT u.market, u.bucket, (v.y - u.y) / (v.x - u.x) AS slope, u.y - (v.y - u.y) / (v.x - u.x) * u.x AS intercept FROM q u JOIN q v ON u.market = v.market AND u.bucket = v.bucket AND u.i < v.i AND u.x <> v.x),
+     z AS (SELECT l.market, l.bucket, slope, intercept, sum(abs(y - intercept - slope * x)) AS loss FROM l JOIN q USING (market, bucket) GROUP BY 1, 2, 3, 4)
+     SELECT market, bucket, arg_min(slope, loss) AS slope, arg_min(intercept, loss) AS intercept, min(loss) AS loss FROM z GROUP BY 1, 2)"""
+
+
+def _pairs_sql(pts: str) -> str:
+    """The median slope of every two points."""
+    return f"""(WITH q AS (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY date) AS i FROM {pts}),
+     m AS (SELECT u.market, u.bucket, quantile_cont((v.y - u.y) / (v.x - u.x), 0.5) AS slope, count(*) AS pairs FROM q u JOIN q v ON u.market = v.market AND u.bucket = v.bucket AND u.i < v.i AND u.x <> v.x GROUP BY 1, 2)
+     SELECT market, bucket, any_value(slope) AS slope, any_value(pairs) AS pairs, quantile_cont(y - slope * x, 0.5) AS intercept FROM q JOIN m USING (market, bucket) GROUP BY 1, 2)"""
+
+
+_known = lambda df: df.where("slope is not null")  # noqa: E731  groups of one day have no line
+case("huber_fit", "market bucket slope:5 intercept:5", lambda p: _known(robust.huber_fit(_points(p), B)), f"SELECT * FROM {_huber_sql(_PTS)} WHERE slope IS NOT NULL")
+case("median_fit", "market bucket slope:5 intercept:5 loss:5", lambda p: _known(robust.median_fit(_points(p), B)), f"SELECT * FROM {_median_sql(_PTS)}")
 _RANK = "(date - DATE '1970-01-01') * 7919 % 10007, date"
-_lags = ", ".join(f"CASE WHEN lag(x, {k}) OVER w <> x THEN (y - lag(y, {k}) OVER w) / (x - lag(x, {k}) OVER w) END" for k in range(1, robust.PAIR_STEPS + 1))
-case("theil_sen", "market bucket slope:5 intercept:5 pairs:i", lambda p: robust.theil_sen(_points(p), B),
-     f"""WITH s AS (SELECT market, bucket, unnest([{_lags}]) AS s FROM {_PTS} WINDOW w AS (PARTITION BY market, bucket ORDER BY {_RANK})),
-     m AS (SELECT market, bucket, quantile_cont(s, 0.5) AS slope, count(s) AS pairs FROM s WHERE s IS NOT NULL GROUP BY 1, 2)
-     SELECT market, bucket, any_value(slope) AS slope, any_value(pairs) AS pairs, quantile_cont(y - slope * x, 0.5) AS intercept FROM {_PTS} p JOIN m USING (market, bucket) GROUP BY 1, 2""")
+case("theil_sen", "market bucket slope:5 intercept:5 pairs:i", lambda p: _known(robust.theil_sen(_points(p), B)), f"SELECT * FROM {_pairs_sql(_PTS)}")
 case("theil_sen_full", "market bucket slope:5 intercept:5 pairs:i", lambda p: robust.theil_sen_full(_points(p), B),
      f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY {_RANK}) AS rk FROM {_PTS}),
      z AS (SELECT market, bucket, count(*) AS n FROM r GROUP BY 1, 2),
@@ -160,8 +174,8 @@ case("theil_sen_full", "market bucket slope:5 intercept:5 pairs:i", lambda p: ro
      m AS (SELECT a.market, a.bucket, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope, count(*) AS pairs FROM r a JOIN r b ON a.market = b.market AND a.bucket = b.bucket
        JOIN k ON k.market = a.market AND k.bucket = a.bucket WHERE b.rk - a.rk BETWEEN 1 AND steps AND a.x <> b.x GROUP BY 1, 2)
      SELECT market, bucket, any_value(slope) AS slope, any_value(pairs) AS pairs, quantile_cont(y - slope * x, 0.5) AS intercept FROM {_PTS} p JOIN m USING (market, bucket) GROUP BY 1, 2""")
-case("ransac", "market bucket slope:5 intercept:5 inliers:i", lambda p: robust.ransac(_points(p), B),
-     f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY {_RANK}) - 1 AS rk FROM {_PTS}),
+def _ransac_sql(pts: str) -> str:
+    return f"""(WITH r AS (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY {_RANK}) - 1 AS rk FROM {pts}),
      a AS (SELECT market, bucket, quantile_cont(y, 0.5) AS mid, count(*) AS n FROM r GROUP BY 1, 2),
      b AS (SELECT market, bucket, any_value(n) AS n, quantile_cont(abs(y - mid), 0.5) AS tol FROM r JOIN a USING (market, bucket) GROUP BY 1, 2),
      d AS (SELECT b.*, CAST(t AS BIGINT) AS trial FROM b, range(0, {robust.RANSAC_TRIALS}) z(t)),
@@ -170,7 +184,10 @@ case("ransac", "market bucket slope:5 intercept:5 inliers:i", lambda p: robust.r
      v AS (SELECT m.market, m.bucket, trial, count(*) AS inliers FROM m JOIN r USING (market, bucket) WHERE abs(y - mi - ms * x) <= tol GROUP BY 1, 2, 3),
      k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY inliers DESC, trial) AS o FROM v) WHERE o = 1)
      SELECT r.market, r.bucket, any_value(inliers) AS inliers, {ols('x', 'y')}
-     FROM k JOIN m USING (market, bucket, trial) JOIN r ON r.market = k.market AND r.bucket = k.bucket WHERE abs(y - mi - ms * x) <= tol GROUP BY 1, 2""")
+     FROM k JOIN m USING (market, bucket, trial) JOIN r ON r.market = k.market AND r.bucket = k.bucket WHERE abs(y - mi - ms * x) <= tol GROUP BY 1, 2)"""
+
+
+case("ransac", "market bucket slope:5 intercept:5 inliers:i", lambda p: robust.ransac(_points(p), B), f"SELECT * FROM {_ransac_sql(_PTS)}")
 _INF = f"""(WITH m AS (SELECT market, bucket, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) / regr_sxx(y, x) AS slope, regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x) AS sse
        FROM {_PTS} GROUP BY 1, 2 HAVING count(*) > 3 AND regr_sxx(y, x) > 0),
      d AS (SELECT p.*, m.* EXCLUDE (market, bucket), 1.0 / n + (x - mx) * (x - mx) / sxx AS h, y - my - slope * (x - mx) AS e FROM {_PTS} p JOIN m USING (market, bucket))
@@ -190,14 +207,49 @@ case("conditional_r2", "market bucket top_pct n:i slope:5 r2:6", lambda p: robus
      f"""WITH e AS (SELECT market, bucket, unnest([50, 25, 10]) AS top_pct, unnest([quantile_cont(abs(x), 0.5), quantile_cont(abs(x), 0.75), quantile_cont(abs(x), 0.9)]) AS edge FROM {_PTS} GROUP BY 1, 2)
      SELECT p.market, p.bucket, top_pct, {ols('x', 'y')} FROM {_PTS} p JOIN e USING (market, bucket) WHERE abs(x) >= edge GROUP BY 1, 2, 3""")
 case("outlier_report", "market bucket n:i ols_beta:4 ols_r2:6 hc3_t:4 cooks_pct:4 huber_beta:4 r2_trim1pct:6 r2_top10pct:6",
-     lambda p: robust.outlier_report(p.pairs_buckets.withColumns({"x_usd": F.col("x_usd") / 1e3, "be_usd": F.col("linked_usd") / 1e6}), B),
+     lambda p: robust.outlier_report(p.pairs_buckets.withColumns({"x_usd": F.col("x_usd") / 1e3, "be_usd": F.col("be_usd") / 1e6}), B),
      f"""WITH o AS (SELECT * FROM {_OLS} WHERE n >= 30), i AS (SELECT market, bucket, any_value(slope) / (sqrt(sum(hc3)) / any_value(sxx)) AS hc3_t, count(*) FILTER (cooks_d > 4.0 / n) * 100.0 / any_value(n) AS cooks_pct FROM {_INF} GROUP BY 1, 2),
-     h AS ({_irls_sql(robust.HUBER_PASSES, f"CASE WHEN ar <= {robust.HUBER_T} * sc THEN 1.0 ELSE {robust.HUBER_T} * sc / ar END", "mad")}),
+     h AS (SELECT * FROM {_huber_sql(_PTS)}),
      t AS (SELECT market, bucket, {ols('x', 'y')} FROM (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY cooks_d DESC, date) AS rc FROM {_INF}) k WHERE rc > floor(k.n * 0.01::DOUBLE) GROUP BY 1, 2),
      c AS (SELECT p.market, p.bucket, {ols('x', 'y')} FROM {_PTS} p JOIN (SELECT market, bucket, quantile_cont(abs(x), 0.9) AS edge FROM {_PTS} GROUP BY 1, 2) e USING (market, bucket) WHERE abs(x) >= edge GROUP BY 1, 2)
      SELECT o.market, o.bucket, o.n, o.slope AS ols_beta, o.r2 AS ols_r2, i.hc3_t, i.cooks_pct, h.slope AS huber_beta, t.r2 AS r2_trim1pct, c.r2 AS r2_top10pct
      FROM o LEFT JOIN i USING (market, bucket) LEFT JOIN h USING (market, bucket) LEFT JOIN t USING (market, bucket) LEFT JOIN c USING (market, bucket)""")
 
+
+
+def _treatments_sql(pts: str) -> str:
+    clipped = lambda pct: f"""(SELECT p.market, p.bucket, least(greatest(x, xl), xh) AS x, least(greatest(y, yl), yh) AS y FROM {pts} p JOIN (
+       SELECT market, bucket, quantile_cont(x, {pct}) AS xl, quantile_cont(x, 1 - {pct}) AS xh, quantile_cont(y, {pct}) AS yl, quantile_cont(y, 1 - {pct}) AS yh FROM {pts} GROUP BY 1, 2) e USING (market, bucket))"""
+    own = [("ols", pts), ("winsor1", clipped(0.01)), ("winsor2.5", clipped(0.025))]
+    robust_lines = [("huber", _huber_sql(pts)), ("median", _median_sql(pts)), ("theil_sen", _pairs_sql(pts)), ("ransac", _ransac_sql(pts))]
+    parts = [f"SELECT market, bucket, '{n}' AS treatment, slope, intercept, r2 FROM (SELECT market, bucket, {ols('x', 'y')} FROM {source} GROUP BY 1, 2)" for n, source in own]
+    union = " UNION ALL ".join(f"SELECT market, bucket, '{n}' AS treatment, slope, intercept FROM {source}" for n, source in robust_lines)
+    parts.append(f"""SELECT market, bucket, treatment, any_value(slope) AS slope, any_value(intercept) AS intercept, CASE WHEN regr_syy(y, y) > 0 THEN 1 - sum((y - intercept - slope * x) * (y - intercept - slope * x)) / regr_syy(y, y) END AS r2
+       FROM {pts} p JOIN ({union}) l USING (market, bucket) GROUP BY 1, 2, 3""")
+    return f"(SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE slope IS NOT NULL)"
+
+
+_TREATED = "treatment slope:5 intercept:5 r2:6"
+case("robust_treatments", "market bucket " + _TREATED, lambda p: _known(robust.treatments(_points(p), B)), f"SELECT * FROM {_treatments_sql(_PTS)}")
+TENORS = ["product", "span", "tenor"]
+
+
+def _tenor_points(p):
+    """Breakevens of tenors against either product, over all years and the last five."""
+    out = None
+    for product, pairs in (("gasoline", p.pairs_gas), ("crude", p.pairs_crude)):
+        for span, years in (("full", None), ("5y", 5)):
+            q = robust.points(pairs.withColumns({"xs": F.col("x_usd") / 1e3, "ys": F.col("be_usd") / 1e6}), T, "xs", "ys", years).withColumns({"product": F.lit(product), "span": F.lit(span)})
+            out = q if out is None else out.unionByName(q)
+    return out
+
+
+_TPTS = "(" + " UNION ALL ".join(
+    f"""SELECT '{product}/{span}' AS market, tenor AS bucket, date, x_usd / 1e3 AS x, be_usd / 1e6 AS y FROM (SELECT *, max(date) OVER (PARTITION BY tenor) AS till FROM pairs_{table} WHERE x_usd IS NOT NULL AND be_usd IS NOT NULL) WHERE {cut}"""
+    for product, table in (("gasoline", "gas"), ("crude", "crude")) for span, cut in (("full", "true"), ("5y", "date >= CAST(till - to_months(60) AS DATE)"))) + ")"
+case("robust_treatments_tenor", "product span tenor " + _TREATED, lambda p: _known(robust.treatments(_tenor_points(p), TENORS)),
+     f"SELECT split_part(market, '/', 1) AS product, split_part(market, '/', 2) AS span, bucket AS tenor, treatment, slope, intercept, r2 FROM {_treatments_sql(_TPTS)}")
+
 # ------------------------------------------------------------------ hedged exports and payloads
 case("tenor_full", "tenor date:d settle:d d:i linked_bond_id nominal_bond_id net_financing_bp:4 r_be_bp:4 is_roll_day is_coupon_day is_weekend_or_holiday_step is_5y_auction is_10y_auction is_30y_auction auction_size_bn:3 usd_gas:3 contracts_be100:4 r_be75_hedged_bp:4",
      lambda p: exports.tenor_full(p.legs, p.auctions, p.gasoline, hedge.static_hedge(p.tenors.select("tenor", F.trunc("date", "month").alias("month")))),

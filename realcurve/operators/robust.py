@@ -1,8 +1,7 @@
 """Robust regression battery over daily (energy, breakeven) pairs.
 
 A group holds one row per day, so its length is bounded by the calendar. Plain moments are grouped
-aggregates joined back; the iterative fits keep every pass inside the one partitioning by group
-(window sums), so twenty passes cost one shuffle.
+aggregates joined back; the fits that iterate or sort gather a group once (see ``lines``).
 """
 
 from __future__ import annotations
@@ -13,13 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ols_columns
+from .lines import huber_line, median_fit, theil_sen
 
-HUBER_T = 1.345  # fixed values: tuning constant, normal consistency of the MAD
-MAD_SCALE = 0.6744897501960817
-HUBER_PASSES = 12
-MEDIAN_PASSES = 20
-MEDIAN_EPS = 1.0
-PAIR_STEPS = 6          # partners per point in the sampled pairwise slopes
 MOST_PAIRS = 10_000     # groups of no more pairs use all of them, larger ones at least as many
 RANSAC_TRIALS = 100
 TOP_INFLUENCE = 8
@@ -57,68 +51,12 @@ def winsor_ols(p: DataFrame, by: Sequence[str], pct: float) -> DataFrame:
     return fit(p.join(edges, list(by)).select(*by, clip("x", "xl", "xh"), clip("y", "yl", "yh")), by)
 
 
-def _weighted_line(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by)
-    s = lambda e: F.sum(e).over(w)
-    wt, x, y = F.col("wt"), F.col("x"), F.col("y")
-    df = df.withColumns({"mx": s(wt * x) / s(wt), "my": s(wt * y) / s(wt)})
-    dx, dy = x - F.col("mx"), y - F.col("my")
-    df = df.withColumn("slope", F.try_divide(s(wt * dx * dy), s(wt * dx * dx)))
-    return df.withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
-
-
-def _residual() -> Column:
-    return F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")
-
-
-def _lines(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.max("slope").alias("slope"), F.max("intercept").alias("intercept"))
-
-
-def huber_fit(p: DataFrame, by: Sequence[str], passes: int = HUBER_PASSES) -> DataFrame:
-    """Huber line by reweighting; the scale is the MAD about zero, refreshed each pass."""
-    w = Window.partitionBy(*by)
-    cur = _weighted_line(p.withColumn("wt", F.lit(1.0)), by)
-    for _ in range(passes):
-        cur = cur.withColumn("ar", F.abs(_residual())).withColumn("scale", F.percentile("ar", F.lit(0.5)).over(w) / MAD_SCALE)
-        limit = HUBER_T * F.col("scale")
-        cur = _weighted_line(cur.withColumn("wt", F.when(F.col("ar") <= limit, F.lit(1.0)).otherwise(F.try_divide(limit, F.col("ar")))), by)
-    return _lines(cur, by)
-
-
-def median_fit(p: DataFrame, by: Sequence[str], passes: int = MEDIAN_PASSES, eps: float = MEDIAN_EPS) -> DataFrame:
-    """Least-absolute-deviation line by reweighting with the inverse residual."""
-    cur = _weighted_line(p.withColumn("wt", F.lit(1.0)), by)
-    for _ in range(passes):
-        cur = _weighted_line(cur.withColumn("wt", 1.0 / F.greatest(F.abs(_residual()), F.lit(eps))), by)
-    return _lines(cur, by)
-
-
 def shuffled_rank(by: Sequence[str]) -> tuple[Column, Window]:
     """A fixed scrambled order of the days, the sampling order of the pairwise methods."""
     day = F.datediff("date", F.lit("1970-01-01"))
     return day, Window.partitionBy(*by).orderBy((day * 7919) % 10007, "date")
 
 
-def theil_sen(p: DataFrame, by: Sequence[str], steps: int = PAIR_STEPS) -> DataFrame:
-    """Median slope over sampled pairs: each point with its next few neighbours in a scrambled order.
-
-    A sampling estimator: pairs grow linearly with the points, never with their square.
-    """
-    _, w = shuffled_rank(by)
-    slopes = F.array(*[
-        F.when(F.lag("x", k).over(w) != F.col("x"), (F.col("y") - F.lag("y", k).over(w)) / (F.col("x") - F.lag("x", k).over(w)))
-        for k in range(1, steps + 1)
-    ])
-    slope = p.withColumn("ss", slopes).select(*by, F.explode("ss").alias("s")).where(F.col("s").isNotNull()).groupBy(*by).agg(
-        F.percentile("s", F.lit(0.5)).alias("slope"), F.count("s").alias("pairs")
-    )
-    level = p.join(slope, list(by)).groupBy(*by).agg(
-        F.first("slope").alias("slope"), F.first("pairs").alias("pairs"), F.percentile(F.col("y") - F.col("slope") * F.col("x"), F.lit(0.5)).alias("intercept")
-    )
-    return level.select(*by, "slope", "intercept", "pairs")
-
-
 def theil_sen_full(p: DataFrame, by: Sequence[str], most: int = MOST_PAIRS) -> DataFrame:
     """Median slope over all pairs of a group with ``most`` pairs or less; a larger one takes each point with as many of the points
     before it in a scrambled order as make ``most`` pairs at least.
@@ -219,6 +157,34 @@ def conditional_r2(p: DataFrame, by: Sequence[str], pcts: Sequence[int] = LARGE_
     return tagged.groupBy(*by, F.col("t.top_pct").alias("top_pct")).agg(*ols_columns(F.col("x"), F.col("y"))).select(*by, "top_pct", "n", "slope", "r2")
 
 
+def huber_fit(p: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Huber line of each group, until it stands still."""
+    return huber_line(p, by).select(*by, "slope", "intercept")
+
+
+WINSOR_PCTS = (1.0, 2.5)
+
+
+def treatments(p: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``treatment, slope, intercept, r2`` of each group by every estimator.
+
+    Least squares, plain and on winsorized data, have the r2 of the data they saw; the others the share of the raw data's spread that their line takes.
+    """
+    own = lambda fitted, name: fitted.select(*by, F.lit(name).alias("treatment"), "slope", "intercept", "r2")
+    out = own(fit(p, by), "ols")
+    for pct in WINSOR_PCTS:
+        out = out.unionByName(own(winsor_ols(p, by, pct), f"winsor{pct:g}"))
+    found = [line.select(*by, F.lit(name).alias("treatment"), "slope", "intercept") for name, line in
+             (("huber", huber_fit(p, by)), ("median", median_fit(p, by)), ("theil_sen", theil_sen(p, by)), ("ransac", ransac(p, by)))]
+    lines = found[0]
+    for f in found[1:]:
+        lines = lines.unionByName(f)
+    err = F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x"))
+    squares = p.join(lines, list(by)).groupBy(*by, "treatment").agg(
+        F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.sum(err * err).alias("sse"), F.regr_syy("y", "y").alias("sst"))
+    return out.unionByName(squares.select(*by, "treatment", "slope", "intercept", F.when(F.col("sst") > 0, 1.0 - F.col("sse") / F.col("sst")).alias("r2")))
+
+
 def outlier_report(pairs: DataFrame, by: Sequence[str], years: int | None = None, min_rows: int = 30) -> DataFrame:
     """One row per group with the battery."""
     p = points(pairs, by, years=years)
