@@ -2,8 +2,8 @@
 
 A text's tokens by both vocabularies end at byte offsets. The ends of either side are kept in a dictionary from end to index; the keys that
 both have, sorted, cut the two id lists into groups, and within a group every pair of tokens whose byte ranges overlap is a link. Both
-vocabularies cut a text at a single space between two other characters, so a text is aligned part by part, and a part that was seen before is
-looked up with its groups and links.
+vocabularies cut a text at a single space between two other characters, and between a Latin letter and a stop that ends a word, so a text is aligned
+part by part, and a part that was seen before is looked up with its groups and links.
 
 The texts go through in chunks of bounded size. A chunk's row holds its distinct parts with their links and, for each document, its parts:
 so what is counted over the corpus is one row for each distinct pair of ids in a chunk. The totals of the chunk's pairs come back to it, and
@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from struct import Struct
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Land, landing, table, with_code
 
-#: Characters of the texts of a chunk, and parts that a worker remembers.
-CHUNK, MOST_PARTS = 2_000_000, 200_000
+#: Characters of the texts of a chunk, and parts that a worker remembers, twice: those of late and those before.
+CHUNK, MOST_PARTS = 2_000_000, 150_000
 #: Fixed value: what stands for a space in pieces.
 SPACE_MARK = "▁"
 #: A pair of ids as one number.
@@ -47,8 +48,8 @@ def piece_bytes(piece: str) -> bytes:
     return bytes([int(found[1], 16)]) if found else piece.replace(SPACE_MARK, " ").encode()
 
 
-def sliced(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups as ``(a from, a to, b from, b to)`` and links as pairs of ids, of two id lists over the same bytes."""
+def sliced(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Groups as ``(a from, a to, b from, b to)`` and the ids of links, two for each, of two id lists over the same bytes."""
     a_end = dict(zip(accumulate(a_sizes), range(1, len(a_ids) + 1)))
     b_end = dict(zip(accumulate(b_sizes), range(1, len(b_ids) + 1)))
     groups, links, i, j = [], [], 0, 0
@@ -56,15 +57,15 @@ def sliced(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list
         p, q = a_end[end], b_end[end]
         groups.append((i, p, j, q))
         if p - i == 1:  # one token on a side overlaps all of the other
-            x = a_ids[i]
-            links += [(x, y) for y in b_ids[j:q]]
+            for y in b_ids[j:q]:
+                links += a_ids[i], y
         elif q - j == 1:
-            y = b_ids[j]
-            links += [(x, y) for x in a_ids[i:p]]
+            for x in a_ids[i:p]:
+                links += x, b_ids[j]
         else:
             u, v, left, right = i, j, a_sizes[i], b_sizes[j]
             while True:
-                links.append((a_ids[u], b_ids[v]))
+                links += a_ids[u], b_ids[v]
                 step = min(left, right)
                 left, right = left - step, right - step
                 if not left:
@@ -80,7 +81,10 @@ def sliced(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list
 
 
 class Aligner:
-    """Parts of texts with what their alignment gives; None for a part whose tokens don't spell it."""
+    """Parts of texts with what their alignment gives: numbers of tokens of either side and of groups, the ids of links, the groups as text, in
+    one row of bytes; None for a part whose tokens don't spell it."""
+
+    HEAD = Struct("<III")
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -97,35 +101,57 @@ class Aligner:
         self.written = [str(i) for i in range(max(len(pieces), 1 + max(self.a_bytes)))]
         # a piece that goes on after a space would join two parts
         self.cuts = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
-        self.held: dict[str, tuple | None] = {}
+        self.late: dict[str | int, bytes | None] = {}
+        self.before: dict[str | int, bytes | None] = {}
+        # a stop after a letter is a token of its own where no piece holds both; it goes by its code, as a word can't
+        one = {c: (self.a.encode(c, add_special_tokens=False).ids, self.b.piece_to_id(c)) for c in ".,"}
+        self.stops = {c: ord(c) for c in one if not any(len(p) > 1 and p[-1] == c and p[-2].isalpha() for p in pieces) and pieces[one[c][1]] == c}
+        self.fixed = {ord(c): self._aligned(c, one[c][0], [one[c][1]]) for c in self.stops}
 
     #: Between two characters that are no white space of any library.
     CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
 
-    def parts(self, text: str | None) -> list[str]:
+    def parts(self, text: str | None) -> list[str | int]:
+        """Words with the space before them; the code of a stop that is cut off."""
         if not text:
             return []
-        return self.CUT.split(text) if self.cuts else [text]
-
-    def learn(self, parts: list[str]) -> list[tuple | None]:
-        """For each part its groups as text, its links, its tokens of either side and its groups; parts not held are aligned first."""
-        if len(self.held) > MOST_PARTS:
-            self.held = {p: self.held[p] for p in parts if p in self.held}
-        new = [p for p in parts if p not in self.held]
+        if not self.cuts:
+            return [text]
+        out, stops = [], self.stops
+        for p in self.CUT.split(text):
+            if p[-1] in stops and len(p) > 1 and p[-2] < "\u0250" and p[-2].isalpha():
+                out += p[:-1], stops[p[-1]]
+            else:
+                out.append(p)
+        return out
+
+    def learn(self, parts: list[str | int]) -> list[bytes | None]:
+        """What is held of each part; parts not held are aligned first."""
+        late, before, fixed = self.late, self.before, self.fixed
+        new = [p for p in parts if p not in late and p not in before and p not in fixed]
+        got = {}
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
             for p, a, b in zip(some, self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False), self.b.encode(some, num_threads=1)):
-                self.held[p] = self._aligned(" " + p, a.ids, b)
-        return [self.held[p] for p in parts]
-
-    def _aligned(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple | None:
+                got[p] = self._aligned(" " + p, a.ids, b)
+        out = []
+        for p in parts:
+            f = got[p] if p in got else late[p] if p in late else before[p] if p in before else fixed[p]
+            if p not in fixed:
+                late[p] = f
+            out.append(f)
+        if len(late) > MOST_PARTS:  # what hasn't been asked for since is let go
+            self.late, self.before = {}, late
+        return out
+
+    def _aligned(self, text: str, a_ids: list[int], b_ids: list[int]) -> bytes | None:
         whole, a_bytes, b_bytes, written = text.encode(), self.a_bytes, self.b_bytes, self.written
         if b"".join([a_bytes[i] for i in a_ids]) != whole or b"".join([b_bytes[i] for i in b_ids]) != whole:
             return None
         groups, links = sliced(a_ids, b_ids, [self.a_size[i] for i in a_ids], [self.b_size[i] for i in b_ids])
         a, b = [written[i] for i in a_ids], [written[i] for i in b_ids]
         shown = ";".join([f"{a[i]}|{b[j]}" if p - i == 1 == q - j else ",".join(a[i:p]) + "|" + ",".join(b[j:q]) for i, p, j, q in groups])
-        return shown, array("q", [x << SHIFT | y for x, y in links]), len(a_ids), len(b_ids), len(groups)
+        return self.HEAD.pack(len(a_ids), len(b_ids), len(groups)) + array("I", links).tobytes() + shown.encode()
 
 
 @lru_cache(maxsize=1)
@@ -137,14 +163,17 @@ CHUNKS = ("chunk long, doc_id array<long>, no_id array<boolean>, n_a array<long>
           "doc_parts array<int>, part array<int>, times array<int>, part_pairs array<int>, pair_at array<int>, pairs array<long>, links array<long>")
 
 
-def _chunk(number: int, ids: list, texts: list[str | None], own: Aligner) -> pd.DataFrame:
+def _chunk(number: int, doc_ids: list, texts: list[str | None], own: Aligner) -> pd.DataFrame:
     """The row of a chunk. ``part, times``: the parts of its documents one after another, ``doc_parts`` of each; ``pair_at``: the links of its
     parts likewise, ``part_pairs`` of each, by place in ``pairs``, which are the distinct pairs with their ``links`` in the chunk."""
-    place: dict[str, int] = {}
+    place: dict[str | int, int] = {}
     split = [[place.setdefault(p, len(place)) for p in own.parts(t)] for t in texts]
     found = own.learn([*place])
-    shown, bad = [f and f[0] for f in found], {i for i, f in enumerate(found) if f is None}
-    sums = np.array([f[2:] if f else (0, 0, 0) for f in found], np.int64).reshape(-1, 3)
+    heads = [own.HEAD.unpack_from(f) if f else (0, 0, 0) for f in found]
+    sums, bad = np.array(heads, np.int64).reshape(-1, 3), {i for i, f in enumerate(found) if f is None}
+    sizes = sums[:, 0] + sums[:, 1] - sums[:, 2]  # a group's tokens overlap in a chain
+    ends = (own.HEAD.size + 8 * sizes).tolist()
+    shown = [f[e:] if f else b"" for f, e in zip(found, ends)]
     none, parts, times, rows = np.zeros(0, np.int64), [], [], []
     for local in split:
         if not local or bad and not bad.isdisjoint(local):
@@ -155,17 +184,17 @@ def _chunk(number: int, ids: list, texts: list[str | None], own: Aligner) -> pd.
         times.append(n)
         sha = hashlib.sha256()
         for at in range(0, len(local), 4096):  # long texts are written piece by piece
-            sha.update(((";" if at else "") + ";".join([shown[i] for i in local[at : at + 4096]])).encode())
+            sha.update((b";" if at else b"") + b";".join([shown[i] for i in local[at : at + 4096]]))
         n_a, n_b, n_groups = (int(x) for x in n @ sums[each])
         rows.append((n_a, n_b, n_groups, sha.hexdigest(), len(each)))
     part, times = (np.concatenate(x).astype(np.int64) if x else none for x in (parts, times))
     used = np.bincount(part, times, len(found)).astype(np.int64)
-    sizes = np.array([len(f[1]) if f else 0 for f in found], np.int64)
-    pairs, at = np.unique(np.frombuffer(b"".join([f[1] for f in found if f]), np.int64), return_inverse=True)
+    ids_of_links = np.frombuffer(b"".join([f[own.HEAD.size : e] for f, e in zip(found, ends) if f]), np.uint32).astype(np.int64)
+    pairs, at = np.unique(ids_of_links[::2] << SHIFT | ids_of_links[1::2], return_inverse=True)
     links = np.bincount(at, np.repeat(used, sizes), len(pairs)).astype(np.int64)
     n_a, n_b, n_groups, sha, doc_parts = zip(*rows)
-    n_links = [a + b - g for a, b, g in zip(n_a, n_b, n_groups)]  # a group's tokens overlap in a chain
-    row = (number, [i or 0 for i in ids], [i is None for i in ids], n_a, n_b, n_groups, n_links, sha, np.array(doc_parts), part, times, sizes, at, pairs, links)
+    n_links = [a + b - g for a, b, g in zip(n_a, n_b, n_groups)]
+    row = (number, [i or 0 for i in doc_ids], [i is None for i in doc_ids], n_a, n_b, n_groups, n_links, sha, np.array(doc_parts), part, times, sizes, at, pairs, links)
     return pd.DataFrame({c.split()[0]: [list(v) if isinstance(v, tuple) else v] for c, v in zip(CHUNKS.split(", "), row)})
 
 
