@@ -169,9 +169,9 @@ case("leg_financing", "bond_id date:d long_cash:4 short_cash:4",
 case("package_financing", "real_id date:d long_be:4 short_be:4",
      lambda p: p.pair_returns.where("gc IS NOT NULL").select("real_id", "date", *[
          fin.package_financing(F.col("linked_V_prev"), F.col("nominal_V_prev"), F.col("days"), F.col("gc"), F.lit(s)).alias(s) for s in ("long_be", "short_be")]),
-     """SELECT p.real_id, p.date, (-l.V_prev * (p.gc + 0.03) + n.V_prev * (p.gc - 0.03)) / 100 * p.days / 360.0 AS long_be, (l.V_prev * (p.gc - 0.03) - n.V_prev * (p.gc + 0.03)) / 100 * p.days / 360.0 AS short_be
-     FROM pair_rets p JOIN bond_rets l ON l.bond_id = p.real_id AND l.date = p.date JOIN bond_rets n ON n.bond_id = p.nominal_id AND n.date = p.date WHERE p.gc IS NOT NULL""")
-case("pair_inner", "real_id nominal_id date:d linked_bp:4 nominal_bp:4", lambda p: pairs.pair_inner(walk.bond_walk(p.metrics()), pairs.scan_pair_map(p.pair_map)), "SELECT * FROM pair_rets")
+     """SELECT real_id, date, (-linked_V_prev * (gc + 0.03) + nominal_V_prev * (gc - 0.03)) / 100 * days / 360.0 AS long_be, (linked_V_prev * (gc - 0.03) - nominal_V_prev * (gc + 0.03)) / 100 * days / 360.0 AS short_be
+     FROM pair_rets WHERE gc IS NOT NULL""")
+case("pair_inner", "real_id nominal_id date:d linked_bp:4 nominal_bp:4", lambda p: pairs.pair_inner(p.returns_of(pairs.mapped_bonds(p.pair_map)), pairs.scan_pair_map(p.pair_map)), "SELECT * FROM pair_rets")
 case("pair_breakeven", "real_id nominal_id date:d v_relative:8 net_fin_bp:4 r_be_bp:4 cum_be_bp:3 is_coupon_day is_weekend_or_holiday_step",
      lambda p: p.pair_returns.withColumn("v_relative", F.try_divide("linked_V", "nominal_V")), "SELECT *, linked_V / nominal_V AS v_relative FROM pair_rets")
 case("longest_history_pair", "real_id nominal_id days", lambda p: pairs.longest_history_pair(p.pair_returns),

@@ -261,9 +261,25 @@ case("tenor_full", "tenor date:d settle:d d:i linked_bond_id nominal_bond_id net
      SELECT b.*, d > 1 AS is_weekend_or_holiday_step, coalesce(f5, false) AS is_5y_auction, coalesce(f10, false) AS is_10y_auction, coalesce(f30, false) AS is_30y_auction, round(size / 1e9, 3) AS auction_size_bn,
        g.usd_per_contract AS usd_gas, CAST(h.bl - h.bn AS DOUBLE) AS contracts_be100, be75 - (h.bl - 0.75 * h.bn) * coalesce(g.usd_per_contract, 0) / 1e5 AS r_be75_hedged_bp
      FROM b LEFT JOIN a ON a.auction_date = b.date LEFT JOIN gas_spl g ON g.date = b.date LEFT JOIN {_FULL} ON h.t = b.tenor""")
-case("view_payload", "tenor year n_days:i", lambda p: exports.view_payload(p.tenors, p.gasoline),
-     "SELECT tenor, year(date) AS year, count(*) AS n_days FROM tenor_rets WHERE r_be_bp IS NOT NULL GROUP BY 1, 2")
-case("hedge_payload", "tenor window months:i payload", lambda p: exports.hedge_payload(hedge.walk_forward_leg_betas(_linked_pairs(p), T, per_year=30)))
+
+
+def _view_days(p):
+    docs = exports.view_payload(p.tenors, p.gasoline).select("tenor", "year", "n_days", F.explode(F.from_json("payload", "array<struct<date string, rT double, rU double, dd int, g double>>")).alias("d"))
+    return docs.select("tenor", "year", "n_days", "d.*")
+
+
+case("view_payload", "tenor year n_days:i date rT:4 rU:4 dd:i g:2", _view_days,
+     """SELECT tenor, year(r.date) AS year, count(*) OVER (PARTITION BY tenor, year(r.date)) AS n_days, CAST(r.date AS VARCHAR) AS date, round(r_linked_bp, 4) AS rT, round(r_nominal_bp, 4) AS rU, coalesce(r.days, 0) AS dd, round(coalesce(g.usd_per_contract, 0), 2) AS g
+     FROM tenor_rets r LEFT JOIN gas_spl g USING (date) WHERE r_be_bp IS NOT NULL""")
+
+
+def _hedge_months(p):
+    docs = exports.hedge_payload(p.leg_betas).select("tenor", "window", "months", F.explode(F.from_json("payload", "map<string, array<double>>")).alias("month", "b"))
+    return docs.select("tenor", "window", "months", "month", F.col("b")[0].alias("b_linked"), F.col("b")[1].alias("b_nominal"))
+
+
+case("hedge_payload", "tenor window months:i month b_linked:4 b_nominal:4", _hedge_months,
+     """SELECT tenor, win AS "window", count(*) OVER (PARTITION BY tenor, win) AS months, strftime(month, '%Y-%m') AS month, round(l_slope, 4) AS b_linked, round(u_slope, 4) AS b_nominal FROM wf WHERE l_slope IS NOT NULL AND u_slope IS NOT NULL""")
 
 # ------------------------------------------------------------------ streaming
 case("topup_stream", "bond_id date:d clean:4 updates:i", lambda p: topup.run_topup_fixture(p.spark, p.sf_dir),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from realcurve.functions import ordered, stats
-from realcurve.operators import cmt, exports, issuance, studies
+from realcurve.operators import cmt, exports, hedge, issuance, pairs, studies
 from realcurve.sources import cleaning, landed
 
 from .ctes import LONG, label_sql, ols
@@ -162,7 +162,36 @@ case("mart_auctions", "market bond_id event_date:d type amt_bn:2 remaining_tenor
      f"SELECT *, {label_sql('remaining_tenor_y', LONG)} AS bucket FROM (SELECT *, round((maturity - event_date) / 365.25, 2) AS remaining_tenor_y FROM iss_events)")
 case("mart_bonds", "bond_id market country program maturity:d first_issue:d coupon:4", lambda p: exports.mart_bonds(p.bonds, p.conv),
      "SELECT bond_id, market, b.country, program, maturity, issue AS first_issue, coupon FROM fx_static b JOIN fx_conv c ON c.conv_id = b.market WHERE linked")
-case("write_mart", "market bucket rows:i", lambda p: cleaning.round_trip_mart(p.spark, cmt.mart_cmt(p.buckets)), "SELECT market, bucket, count(*) AS rows FROM bk_series GROUP BY 1, 2")
+case("write_mart", "format market bucket date:d held_id nominal_id nominal_mat_gap_y:4 r_linked_bp:4 r_be_bp:4 cum_linked_bp:3 is_roll_day is_auction_date auction_bonds:i auction_amount:2 auction_is_held", lambda p: cleaning.round_trip_mart(p.spark, cmt.mart_cmt(p.buckets)),
+     "SELECT format, *, bond_id AS held_id FROM bk_series, (VALUES ('parquet'), ('csv')) f(format)")
+case("read_pair_map", "real_id nominal_id beta:2 note", lambda p: pairs.scan_pair_map(cleaning.pair_map_round_trip(p.spark, p.pair_map)),
+     "SELECT CAST(bond_id AS VARCHAR) AS real_id, CAST(bond_id + 1 AS VARCHAR) AS nominal_id, 1.0 AS beta, CASE WHEN bond_id % 3 < 2 THEN 'L' || bond_id || ' vs N' || (bond_id + 1) END AS note FROM fx_static WHERE linked")
+_PAGE = "out:i be:i slip_l:i slip_n:i crude:i crude_b:3"
+
+
+def _market_page(p):
+    """The documents of all markets, taken apart again."""
+    ratios = hedge.full_sample_betas(p.pairs_buckets, ["market", "bucket"], 30).select("market", "bucket", F.col("be_beta").alias("crude_b"))
+    linked = p.bond_returns.where("linked")
+    docs = exports.market_payload(exports.market_series(p.buckets, linked, p.pair_returns, p.crude, ratios))
+    arrays = ["out", "be", "slip_l", "slip_n", "crude"]
+    read = docs.select("market", "kind", "key", F.from_json("payload", "x array<string>, " + ", ".join(f"{c} array<long>" for c in arrays) + ", crude_b double").alias("d"))
+    at = lambda c: F.get(f"d.{c}", F.col("i")).alias(c)
+    return read.select("market", "kind", "key", "d", F.posexplode("d.x").alias("i", "week")).select("market", "kind", "key", "week", *[at(c) for c in arrays], F.col("d.crude_b").alias("crude_b"))
+
+
+_FRI = "CAST(date + to_days(CAST((12 - isodow(date)) % 7 AS INTEGER)) AS DATE)"
+case("market_payload", "market kind key week " + _PAGE, _market_page,
+     f"""WITH s AS (SELECT market, 'bucket' AS kind, bucket AS key, date, cum_linked_bp AS o, CASE WHEN count(r_be_bp) OVER (PARTITION BY market, bucket) > 0 THEN cum_be_bp END AS b, CASE WHEN gc > 0 THEN linked_fin_bp / gc END AS l,
+       CASE WHEN gc > 0 AND count(r_be_bp) OVER (PARTITION BY market, bucket) > 0 THEN nominal_fin_bp / gc END AS n FROM bk_series
+       UNION ALL SELECT r.market, 'bond', CAST(r.bond_id AS VARCHAR), r.date, r.cum_bp, q.cum_be_bp, CASE WHEN r.gc > 0 THEN r.fin_bp / r.gc END, CASE WHEN q.gc > 0 THEN q.nominal_fin_bp / q.gc END
+       FROM bond_rets r LEFT JOIN pair_rets q ON q.real_id = r.bond_id AND q.date = r.date WHERE r.linked),
+     c AS (SELECT *, sum(l) OVER w AS sl, sum(n) OVER w AS sn FROM s WINDOW w AS (PARTITION BY market, kind, key ORDER BY date)),
+     k AS (SELECT market, kind, key, {_FRI} AS week, arg_max(o, date) FILTER (o IS NOT NULL) AS o, arg_max(b, date) FILTER (b IS NOT NULL) AS b, arg_max(sl, date) FILTER (l IS NOT NULL) AS sl, arg_max(sn, date) FILTER (n IS NOT NULL) AS sn FROM c GROUP BY 1, 2, 3, 4),
+     u AS (SELECT {_FRI} AS week, arg_max(c, date) AS crude FROM (SELECT date, sum(usd_per_contract) OVER (ORDER BY date) AS c FROM crude_spl) GROUP BY 1),
+     h AS (SELECT market, bucket, b_slope AS crude_b FROM (SELECT market, bucket, {ols('x_usd', 'be_usd', 'b_')} FROM pairs_bk GROUP BY 1, 2) WHERE b_n >= 30)
+     SELECT k.market, kind, key, CAST(k.week AS VARCHAR) AS week, round_even(o, 0) AS "out", round_even(b, 0) AS be, round_even(sl, 0) AS slip_l, round_even(sn, 0) AS slip_n, CASE WHEN crude_b IS NOT NULL THEN round_even(crude, 0) END AS crude, round(crude_b, 4) AS crude_b
+     FROM k LEFT JOIN h ON h.market = k.market AND h.bucket = k.key AND kind = 'bucket' LEFT JOIN u USING (week) WHERE o IS NOT NULL""")
 
 # ------------------------------------------------------------------ raw exports
 case("import_pair_map", "status real_id nominal_id beta:2 note beta_1m:2 beta_3m:2", lambda p: cleaning.import_pair_map(cleaning.comparator_report(p.bonds), landed.build_universe(p.bonds, p.conv, p.idle)),

@@ -438,7 +438,7 @@ SELECT market, bucket, date, x_usd, linked_usd, nominal_usd, linked_usd - nomina
 cte("pair_rets", """
 WITH m AS (SELECT bond_id AS real_id, bond_id + 1 AS nominal_id, 1.0 AS beta FROM fx_static WHERE linked),
 j AS (
-  SELECT m.*, l.date, l.settle, l.days, l.gc, l.V AS linked_V, l.index_ratio AS linked_ir, l.bp AS linked_bp, l.fin_bp AS linked_fin_bp, n.V AS nominal_V, n.bp AS nominal_bp,
+  SELECT m.*, l.date, l.settle, l.days, l.gc, l.V AS linked_V, l.V_prev AS linked_V_prev, n.V_prev AS nominal_V_prev, l.index_ratio AS linked_ir, l.bp AS linked_bp, l.fin_bp AS linked_fin_bp, n.V AS nominal_V, n.bp AS nominal_bp,
     n.fin_bp AS nominal_fin_bp, l.is_coupon OR n.is_coupon AS is_coupon_day, l.days > 1 AS is_weekend_or_holiday_step, count(*) OVER (PARTITION BY m.real_id) AS cnt
   FROM m JOIN bond_rets l ON l.bond_id = m.real_id JOIN bond_rets n ON n.bond_id = m.nominal_id AND n.date = l.date)
 SELECT *, linked_fin_bp - beta * nominal_fin_bp AS net_fin_bp, linked_bp - beta * nominal_bp AS r_be_bp, sum(linked_bp) OVER w AS cum_linked_bp,

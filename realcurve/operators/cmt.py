@@ -124,21 +124,49 @@ def bucket_taps(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("market", "bucket", F.col("event_date").alias("date"), "bond_id").agg(F.sum("amt_bn").alias("amt_bn"))
 
 
-def bucket_series(returns: DataFrame, matched: DataFrame, tagged: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+def _role_tags(matched: DataFrame) -> DataFrame:
+    """``bond_id, month, tags``: for every market in which a bond has a part in the month, whether its days count for the market's
+    grid (a linker held there at any time) and the (bucket, role) cells that it fills. Bounded by bonds ever held times months."""
+    span = matched.groupBy("market").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    members = matched.select("market", "bond_id").distinct().join(F.broadcast(span), "market")
+    months = members.select("bond_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"), "market", F.lit(True).alias("member"))
+    cell = lambda c, role: matched.where(F.col(c).isNotNull()).select(F.col(c).alias("bond_id"), "month", "market", F.struct("bucket", F.lit(role).alias("role")).alias("cell"))
+    parts = months.unionByName(cell("bond_id", "linked"), allowMissingColumns=True).unionByName(cell("nominal_id", "nominal"), allowMissingColumns=True)
+    by_market = parts.groupBy("bond_id", "month", "market").agg(F.max(F.coalesce("member", F.lit(False))).alias("member"), F.collect_list("cell").alias("cells"))
+    return by_market.groupBy("bond_id", "month").agg(F.collect_list(F.struct("market", "member", "cells")).alias("tags"))
+
+
+def _market_days(returns: DataFrame, matched: DataFrame) -> DataFrame:
+    """``market, date, month, held``: the market's day grid, each day with the returns of the bonds that its buckets hold.
+
+    The returns are read once: each row meets its bond's tags of the month, and the rows of a market's day meet in one aggregate. A day's list has
+    two entries for a bucket at most.
+    """
+    fields = [c for c in dict.fromkeys([*LINKED, *NOMINAL])]
+    rows = returns.select("bond_id", "date", month_start(F.col("date")).alias("month"), F.struct(*fields).alias("v"))
+    tagged = rows.join(_role_tags(matched), ["bond_id", "month"]).select("date", "month", "v", F.explode("tags").alias("t"))
+    held = F.collect_list(F.when(F.size("t.cells") > 0, F.struct(F.col("t.cells").alias("cells"), "v"))).alias("held")
+    return tagged.groupBy(F.col("t.market").alias("market"), "date", "month").agg(F.max("t.member").alias("member"), held).where("member").drop("member")
+
+
+def _filled(role: str) -> Column:
+    """The returns of the bond that fills a role of the row's bucket; null without."""
+    fills = lambda e: F.exists(e["cells"], lambda c: (c["bucket"] == F.col("bucket")) & (c["role"] == role))
+    return F.get(F.filter("held", fills), 0)["v"]
+
+
+def bucket_series(returns: DataFrame, matched: DataFrame, tagged: DataFrame) -> DataFrame:
     """Spliced linker and re-picked nominal of every market and bucket on the market's day grid.
 
-    Gaps inside the held span stay in the grid and the sums run flat over them.
+    Gaps inside the held span stay in the grid and the sums run flat over them. ``returns`` is read once.
     """
-    days = date_union_grid(returns, matched) if grid is None else grid
     keys = ["market", "bucket"]
     span = matched.groupBy(*keys).agg(F.min("month").alias("m_lo"), F.max(F.last_day("month")).alias("m_hi"))
-    frame = days.join(F.broadcast(span), "market").where((F.col("date") >= F.col("m_lo")) & (F.col("date") <= F.col("m_hi")))
-    frame = frame.withColumn("month", month_start(F.col("date"))).drop("m_lo", "m_hi")
+    frame = _market_days(returns, matched).join(F.broadcast(span), "market").where((F.col("date") >= F.col("m_lo")) & (F.col("date") <= F.col("m_hi")))
     held = matched.select(*keys, "month", "bond_id", F.col("maturity").alias("linked_maturity"), "nominal_id", "nominal_maturity")
-    frame = frame.join(F.broadcast(held), [*keys, "month"], "left").drop("month")
-    linked = returns.select("bond_id", "date", *[F.col(a).alias(b) for a, b in LINKED.items()])
-    nominal = returns.select(F.col("bond_id").alias("nominal_id"), "date", *[F.col(a).alias(b) for a, b in NOMINAL.items()])
-    spliced = frame.join(linked, ["bond_id", "date"], "left").join(nominal, ["nominal_id", "date"], "left")
+    frame = frame.withColumns({"__linked": _filled("linked"), "__nominal": _filled("nominal")}).join(F.broadcast(held), [*keys, "month"], "left")
+    picked = [F.col(f"__linked.{a}").alias(b) for a, b in LINKED.items()] + [F.col(f"__nominal.{a}").alias(b) for a, b in NOMINAL.items()]
+    spliced = frame.select(*keys, "date", "bond_id", "linked_maturity", "nominal_id", "nominal_maturity", *picked)
     sold = auction_flags(tagged)
     sold_held = bucket_taps(tagged).select(*keys, "date", "bond_id", F.lit(True).alias("auction_is_held"))
     spliced = spliced.join(sold, [*keys, "date"], "left").join(sold_held, [*keys, "date", "bond_id"], "left")

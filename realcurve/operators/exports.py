@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.daycount import month_start
 from ..functions.financing import half_spread
-from ..functions.ordered import up_to_now
+from ..functions.ordered import up_to_now, weekly_sample
 from . import rolls
 
 TENORS = ("5y", "10y", "30y")
@@ -102,15 +102,6 @@ def mart_bonds(bonds: DataFrame, conv: DataFrame) -> DataFrame:
     return bonds.where("linked").join(F.broadcast(programs), "market").select("bond_id", "market", "country", "program", "maturity", F.col("issue").alias("first_issue"), "coupon")
 
 
-def write_mart(df: DataFrame, path: str) -> bool:
-    """Parquet and CSV copies of a mart; an empty one is skipped."""
-    if df.isEmpty():
-        return False
-    df.write.mode("overwrite").parquet(f"{path}/parquet")
-    df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    return True
-
-
 def window_table(returns: DataFrame, start: str | None = None, end: str | None = None, x_linked: float = 0.0, x_nominal: float = 0.0,
                  freq: str = "auto", max_daily_span: int = 45) -> DataFrame:
     """Daily or monthly returns over a window with a totals row; sums skip nulls.
@@ -167,3 +158,55 @@ def hedge_payload(leg_betas: DataFrame, windows: Sequence[str] = ("2y", "5y")) -
     cell = F.struct(F.date_format("month", "yyyy-MM").alias("ym"), F.array(F.round("bt", 4), F.round("bu", 4)).alias("b"))
     docs = known.groupBy("tenor", "window").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     return docs.select("tenor", "window", F.size("cells").alias("months"), F.to_json(F.map_from_entries("cells")).alias("payload"))
+
+
+SERIES_KEY = ["market", "kind", "key"]
+
+
+def _weekly_series(rows: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Last known value of each week and series, as ``values`` names them."""
+    return weekly_sample(rows, SERIES_KEY, "date", list(values)).withColumnsRenamed(values)
+
+
+def _slip_series(rows: DataFrame, fin: str, out: str, gc: str = "gc") -> DataFrame:
+    return slip_cumulative(rows, SERIES_KEY, fin, gc).withColumnRenamed("slip", out)
+
+
+def market_series(buckets: DataFrame, bonds: DataFrame, pairs: DataFrame, crude: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Weekly levels that a market's page draws: ``market, kind, key, week, out, be, slip_l, slip_n, crude, crude_b``.
+
+    Series of buckets (with the crude contracts a bucket's ``ratios`` row names, and then crude's own level) and of bonds (``bonds`` are returns with
+    their market, ``pairs`` the breakevens of those that have one). A week shows where the outright level is known. ``crude`` is cumulated over all its days.
+    """
+    as_bucket = buckets.withColumns({"kind": F.lit("bucket"), "key": F.col("bucket")})
+    as_bond = lambda df, c: df.withColumns({"kind": F.lit("bond"), "key": F.col(c).cast("string")})
+    known = as_bucket.groupBy(*SERIES_KEY).agg(F.count("r_be_bp").alias("__n")).where(F.col("__n") > 0).drop("__n")
+    be_bucket = as_bucket.join(known, SERIES_KEY, "left_semi")
+    own = as_bond(bonds, "bond_id")
+    paired = as_bond(pairs.join(bonds.select(F.col("bond_id").alias("real_id"), "market").distinct(), "real_id"), "real_id")
+    out = _weekly_series(as_bucket, {"cum_linked_bp": "out"}).unionByName(_weekly_series(own, {"cum_bp": "out"})).where(F.col("out").isNotNull())
+    parts = [
+        _weekly_series(be_bucket, {"cum_be_bp": "be"}).unionByName(_weekly_series(paired, {"cum_be_bp": "be"})),
+        _slip_series(as_bucket, "linked_fin_bp", "slip_l").unionByName(_slip_series(own, "fin_bp", "slip_l")),
+        _slip_series(be_bucket, "nominal_fin_bp", "slip_n").unionByName(_slip_series(paired, "nominal_fin_bp", "slip_n")),
+    ]
+    for part in parts:
+        out = out.join(part, [*SERIES_KEY, "week"], "left")
+    level = crude.select(F.lit(1).alias("__one"), "date", "usd_per_contract").withColumn("crude", F.sum("usd_per_contract").over(up_to_now(["__one"], "date")))
+    weeks = weekly_sample(level, ["__one"], "date", ["crude"]).select("week", "crude")  # a row a week
+    held = ratios.select("market", F.lit("bucket").alias("kind"), F.col("bucket").alias("key"), F.col("crude_b"))
+    out = out.join(held, SERIES_KEY, "left").join(F.broadcast(weeks), "week", "left")
+    return out.withColumn("crude", F.when(F.col("crude_b").isNotNull(), F.col("crude")))
+
+
+def market_payload(series: DataFrame) -> DataFrame:
+    """``market, kind, key, weeks, payload``: each series of ``market_series`` as one JSON document of equally long arrays, levels in whole points.
+
+    An array that is null throughout is left out. A document is as long as its calendar; a market's documents are its rows.
+    """
+    whole = lambda c: F.bround(F.col(c), 0).cast("long").alias(c)
+    cells = series.select(*SERIES_KEY, "crude_b", F.struct("week", *[whole(c) for c in ("out", "be", "slip_l", "slip_n", "crude")]).alias("c"))
+    docs = cells.groupBy(*SERIES_KEY).agg(F.first("crude_b").alias("crude_b"), F.array_sort(F.collect_list("c")).alias("c"))
+    column = lambda c: F.when(F.exists("c", lambda e: e[c].isNotNull()), F.transform("c", lambda e: e[c])).alias(c)
+    x = F.transform("c", lambda e: F.date_format(e["week"], "yyyy-MM-dd")).alias("x")
+    return docs.select(*SERIES_KEY, F.size("c").alias("weeks"), F.to_json(F.struct(x, *[column(c) for c in ("out", "be", "slip_l", "slip_n", "crude")], F.round("crude_b", 4).alias("crude_b"))).alias("payload"))

@@ -18,16 +18,26 @@ def scan_pair_map(pair_map: DataFrame) -> DataFrame:
     )
 
 
+def mapped_bonds(pair_map: DataFrame) -> DataFrame:
+    """Every bond that a pair names; joined to the raw scan so that nothing else is priced."""
+    return pair_map.select(F.col("real_id").alias("bond_id")).union(pair_map.select("nominal_id")).where(F.col("bond_id").isNotNull()).distinct()
+
+
 def pair_inner(returns: DataFrame, pair_map: DataFrame) -> DataFrame:
-    """Both legs of each pair on common days; pairs with fewer than two such days go.
+    """Both legs of each pair on common days; pairs with fewer than two such days go. A pair that the map names twice is one.
 
-    The second join key includes the day, so one nominal that hedges many linkers spreads out.
+    ``returns`` is read once: a row fans out to the pairs of its bond with its role, and the two roles of a pair's day meet in one aggregate.
+    Its key holds pair and day, so one nominal that hedges many linkers spreads out.
     """
-    base = returns.select("bond_id", "date", "settle", "days", "gc", *LEG_FIELDS)
-    linked = base.withColumnsRenamed({"bond_id": "real_id", **{c: f"linked_{c}" for c in LEG_FIELDS}})
-    nominal = returns.select(F.col("bond_id").alias("nominal_id"), "date", *[F.col(c).alias(f"nominal_{c}") for c in LEG_FIELDS])
-    met = linked.join(pair_map.select("real_id", "nominal_id", "beta"), "real_id").join(nominal, ["nominal_id", "date"])
-    counted = met.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("real_id")))
+    pair = F.struct("real_id", "nominal_id", "beta")
+    role = lambda c, name: pair_map.select(F.col(c).alias("bond_id"), F.struct(pair.alias("pair"), F.lit(name).alias("role")).alias("r"))
+    roles = role("real_id", "linked").union(role("nominal_id", "nominal")).groupBy("bond_id").agg(F.collect_set("r").alias("roles"))  # pairs of a bond
+    base = returns.select("bond_id", "date", F.struct("settle", "days", "gc", *LEG_FIELDS).alias("v"))
+    fanned = base.join(roles, "bond_id").select("date", "v", F.explode("roles").alias("r"))
+    leg = lambda name: F.first(F.when(F.col("r.role") == name, F.col("v")), ignorenulls=True).alias(name)  # noqa: E731  a bond has one row a day
+    met = fanned.groupBy(F.col("r.pair").alias("pair"), "date").agg(leg("linked"), leg("nominal")).where(F.col("linked").isNotNull() & F.col("nominal").isNotNull())
+    both = met.select("pair.*", "date", *[F.col(f"linked.{c}") for c in ("settle", "days", "gc")], *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("linked", "nominal") for c in LEG_FIELDS])
+    counted = both.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("real_id")))
     return counted.where(F.col("__n") >= 2).drop("__n")
 
 

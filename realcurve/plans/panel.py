@@ -101,7 +101,7 @@ class Panel:
 
     @cached_property
     def pair_returns(self) -> DataFrame:
-        return pairs.pair_breakeven(walk.bond_walk(self.metrics()), self.pair_map)
+        return pairs.pair_breakeven(self.returns_of(pairs.mapped_bonds(self.pair_map)), self.pair_map)
 
     # ---- domestic tenor series
     @cached_property

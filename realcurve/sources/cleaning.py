@@ -237,10 +237,52 @@ def tap_file_round_trip(spark: SparkSession, taps: DataFrame) -> DataFrame:
 
 
 def round_trip_mart(spark: SparkSession, mart: DataFrame) -> DataFrame:
-    """Write a mart in both formats and count its rows from the written copy."""
-    from ..operators.exports import write_mart
+    """Publish a mart and read both of its copies back, with the ``format`` of each."""
+    from ..session import Landing
+    from .marts import FORMATS, Mart
+
+    published = Mart(spark, Landing(spark).root)
+    published.publish(mart)
+    copies = [published.read(f).withColumn("format", F.lit(f)) for f in FORMATS]
+    return copies[0].unionByName(copies[1])
+
+
+PAIR_COLUMNS = ["real_id", "nominal_id", "beta", "note"]
+
+
+def read_pair_map(spark: SparkSession, path: str, columns: list[str] = PAIR_COLUMNS) -> DataFrame:
+    """A hand-kept map from a file or a folder of CSV files, as text columns: found by name in each file's own header, null where a file lacks one.
+
+    What follows a ``#`` outside quotes is a comment; blank lines and empty cells count as nothing. The header of a file is its line with the first two
+    names of ``columns``; a file without one gives no row. A missing folder gives an empty frame.
+    """
+    kind = ", ".join(f"`{c}` string" for c in columns)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], kind)
+    plain = F.trim(F.regexp_replace("value", r'^((?:[^"#]|"[^"]*")*)#.*$', "$1"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), plain.alias("line")).where("line <> ''")
+    width = lines.agg(F.max(F.size(F.split("line", ",")))).first()[0] or 1
+    cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)))
+    parsed = lines.select("file", F.transform(F.array(*[cells[f"c{i}"] for i in range(width)]), lambda c: F.trim(c)).alias("cells"))
+    is_header = F.array_contains("cells", columns[0]) & F.array_contains("cells", columns[1])
+    headers = parsed.where(is_header).groupBy("file").agg(F.first("cells").alias("names"))  # a row a file
+    rows = parsed.where(~F.coalesce(is_header, F.lit(False))).join(headers, "file")
+    cell = lambda c: F.when(F.array_contains("names", c), F.get("cells", F.array_position("names", c).cast("int") - 1))
+    return rows.select(*[F.nullif(cell(c), F.lit("")).alias(c) for c in columns])
+
+
+def pair_map_round_trip(spark: SparkSession, pair_map: DataFrame) -> DataFrame:
+    """The map as three files of different columns, orders and comments, read back as one."""
     from ..session import Landing
 
     root = Landing(spark).root
-    write_mart(mart, root)
-    return spark.read.parquet(f"{root}/parquet").groupBy("market", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+    text = pair_map.select(F.col("real_id").cast("string"), F.col("nominal_id").cast("string"), F.col("beta").cast("string"), "note")
+    shapes = [(0, ["real_id", "nominal_id", "beta", "note"], "# kept by hand"), (1, ["note", "nominal_id", "real_id"], "# no ratios here"), (2, ["beta", "real_id", "desk", "nominal_id"], "#")]
+    for turn, names, remark in shapes:
+        own = text.where(F.col("real_id") % 3 == turn).withColumn("desk", F.lit("a, b # c"))
+        quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"')) if c in ("note", "desk") else F.col(c)
+        body = own.select(F.concat_ws(",", *[F.coalesce(quoted(c), F.lit("")) for c in names]).alias("value"))
+        head = spark.createDataFrame([(remark,), (",".join(names),), ("",)], "value string")
+        head.union(body.withColumn("value", F.concat("value", F.lit("  # checked")))).coalesce(1).write.mode("append").text(root)
+    return read_pair_map(spark, root)
