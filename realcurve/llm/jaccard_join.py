@@ -5,7 +5,7 @@ shingles; shingles are dealt by hash into ``k + g`` parts, so two linked sets ag
 part (a key of band, part and content) are candidates. As linked sets share ``g`` keys, each set leaves out its ``g - 1`` most frequent
 ones, in one order of all keys, and linked sets still share one: a shingle that is common everywhere joins no large group. The pivot of a key is the one of its sets with the most shared keys. A set is first compared with
 its pivots, which joins most copies of one original without a comparison for each pair. Where members of a key remain in several components, the key is cut into tiles
-of two blocks of bounded size; in a tile the counts of differing bits of two bitmaps bound the overlap from above, and pairs that
+of two blocks of bounded size, none of two blocks of its largest component; in a tile the counts of differing bits of two bitmaps bound the overlap from above, and pairs that
 pass are compared by exact intersection of the sorted sets. The result is exact: no link is missed, none is added.
 """
 
@@ -185,14 +185,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, shingle: int, like: int) -> Dat
     return asked.union(pivots).groupBy("task").applyInPandas(run, "src long, dst long")
 
 
-def _tiled(members: DataFrame, sets: DataFrame, like: int) -> DataFrame:
+def _tiled(members: DataFrame, sets: DataFrame, like: int, land: Land) -> DataFrame:
     """Pairs ``src, dst`` of one key and two components whose bitmaps let them link; ``members`` has ``key, cls, component``."""
-    groups = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    kept = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))  # equal groups once
-    placed = members.join(kept, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "component")
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    groups = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("n", "component")).alias("home"))
+    kept = groups.groupBy("n", "x", "y").agg(F.min(F.struct("key", "home")).alias("k")).select(  # equal groups once
+        "k.key", F.col("k.home.component").alias("home"), F.ceil(F.col("k.home.n") / BLOCK).alias("inner"), F.ceil((F.col("n") - F.col("k.home.n")) / BLOCK).alias("outer"))
+    kept = land(kept)
+    # the largest component of a key is never compared with itself: its sets meet the blocks of the others only
+    placed = members.join(kept, "key").withColumn("at_home", F.col("component") == F.col("home"))
+    own = F.when(F.col("at_home"), F.pmod(F.xxhash64("cls"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("cls"), F.col("outer")))
+    first = F.when(F.col("at_home"), F.col("inner")).otherwise(F.lit(0).cast("long"))
+    tiles = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(first, F.col("inner") + F.col("outer") - 1)))
+    tiles = land(tiles.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "component"))
+    tasks = -(-tiles.count() // (4 * BLOCK)) or 1
     tiles = tiles.join(sets.select("cls", "bits", (F.length("hashes") / 8).cast("long").alias("size")), "cls")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -216,7 +222,6 @@ def _tiled(members: DataFrame, sets: DataFrame, like: int) -> DataFrame:
                     out.append((np.maximum(cls[j], cls[i]), np.minimum(cls[j], cls[i])))
         return pd.DataFrame({"src": np.concatenate([x for x, _ in out]), "dst": np.concatenate([y for _, y in out])}) if out else pd.DataFrame({"src": [], "dst": []}, dtype="int64")
 
-    tasks = -(-members.count() // (8 * BLOCK)) or 1
     return tiles.withColumn("task", F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks))).groupBy("task").applyInPandas(run, "src long, dst long").distinct()
 
 
@@ -253,7 +258,7 @@ def join(docs: DataFrame, land: Land, shingle: int = SHINGLE, like: int = LIKE)
     other = land(other.join(asked, ["src", "dst"], "left_anti"))
     sets = land(_sets(texts, parted.select("cls").distinct(), shingle))
     links = land(links.union(_verified(other, sets, shingle, like)))
-    rest = land(_tiled(land(_parted(shared, links, land).select("key", "cls", "component")), sets, like))
+    rest = land(_tiled(land(_parted(shared, links, land).select("key", "cls", "component")), sets, like, land))
     links = links.union(_verified(rest, sets, shingle, like)).union(_one_id(real))
     found = components(land(links), land)
     named = described.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))

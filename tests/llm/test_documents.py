@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from realcurve.llm import fingerprints, jaccard_join, mixing, packing, ppm, rans, tokens, toxicity
@@ -115,7 +116,7 @@ def brute_ppm(train, texts, order=ppm.ORDER):
 
 
 def test_ppm_equals_brute_force(spark, sf_dir, land):
-    docs = documents(spark, sf_dir).where("doc_id < 60").withColumn("trained", toxicity.fold(documents(spark, sf_dir)["doc_id"], 5) != 1)
+    docs = documents(spark, sf_dir).where("doc_id < 60").withColumn("trained", toxicity.fold(F.col("doc_id"), 5) != 1)
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()))
     train = [t for k, t in rows if not held_out(k, 5)]
     words = Counter(w for t in train for w in [*split(lower(t)), None])
