@@ -22,18 +22,19 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Between host and path of a key: sorts before all characters of either.
-CUT = "\x01"
-#: Ends an interval: the last code point, which stands in no text.
-LAST = "\U0010ffff"
+#: Between host and path of a key, and the end of an interval after its key: bytes that no text holds. Keys are bytes, in the order of their bytes.
+CUT, LAST = b"\xfe", b"\xff"
 #: Keys taken from the whole for each range, to choose the bounds of the ranges.
 SAMPLE_PER_RANGE = 16
 
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; empty for null or no ``://``."""
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
@@ -45,27 +46,32 @@ def _reversed(host: Column) -> Column:
     return F.reverse(F.split(host, r"\."))
 
 
+def _key(host: Column, path: Column) -> Column:
+    return F.concat(host.cast("binary"), F.lit(CUT), path.cast("binary"))
+
+
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """Adds ``host, path, rule, verdict`` to rows with a ``url``; columns of these names are replaced.
 
     ``rules`` has ``host, path, verdict``. A rule fits its host and every subdomain when the path starts with its path (an empty or null
     path: any path); the longest (host and path together, then host) wins, ``default`` holds where none fits. Of rules for the same host and
     path a block wins; rules with a null host are ignored. A null url has an empty host and path and gets the default. Repeated urls are
-    judged once; every row is returned.
+    judged once; every row is returned. Hosts may be long: only as many of their last labels are looked up as the longest rule has.
     """
     spark = urls.sparkSession
     own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     rules = (
         rules.where("host is not null")
-        .select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+        .select(_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
         .groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # "block" sorts after "allow"
-        .select(F.concat(F.array_join(_reversed(F.col("host")), "."), F.lit(CUT), "path").alias("key"), F.concat("host", "path").alias("rule"),
+        .select(_key(F.array_join(_reversed(F.col("host")), "."), F.col("path")).alias("key"), F.size(_reversed(F.col("host"))).alias("labels"), F.concat("host", "path").alias("rule"),
                 F.struct(F.length(F.concat("host", "path")).alias("long"), F.length("host").alias("host_long")).alias("rank"), "verdict")
     )
     parts = urls.select("url").distinct().withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     labels = _reversed(F.col("host"))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), "."))
-    keys = parts.select("url", "path", F.explode(suffixes).alias("suffix")).select("url", F.concat("suffix", F.lit(CUT), "path").alias("key"))
+    most = rules.agg(F.max("labels")).first()[0] or 1
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda n: F.array_join(F.slice(labels, 1, n), "."))
+    keys = parts.select("url", "path", F.explode(suffixes).alias("suffix")).select("url", _key(F.col("suffix"), F.col("path")).alias("key"))
     swept = _sweep(spark, keys.select("key").distinct(), rules)
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct("rank", "rule", "verdict"))).alias("best")
     found = keys.join(swept, "key").groupBy("url").agg(best).select(F.col("url").alias("url_"), "best")

@@ -32,7 +32,7 @@ def test_url_filter_against_brute_force(spark):
     rules = {(host(), str(rng.choice(parts))): str(rng.choice(["allow", "block"])) for _ in range(60)}
     rules = [(h, p, v) for (h, p), v in rules.items()]
     urls = [f"http://{host()}{rng.choice(parts)}{rng.choice(['', '?q=/x', '#/x', '/'])}" for _ in range(600)]
-    urls += [None, "", "no scheme", "x://", "x:///x", "HTTP://A.B.COM/x", "http://com?/x", "http://a..com/x", "http://com", "x://y://com/x\nz"] + ["http://a.com/x"] * 50
+    urls += [None, "", "no scheme", "x://", "x:///x", "HTTP://A.B.COM/x", "http://com?/x", "http://a..com/x", "http://com", "x://y://com/x\nz", "http://a.com/x\U0010ffffz", "http://a\x01b.com/q", "http://a\x01.com/x", "http://com/x\U0010ffff/y", "http://A.\u00c9.com/x", "http://\u0130.com/"] + ["http://a.com/x"] * 50
     rows = [(i, u, "clash", "clash") for i, u in enumerate(urls)]
     df = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
     for default in ("allow", "block"):
@@ -42,6 +42,18 @@ def test_url_filter_against_brute_force(spark):
             assert got[i] == brute_verdict(u, rules, default), u
 
 
+def test_url_filter_characters_and_long_hosts(spark):
+    import time
+
+    kind = "host string, path string, verdict string"
+    rules = spark.createDataFrame([("com", "/fr/", "block"), ("a.com", "", "block"), ("\u0130.ORG", "/", "block")], kind)
+    long = "http://" + "x." * 20000 + "a.com/q"
+    urls = ["http://b.com/fr/\U0010ffffx", "http://a\x01b.com/q", "http://a.com", "http://i\u0307.org/", "http://\u0130.org/x", long]
+    began = time.time()
+    got = {r.page_id: r.rule for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == {0: "com/fr/", 1: None, 2: "a.com", 3: None, 4: "\u0130.org/", 5: "a.com"} and time.time() - began < 60
+
+
 def test_url_filter_without_rows_or_rules(spark):
     kind = "host string, path string, verdict string"
     urls = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
