@@ -34,6 +34,10 @@ case("issuance_pivot_combined", "market event_year t5y t10y t30y", lambda p: iss
      "WITH c AS (SELECT market, event_year, " + ", ".join(f"count(*) FILTER (orig_tenor = {t} AND type = 'new') AS n{t}, count(*) FILTER (orig_tenor = {t} AND type = 'reopening') AS r{t}" for t in _T)
      + " FROM iss_events GROUP BY 1, 2) SELECT market, event_year, "
      + ", ".join(f"CASE WHEN n{t} > 0 AND r{t} > 0 THEN n{t} || '+' || r{t} || 'x' WHEN r{t} > 0 THEN r{t} || 'x' WHEN n{t} > 0 THEN CAST(n{t} AS VARCHAR) ELSE '' END AS t{t}y" for t in _T) + " FROM c")
+_BN = lambda kind: f"coalesce(floor((sum(CAST(round(amt_bn * 100) AS BIGINT)) FILTER (type = '{kind}') + 5) / 10) / 10.0, 0)"
+case("issuance_cells", "market event_year orig_tenor n_new:i n_reopening:i new_bn:1 reopening_bn:1 cell", lambda p: issuance.issuance_cells(p.events),
+     f"""SELECT *, CASE WHEN n_new > 0 AND n_reopening > 0 THEN n_new || '+' || n_reopening || 'x' WHEN n_reopening > 0 THEN n_reopening || 'x' WHEN n_new > 0 THEN CAST(n_new AS VARCHAR) ELSE '' END AS cell FROM (
+     SELECT market, event_year, orig_tenor, count(*) FILTER (type = 'new') AS n_new, count(*) FILTER (type = 'reopening') AS n_reopening, {_BN('new')} AS new_bn, {_BN('reopening')} AS reopening_bn FROM iss_events GROUP BY 1, 2, 3)""")
 case("issuance_long", "market event_year orig_tenor type n:i amt_bn:1", lambda p: issuance.issuance_long(p.events),
      "SELECT market, event_year, orig_tenor, type, count(*) AS n, floor((sum(CAST(round(amt_bn * 100) AS BIGINT)) + 5) / 10) / 10.0 AS amt_bn FROM iss_events GROUP BY 1, 2, 3, 4")
 case("issuance_summary", "market bonds:i reopenings:i first_year last_year min_tenor max_tenor amt_out_bn:0", lambda p: issuance.issuance_summary(p.issuance, p.events),
@@ -208,7 +212,7 @@ case("import_nominal_universe", "isin coupon:4 maturity:d issue_date:d ticker am
      CASE WHEN bond_id % 8 = 2 AND linked THEN 'BTPi' WHEN bond_id % 8 = 4 AND linked THEN 'OAT€i' ELSE 'GOVT' END AS ticker, amt_issued, country
      FROM fx_static WHERE bond_id % 19 <> 3 AND bond_id % 29 <> 7 AND bond_id % 31 <> 1 AND (NOT linked OR bond_id % 16 = 2)""")
 case("parse_gilt_ops", "bond_id event_date:d event_type amount:0 reopening", lambda p: cleaning.parse_gilt_ops(cleaning.operation_lines(p.spark, p.sf_dir), p.bonds.where("linked").select("bond_id", "coupon", "maturity")),
-     """WITH o AS (SELECT o_orderkey AS k, date, b.coupon, b.maturity, round(o_totalprice / 100, 4) AS amt FROM fx_orders JOIN fx_static b ON b.bond_id = (o_custkey // 30) * 2 WHERE o_orderpriority = '2-HIGH'),
+     """WITH o AS (SELECT o_orderkey AS k, date, b.coupon, b.maturity, round(o_totalprice / 100, 4) AS amt FROM fx_orders JOIN fx_static b ON b.bond_id = (o_custkey // 30) * 2),
      v AS (SELECT * FROM o WHERE k % 11 <> 4 AND k % 13 <> 6 AND k % 7 <> 5),
      i AS (SELECT coupon, year(maturity) AS y, min(bond_id) AS bond_id FROM fx_static WHERE linked GROUP BY 1, 2),
      m AS (SELECT i.bond_id, v.date, v.amt, CASE k % 3 WHEN 2 THEN 'syndication' WHEN 1 THEN 'tender' ELSE 'auction' END AS method FROM v JOIN i ON i.coupon = v.coupon AND i.y = year(v.maturity)),

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from realcurve.functions import financing as fin
 from realcurve.functions import ordered, stats
 from realcurve.operators import exports, quality, rolls, seasonal, walk
-from realcurve.plans.panel import LAST_MONTH
 from realcurve.sources import conventions as cv
 from realcurve.sources import cleaning
 
-from .ctes import ols
+from .ctes import LAST_MONTH, ols
 from .registry import case
 
 # ------------------------------------------------------------------ auctions and rolls
@@ -24,10 +23,10 @@ case("maturity_first", "bond_id maturity_date:d", lambda p: rolls.maturity_first
 case("new_issues", "leg tenor bond_id issue_date:d auction_date:d", lambda p: rolls.new_issues(p.auctions), "SELECT * FROM new_iss")
 case("real_auctions", "bond_id auction_date:d offering:0", lambda p: rolls.real_auctions(p.auctions), "SELECT * FROM real_auc")
 case("otr_schedule", "leg tenor month:d bond_id maturity_date:d auction_date:d", lambda p: p.schedule,
-     """WITH g AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS month)
+     f"""WITH g AS (SELECT CAST(unnest(generate_series((SELECT CAST(date_trunc('month', min(auction_date)) AS DATE) FROM fx_auctions), {LAST_MONTH}, INTERVAL 1 MONTH)) AS DATE) AS month)
      SELECT * FROM (SELECT a.leg, a.tenor, g.month, a.bond_id, a.maturity_date, a.auction_date, row_number() OVER (PARTITION BY leg, tenor, month ORDER BY auction_date DESC, bond_id DESC) AS k
      FROM g JOIN fx_auctions a ON a.auction_date < g.month) WHERE k = 1""")
-_SCHED = """(WITH g AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS month)
+_SCHED = f"""(WITH g AS (SELECT CAST(unnest(generate_series((SELECT CAST(date_trunc('month', min(auction_date)) AS DATE) FROM fx_auctions), {LAST_MONTH}, INTERVAL 1 MONTH)) AS DATE) AS month)
      SELECT leg, tenor, month, bond_id FROM (SELECT a.leg, a.tenor, g.month, a.bond_id, row_number() OVER (PARTITION BY leg, tenor, month ORDER BY auction_date DESC, bond_id DESC) AS k
      FROM g JOIN fx_auctions a ON a.auction_date < g.month) WHERE k = 1)"""
 case("otr_universe", "bond_id leg tenor", lambda p: rolls.otr_universe(p.schedule), f"SELECT DISTINCT bond_id, leg, tenor FROM {_SCHED}")

@@ -13,7 +13,7 @@ from realcurve.sources import conventions as cv
 
 EMIT = "DATE '1996-01-01'"
 AS_OF = "DATE '2001-12-01'"
-LAST_MONTH = "DATE '2001-08-01'"
+LAST_MONTH = "(SELECT CAST(date_trunc('month', max(l_shipdate)) AS DATE) FROM lineitem)"
 
 CTES: dict[str, str] = {}
 
@@ -376,7 +376,7 @@ FROM tenor_rets r LEFT JOIN wf_legs h ON h.tenor = r.tenor AND h.month = date_tr
 # ------------------------------------------------------------------ issuance and buckets
 cte("fx_taps", """
 SELECT o_custkey // 15 AS bond_id, date AS event_date, o_totalprice, b.* EXCLUDE (bond_id)
-FROM fx_orders JOIN fx_static b ON b.bond_id = o_custkey // 15 WHERE o_orderpriority = '1-URGENT' AND date >= dated AND date < maturity""")
+FROM fx_orders JOIN fx_static b ON b.bond_id = o_custkey // 15 WHERE date >= dated AND date < maturity""")
 cte("fx_events", """
 SELECT bond_id, market, country, event_date, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) * 100.0 AS amount
 FROM fx_taps WHERE linked GROUP BY 1, 2, 3, 4""")

@@ -33,11 +33,6 @@ def dv01(ytm_pct: Column, w: Column, n: Column, coupon: Column, freq: Column, ra
     return (down - up) / BUMP_BP * ratio
 
 
-def risk_dv01(ytm_pct: Column, w: Column, n: Column, coupon: Column, freq: Column, ratio: Column | float = 1.0) -> Column:
-    """DV01 in the per-100bp risk form."""
-    return dv01(ytm_pct, w, n, coupon, freq, ratio) * 100.0
-
-
 def ratio_truncated(reference: Column, base: Column) -> Column:
     """Truncate to 6 decimals, then half-up to 5, in whole millionths so no binary tie decides."""
     millionths = F.floor(F.try_divide(reference, base) * 1e6)

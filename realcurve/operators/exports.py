@@ -76,11 +76,6 @@ def bond_sheet(returns: DataFrame, bonds: DataFrame, conv: DataFrame) -> DataFra
     return returns.join(named, "bond_id").withColumnsRenamed({"gc": "gc_repo", "settle": "settlement_date", "days": "d"}).select(*SHEET)
 
 
-def write_bond_sheets(sheet: DataFrame, path: str, files_per_day_span: int = 64) -> None:
-    """Cluster by bond into range files: a directory per bond would not survive many bonds."""
-    sheet.repartitionByRange(files_per_day_span, "bond_id", "date").sortWithinPartitions("bond_id", "date").write.mode("overwrite").parquet(path)
-
-
 def isin_directory(bonds: DataFrame, pair_map: DataFrame) -> DataFrame:
     """Every linker and mapped nominal with its role and, for a linker, its comparator.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.daycount import BUCKETS, bucket_label, years_between
+from ..functions.daycount import bucket_label, years_between
 from ..sources.conventions import LONG_END_MARKETS
 from ..sources.landed import active
 
@@ -113,6 +113,15 @@ def issuance_pivot_combined(events: DataFrame, tenors: Sequence[int]) -> DataFra
     return counted.select("market", "event_year", *[combined_cell(F.col(f"new_{t}"), F.col(f"reopening_{t}")).alias(f"t{t}y") for t in tenors])
 
 
+def issuance_cells(events: DataFrame) -> DataFrame:
+    """The pivots of every tenor in long form: a row per market, year and original tenor with counts, amounts and the combined cell."""
+    one = lambda kind: F.col("type") == kind
+    counted = events.groupBy("market", "event_year", "orig_tenor").agg(
+        F.count_if(one("new")).alias("n_new"), F.count_if(one("reopening")).alias("n_reopening"),
+        F.coalesce(tenths(F.when(one("new"), F.col("amt_bn"))), F.lit(0)).alias("new_bn"), F.coalesce(tenths(F.when(one("reopening"), F.col("amt_bn"))), F.lit(0)).alias("reopening_bn"))
+    return counted.withColumn("cell", combined_cell(F.col("n_new"), F.col("n_reopening")))
+
+
 def issuance_long(events: DataFrame) -> DataFrame:
     return events.groupBy("market", "event_year", "orig_tenor", "type").agg(
         F.count("bond_id").alias("n"), tenths(F.col("amt_bn")).alias("amt_bn")
@@ -237,11 +246,7 @@ def bucket_occupancy(events: DataFrame, years: Sequence[int]) -> DataFrame:
 
 def bucket_occupancy_years(events: DataFrame) -> DataFrame:
     """Bucket by year at 30 June, one row for each occupied cell of every year from the first to the last event."""
-    span = events.agg(F.min(F.year("event_date")).alias("lo"), F.max(F.year("event_date")).alias("hi")).where("lo is not null")
-    years = span.select(F.explode(F.sequence("lo", "hi")).alias("y"))
-    return _occupied(lives(events).crossJoin(F.broadcast(years)).withColumn("mid", F.make_date("y", F.lit(6), F.lit(30))))
-
-
-def bucket_order() -> Column:
-    """Sort key of the grid."""
-    return F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), F.col("bucket"))
+    last = events.agg(F.max(F.year("event_date"))).first()[0]
+    own = F.sequence(F.year("issued"), F.least(F.year("maturity"), F.lit(last)))
+    alive = lives(events).where(F.year("issued") <= F.least(F.year("maturity"), F.lit(last)))
+    return _occupied(alive.withColumn("mid", F.explode(F.transform(own, lambda y: F.make_date(y, F.lit(6), F.lit(30))))))

@@ -13,7 +13,6 @@ from ..functions.daycount import month_start
 from ..functions.ordered import up_to_now
 from ..functions.pricing import bond_metrics
 from . import refindex
-from .calendars import clipped
 
 SIZING_USD = 1.0e7  # fixed value: face scale giving 100k of DV01
 
@@ -43,7 +42,10 @@ def value_quotes(quotes: DataFrame, rules: DataFrame, days: DataFrame) -> DataFr
     lies in the bond's life; days outside the day dimension take its first or last row.
     """
     known = quotes.dropna(subset=["clean", "ytm"])  # else the next return would lose its previous mark
-    marked = clipped(known.join(rules, "bond_id"), days, ["conv_id"])
+    ends = days.groupBy("conv_id").agg(F.min("date").alias("__lo"), F.max("date").alias("__hi"))
+    bounded = rules.join(F.broadcast(ends), "conv_id", "left")  # the ends ride on the rules: no further join of the quotes
+    at = F.when(F.col("date").isNotNull(), F.least(F.greatest(F.col("date"), F.col("__lo")), F.col("__hi")))
+    marked = known.join(bounded, "bond_id").withColumn("__at", at).drop("__lo", "__hi")
     marked = marked.join(F.broadcast(days.withColumnRenamed("date", "__at")), ["conv_id", "__at"]).drop("__at")
     marked = marked.where((F.col("settle") >= F.col("dated")) & (F.col("settle") < F.col("maturity")))
     ratio = F.when(F.col("index_id").isNull(), F.lit(1.0)).otherwise(

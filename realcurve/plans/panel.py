@@ -20,7 +20,6 @@ from ..sources import driver_tables as src
 
 EMIT_FROM = "1996-01-01"
 AS_OF = "2001-12-01"
-LAST_MONTH = "2001-08-01"
 PAIR_DAYS_PER_YEAR = 5  # the derived panel quotes a bond every few days, so a full window is sparser than daily
 
 
@@ -106,7 +105,7 @@ class Panel:
     # ---- domestic tenor series
     @cached_property
     def schedule(self) -> DataFrame:
-        return rolls.otr_schedule(self.auctions, LAST_MONTH)
+        return rolls.otr_schedule(self.auctions, src.last_quote_month(self.spark, self.sf_dir))
 
     @cached_property
     def rolls(self) -> DataFrame:

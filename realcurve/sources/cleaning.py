@@ -146,10 +146,10 @@ FRACTIONS = {"¼": 0.25, "½": 0.5, "¾": 0.75, "⅛": 0.125, "⅜": 0.375, "⅝
 
 
 def operation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operation-result lines written from high-priority orders on the block's linked bond."""
+    """Operation-result lines written from the orders on the block's linked bond."""
     from . import driver_tables as src
 
-    o = src.orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").where(F.col("o_orderpriority") == "2-HIGH")
+    o = src.orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_totalprice")
     o = o.withColumn("bond_id", F.expr("(o_custkey div 30) * 2")).join(src.bonds(spark, sf_dir).where("linked"), "bond_id")
     k = F.col("o_orderkey")
     whole, quarter = F.floor("coupon").cast("int"), (F.col("coupon") % 1 * 4).cast("int")

@@ -7,6 +7,8 @@ the raw rows never travels as one group.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -93,6 +95,11 @@ def raw_quotes(spark: SparkSession, sf_dir: str, only: DataFrame | None = None)
     )
 
 
+def last_quote_month(spark: SparkSession, sf_dir: str) -> datetime.date | None:
+    """The month of the newest quote."""
+    return table(spark, sf_dir, "lineitem").agg(F.trunc(F.max("l_shipdate"), "month")).first()[0]
+
+
 def quote_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late revisions of quotes, one per event: the user as bond, days spread over the quoted years. The vendor's ratio isn't revised."""
     e = table(spark, sf_dir, "events")
@@ -181,14 +188,13 @@ def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.unionByName(taps).select(*AUCTION_COLUMNS)
 
 
-def tap_orders(spark: SparkSession, sf_dir: str, priority: str = "1-URGENT") -> DataFrame:
-    """Urgent orders as issuance of the bond their customer block maps to, in cents by bond and day.
+def tap_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as issuance of the bond their customer block maps to, in cents by bond and day.
 
     Orders combine to one row per bond and day before they meet the bonds, so a busy block is not a
     hot join key.
     """
-    taken = orders(spark, sf_dir, "o_custkey", "o_totalprice", "o_orderpriority").where(F.col("o_orderpriority") == priority)
-    daily = taken.groupBy(F.expr("o_custkey div 15").alias("bond_id"), F.col("date").alias("event_date")).agg(
+    daily = orders(spark, sf_dir, "o_custkey", "o_totalprice").groupBy(F.expr("o_custkey div 15").alias("bond_id"), F.col("date").alias("event_date")).agg(
         F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents")
     )
     return daily.join(bonds(spark, sf_dir), "bond_id").where((F.col("event_date") >= F.col("dated")) & (F.col("event_date") < F.col("maturity")))

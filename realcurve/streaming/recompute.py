@@ -17,17 +17,20 @@ from ..operators import incremental, walk
 from ..session import Landing
 from ..sources.versioned import VersionedTable, bucket_of
 
-BUCKETS = 64
 VALUES = ["clean", "ytm", "vendor_ir"]
 QUOTE = ["bond_id", "date", *VALUES, *incremental.VERSION]
 PART = "bucket"
 
 
 class ReturnStore:
-    """Quotes, returns and marks under ``root``. ``value`` turns quotes into metrics, row by row (see ``walk.value_quotes``)."""
+    """Quotes, returns and marks under ``root``. ``value`` turns quotes into metrics, row by row (see ``walk.value_quotes``).
 
-    def __init__(self, spark: SparkSession, root: str, value: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS):
-        self.spark, self.root, self.value, self.buckets, self.land = spark, root, value, buckets, Landing(spark)
+    ``buckets`` belongs to the tables and stays theirs; by default it is what a shuffle of this session has.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, value: Callable[[DataFrame], DataFrame], buckets: int | None = None):
+        self.spark, self.root, self.value, self.land = spark, root, value, Landing(spark)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.tables: dict[str, VersionedTable] = {}
 
     def _table(self, name: str, like: DataFrame) -> VersionedTable:
