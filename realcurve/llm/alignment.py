@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 from struct import Struct
@@ -48,7 +48,7 @@ def piece_bytes(piece: str) -> bytes:
     return bytes([int(found[1], 16)]) if found else piece.replace(SPACE_MARK, " ").encode()
 
 
-def sliced(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+def sliced(a_ids: list[int], b_ids: list[int], a_sizes: Sequence[int], b_sizes: Sequence[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
     """Groups as ``(a from, a to, b from, b to)`` and the ids of links, two for each, of two id lists over the same bytes."""
     a_end = dict(zip(accumulate(a_sizes), range(1, len(a_ids) + 1)))
     b_end = dict(zip(accumulate(b_sizes), range(1, len(b_ids) + 1)))
@@ -94,11 +94,11 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         of = byte_of_character()
-        self.a_bytes = {i: bytes(of[c] for c in piece) if all(c in of for c in piece) else piece.encode() for piece, i in self.a.get_vocab().items()}
+        spelled = {i: bytes(of[c] for c in piece) if all(c in of for c in piece) else piece.encode() for piece, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [piece_bytes(p) for p in pieces]
-        self.a_size, self.b_size = {i: len(x) for i, x in self.a_bytes.items()}, [*map(len, self.b_bytes)]
-        self.written = [str(i) for i in range(max(len(pieces), 1 + max(self.a_bytes)))]
+        # of every id: its bytes, their number, and the id as text
+        self.a_ids = {i: (x, len(x), str(i)) for i, x in spelled.items()}
+        self.b_ids = [(x, len(x), str(i)) for i, x in enumerate(map(piece_bytes, pieces))]
         # a piece that goes on after a space would join two parts
         self.cuts = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
         self.late: dict[str | int, bytes | None] = {}
@@ -127,29 +127,32 @@ class Aligner:
 
     def learn(self, parts: list[str | int]) -> list[bytes | None]:
         """What is held of each part; parts not held are aligned first."""
-        late, before, fixed = self.late, self.before, self.fixed
-        new = [p for p in parts if p not in late and p not in before and p not in fixed]
-        got = {}
+        late, before = self.late, self.before
+        new = []
+        for p in parts:
+            if p not in late:
+                if p in before:
+                    late[p] = before[p]
+                elif p not in self.fixed:
+                    new.append(p)
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
             for p, a, b in zip(some, self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False), self.b.encode(some, num_threads=1)):
-                got[p] = self._aligned(" " + p, a.ids, b)
-        out = []
-        for p in parts:
-            f = got[p] if p in got else late[p] if p in late else before[p] if p in before else fixed[p]
-            if p not in fixed:
-                late[p] = f
-            out.append(f)
+                late[p] = self._aligned(" " + p, a.ids, b)
+        out = [late[p] if p in late else self.fixed[p] for p in parts]
         if len(late) > MOST_PARTS:  # what hasn't been asked for since is let go
             self.late, self.before = {}, late
         return out
 
     def _aligned(self, text: str, a_ids: list[int], b_ids: list[int]) -> bytes | None:
-        whole, a_bytes, b_bytes, written = text.encode(), self.a_bytes, self.b_bytes, self.written
-        if b"".join([a_bytes[i] for i in a_ids]) != whole or b"".join([b_bytes[i] for i in b_ids]) != whole:
+        whole = text.encode()
+        if not a_ids or not b_ids:
+            return None
+        a_bytes, a_sizes, a = zip(*map(self.a_ids.__getitem__, a_ids))
+        b_bytes, b_sizes, b = zip(*map(self.b_ids.__getitem__, b_ids))
+        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
             return None
-        groups, links = sliced(a_ids, b_ids, [self.a_size[i] for i in a_ids], [self.b_size[i] for i in b_ids])
-        a, b = [written[i] for i in a_ids], [written[i] for i in b_ids]
+        groups, links = sliced(a_ids, b_ids, a_sizes, b_sizes)
         shown = ";".join([f"{a[i]}|{b[j]}" if p - i == 1 == q - j else ",".join(a[i:p]) + "|" + ",".join(b[j:q]) for i, p, j, q in groups])
         return self.HEAD.pack(len(a_ids), len(b_ids), len(groups)) + array("I", links).tobytes() + shown.encode()
 
