@@ -105,8 +105,8 @@ def _through(x: np.ndarray, y: np.ndarray, i: int) -> tuple[float, int]:
     return float(slopes[k]), int(far[k])
 
 
-def least_absolute(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope, intercept and loss of a line with the least sum of absolute residuals.
+def least_absolute(x: np.ndarray, y: np.ndarray, eps: float = 1e-14) -> tuple[float, float, float]:
+    """Slope, intercept and loss of a line with the least sum of absolute residuals; a turn that gains no more than the share ``eps`` of the loss ends the search.
 
     An optimal line goes through two points. From a line through one, turning it to the weighted median never loses; turned about every point that it
     touches without gain it is optimal, as the loss is convex and linear between such turns.
@@ -121,7 +121,7 @@ def least_absolute(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         for k in dict.fromkeys([j, i, *touched.tolist()]):
             turned, to = _through(x, y, k)
             found = float(np.abs(y - y[k] - turned * (x - x[k])).sum())
-            if found < loss * (1 - 1e-14) and (best is None or found < best[0]):
+            if found < loss * (1 - eps) and (best is None or found < best[0]):
                 best = (found, turned, k, to)
         if best is None:
             return b, float(y[i] - b * x[i]), loss
@@ -250,13 +250,13 @@ def _by_group(p: DataFrame, by: Sequence[str], columns: str, fit) -> DataFrame:
     return p.select(*keys, "date", "x", "y").groupBy(*keys).applyInPandas(run, f"{kind}, {columns}")
 
 
-def median_fit(p: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``slope, intercept, loss`` of the least-absolute line of each group; null slope where x has no spread."""
+def median_fit(p: DataFrame, by: Sequence[str], eps: float = 1e-14) -> DataFrame:
+    """``slope, intercept, loss`` of the least-absolute line of each group (see ``least_absolute``); null slope where x has no spread."""
 
     def fit(x: np.ndarray, y: np.ndarray):
         if (x == x[0]).all():
             return None, None, float(np.abs(y - np.median(y)).sum())
-        return least_absolute(x, y)
+        return least_absolute(x, y, eps)
 
     return _by_group(p, by, "slope double, intercept double, loss double", fit)
 
