@@ -290,7 +290,7 @@ case("topup_windowed", "window_start:d event_type n:i total:2", lambda p: topup.
 
 def _recomputed(p):
     """Returns after two batches of revisions, the later one first, each walked from the first month it changes."""
-    rules = p.land(walk.bond_rules(p.bonds, p.conv, p.series))
+    rules = p.land(walk.bounded_rules(walk.bond_rules(p.bonds, p.conv, p.series), p._foreign_days))
     store = recompute.ReturnStore(p.spark, p.land.path(), lambda q: walk.value_quotes(q, rules, p._foreign_days))
     store.build(p.quotes)
     revisions = src.quote_revisions(p.spark, p.sf_dir)

@@ -61,12 +61,22 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).option("basePath", f"{self.root}/data").parquet(*paths).select(*self.schema.names)
 
-    def publish(self, rows: DataFrame, parts: Iterable | None = None, source: str | None = None, batch: int | None = None) -> int:
-        """Replace parts by ``rows``: those that ``rows`` holds and all of ``parts``, which are empty from now on where no row is left."""
+    def stage(self, rows: DataFrame, placed: bool = False, more: bool = False) -> DataFrame:
+        """Write rows of the next version, which no reader sees, and return them reread; ``more`` adds to those written before.
+
+        ``placed``: the rows of a part lie in few tasks already, so they are written where they are.
+        """
+        data = f"{self.root}/data/version={self.last_version() + 1}"
+        rows = rows.select(*self.schema.names)
+        rows = rows if placed else rows.repartition(self.by)
+        rows.write.mode("append" if more else "overwrite").option("compression", "zstd").partitionBy(self.by).parquet(data)
+        return self.spark.read.schema(self.schema).parquet(data)
+
+    def publish(self, rows: DataFrame | None, parts: Iterable | None = None, source: str | None = None, batch: int | None = None) -> int:
+        """Replace parts by ``rows`` (None: by what is staged): those that they hold and all of ``parts``, which are empty from now on where no row is left."""
         version = self.last_version() + 1
-        data = f"{self.root}/data/version={version}"
-        rows.select(*self.schema.names).repartition(self.by).write.mode("overwrite").partitionBy(self.by).parquet(data)
-        written = self.spark.read.schema(self.schema).parquet(data).groupBy(F.col(self.by).cast("string").alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+        staged = self.spark.read.schema(self.schema).parquet(f"{self.root}/data/version={version}") if rows is None else self.stage(rows)
+        written = staged.groupBy(F.col(self.by).cast("string").alias("part")).agg(F.count(F.lit(1)).alias("rows"))
         held = {r["part"]: r["rows"] for r in written.collect()}
         listed = [(p, n, source, batch) for p, n in sorted(({str(p): 0 for p in parts or ()} | held).items())] or [(None, 0, source, batch)]
         self.spark.createDataFrame(listed, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/version={version}")

@@ -35,20 +35,28 @@ class ReturnStore:
 
     def _table(self, name: str, like: DataFrame) -> VersionedTable:
         if name not in self.tables:
-            self.tables[name] = VersionedTable(self.spark, f"{self.root}/{name}", self._parted(like).schema, PART)
+            self.tables[name] = VersionedTable(self.spark, f"{self.root}/{name}", like.schema, PART)
         return self.tables[name]
 
     def _parted(self, df: DataFrame) -> DataFrame:
         return df.withColumn(PART, bucket_of(F.col("bond_id"), self.buckets))
 
+    def _walk(self, quotes: DataFrame, seeds: DataFrame) -> DataFrame:
+        """Quotes (with their bucket) walked on from the seeds: one shuffle, of the quotes as they are."""
+        return incremental.walk_tail(self.value(incremental.seeded(quotes.select(PART, "bond_id", "date", *VALUES), seeds, PART)), PART)
+
     def build(self, quotes: DataFrame) -> None:
         """Everything from the quotes as they are (``bond_id, date, clean, ytm, vendor_ir``), without versions."""
-        first = quotes.withColumns({"ts": F.lit(None).cast("timestamp"), "event_id": F.lit(None).cast("long")}).select(*QUOTE)
-        metrics = self.land(self.value(first.drop(*incremental.VERSION)))
-        returns = self.land(walk.bond_walk(metrics))
-        marks = incremental.month_marks(metrics, returns)
-        for name, df in (("returns", returns), ("marks", marks), ("quotes", first)):
-            self._table(name, df).publish(self._parted(df))
+        unversioned = {"ts": F.lit(None).cast("timestamp"), "event_id": F.lit(None).cast("long"), "changed": F.lit(False)}
+        first = self._parted(quotes.withColumns(unversioned).select(*QUOTE, "changed"))
+        kept = self._table("quotes", first).stage(first)
+        seed = ", ".join(f"{c} {t}" for c, t in zip(incremental.SEED, ("date", "date", "double", "double", "int", "double")))
+        walked = self._walk(kept, self.spark.createDataFrame([], f"{PART} int, bond_id {kept.schema['bond_id'].dataType.simpleString()}, {seed}"))
+        walked = self._table("returns", walked).stage(walked, placed=True)
+        marks = incremental.marks_of(walked)
+        self._table("marks", marks).stage(marks, placed=True)
+        for name in ("returns", "marks", "quotes"):
+            self.tables[name].publish(None)
 
     def apply(self, revisions: DataFrame, batch: int, source: str = "revisions") -> None:
         """Merge one batch of revisions (``bond_id, date, clean, ytm, vendor_ir, ts, event_id``) and walk the bonds that it changes."""
@@ -57,19 +65,20 @@ class ReturnStore:
             return
         fresh = self.land(self._parted(incremental.newest_cells(revisions.select(*QUOTE), ["bond_id", "date"], VALUES)))
         parts = [r[PART] for r in fresh.select(PART).distinct().collect()]  # no more than there are buckets
-        old = quotes.read(parts)
-        merged = self.land(self._parted(incremental.newest_cells(old.select(*QUOTE).unionByName(fresh.select(*QUOTE)), ["bond_id", "date"], VALUES)))
-        dirty = self.land(incremental.dirty_bonds(old, merged, VALUES))
+        old = quotes.read(parts).drop("changed")
+        merged = quotes.stage(incremental.merged_cells(old, fresh, [PART, "bond_id", "date"], VALUES, PART), placed=True)
+        dirty = self.land(incremental.dirty_bonds(merged))
         walked = [r[PART] for r in dirty.select(bucket_of(F.col("bond_id"), self.buckets).alias(PART)).distinct().collect()]
         if walked:
-            seeds = self.land(incremental.seeds_of(marks.read(walked), dirty))
-            tail = merged.join(dirty, "bond_id").where(F.col("date") >= F.col("from_month")).select("bond_id", "date", *VALUES)
-            metrics = self.land(self.value(tail))
-            again = self.land(incremental.walk_tail(metrics, seeds))
-            noted = incremental.month_marks(metrics, again, seeds).join(dirty, "bond_id").where(F.col("month") >= F.col("from_month")).drop("from_month")
-            returns.publish(incremental.outside(returns.read(walked), dirty, "date").unionByName(self._parted(again)), walked)
-            marks.publish(incremental.outside(marks.read(walked), dirty, "month").unionByName(self._parted(noted)), walked)
-        quotes.publish(merged, parts, source, batch)
+            seeds = self._parted(incremental.seeds_of(marks.read(walked).drop(PART), dirty))
+            tail = merged.join(dirty, "bond_id").where(F.col("date") >= F.col("from_month"))
+            left = {t: incremental.outside(t.read(walked), dirty, day) for t, day in ((returns, "date"), (marks, "month"))}
+            again = returns.stage(self._walk(tail, seeds), placed=True)
+            marks.stage(incremental.marks_of(again), placed=True)
+            for table, rows in left.items():
+                table.stage(rows, placed=True, more=True)
+                table.publish(None, walked)
+        quotes.publish(None, parts, source, batch)
 
     def expire(self) -> None:
         """Delete replaced parts."""
@@ -77,7 +86,7 @@ class ReturnStore:
             t.expire()
 
     def read(self) -> DataFrame:
-        return self.tables["returns"].read().drop(PART)
+        return incremental.returns_of(self.tables["returns"].read())
 
 
 def drain(store: ReturnStore, revisions: DataFrame, checkpoint: str):

@@ -2,8 +2,9 @@
 
 import pytest
 
-from realcurve.operators import cmt, pairs
+from realcurve.operators import cmt, incremental, pairs, walk
 from realcurve.plans.panel import Panel
+from realcurve.streaming import recompute
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +34,15 @@ def test_a_pair_named_twice_is_one_and_a_hedge_of_many_serves_all(panel):
         both = returns.where(f"bond_id = {r.real_id}").select("date").intersect(returns.where(f"bond_id = {r.nominal_id}").select("date")).count()
         found = got.where(f"real_id = {r.real_id} AND nominal_id = {r.nominal_id}").count()
         assert found in (0, both)
+
+
+def test_a_walk_of_the_store_shuffles_its_quotes_once_and_keeps_no_value_that_follows(spark, panel, tmp_path):
+    rules = panel.land(walk.bounded_rules(walk.bond_rules(panel.bonds, panel.conv, panel.series), panel._foreign_days))
+    store = recompute.ReturnStore(spark, f"{tmp_path}/store", lambda q: walk.value_quotes(q, rules, panel._foreign_days), buckets=4)
+    store.build(panel.quotes)
+    kept = store.tables["returns"].read()
+    assert not {"V", "dV", "pnl", "financing", "bp", "gross_bp", "notional", "dirty_real"} & set(kept.columns) and store.read().columns == walk.RETURN_COLUMNS
+    seeds = incremental.marks_of(kept).where("1 = 0")
+    plan = store._walk(store.tables["quotes"].read(), seeds)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "bucket" in shuffles[0]
