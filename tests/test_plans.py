@@ -1,5 +1,7 @@
 """How often the quotes are read."""
 
+import datetime as dt
+
 import pytest
 
 from realcurve.operators import cmt, incremental, pairs, walk
@@ -46,3 +48,16 @@ def test_a_walk_of_the_store_shuffles_its_quotes_once_and_keeps_no_value_that_fo
     plan = store._walk(store.tables["quotes"].read(), seeds)._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert len(shuffles) == 1 and "bucket" in shuffles[0]
+
+
+def test_the_pool_looks_up_ids_and_the_events_of_a_bucket_series_are_read_once(panel):
+    assert scans(panel.pool) == 0 and scans(panel.held, "orders") == 0
+    assert scans(cmt.bucket_series(panel.returns_of(cmt.needed_bonds(panel.matched)), panel.matched, panel.tagged), "orders") == 1
+
+
+def test_sales_of_a_day_tell_whether_the_held_bond_is_among_them(spark):
+    day = lambda m, d: dt.date(2001, m, d)
+    tagged = spark.createDataFrame([("M", "5y", 1, day(1, 5), 0.5), ("M", "5y", 2, day(1, 5), 0.25), ("M", "5y", 2, day(1, 5), 0.25), ("M", "5y", 2, day(1, 9), 1.0), ("M", "5y", 1, day(2, 5), 1.0), ("N", "5y", 1, day(1, 5), 1.0)], "market string, bucket string, bond_id long, event_date date, amt_bn double")
+    matched = spark.createDataFrame([("M", "5y", day(1, 1), 1), ("M", "5y", day(2, 1), 2)], "market string, bucket string, month date, bond_id long")
+    got = {(r.market, r.date): (r.auction_bonds, r.auction_amount, r.auction_is_held) for r in cmt.auction_flags(tagged, matched).collect()}
+    assert got == {("M", day(1, 5)): (2, 1.0, True), ("M", day(1, 9)): (1, 1.0, False), ("M", day(2, 5)): (1, 1.0, False), ("N", day(1, 5)): (1, 1.0, None)}
