@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from realcurve.operators import cmt, incremental, pairs, walk
+from realcurve.operators import cmt, exports, incremental, pairs, walk
 from realcurve.plans.panel import Panel
 from realcurve.streaming import recompute
 
@@ -61,3 +61,10 @@ def test_sales_of_a_day_tell_whether_the_held_bond_is_among_them(spark):
     matched = spark.createDataFrame([("M", "5y", day(1, 1), 1), ("M", "5y", day(2, 1), 2)], "market string, bucket string, month date, bond_id long")
     got = {(r.market, r.date): (r.auction_bonds, r.auction_amount, r.auction_is_held) for r in cmt.auction_flags(tagged, matched).collect()}
     assert got == {("M", day(1, 5)): (2, 1.0, True), ("M", day(1, 9)): (1, 1.0, False), ("M", day(2, 5)): (1, 1.0, False), ("N", day(1, 5)): (1, 1.0, None)}
+
+
+def test_a_page_reads_the_returns_and_the_pairs_once(spark, panel):
+    ratios = spark.createDataFrame([], "market string, bucket string, crude_b double")
+    page = exports.market_series(panel.buckets, panel.linked_returns, panel.pair_levels, panel.crude, ratios)
+    assert scans(page) == 2
+    assert "nominal_V" not in panel.pair_levels.columns and "nominal_V" in panel.pair_returns.columns
