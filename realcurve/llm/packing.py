@@ -37,14 +37,17 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=2)
 def signs(size: int) -> np.ndarray:
-    """Fixed random signs of each id, one for each dimension."""
+    """Fixed random signs of each id, one for each dimension: one bit in every 16 of a number."""
     h = mixed(np.arange(size, dtype=np.uint64) + np.uint64(0x5EED))
-    return (((h[:, None] >> np.arange(DIMS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1).astype(np.float32)
+    return sum(((h >> np.uint64(d)) & np.uint64(1)) << np.uint64(16 * d) for d in range(DIMS))
 
 
 def projection(ids: np.ndarray, size: int) -> np.ndarray:
     """The mean of the ids' signs."""
-    return signs(size)[ids].mean(axis=0, dtype=np.float64)
+    own, most = signs(size)[ids], (1 << 16) - 1
+    sums = [int(own[a : a + most].sum()) for a in range(0, len(own), most)]
+    plus = np.array([sum(s >> 16 * d & most for s in sums) for d in range(DIMS)], np.float64)
+    return (2 * plus - len(ids)) / len(ids)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:

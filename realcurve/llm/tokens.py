@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, for tasks.
 
 Both vocabularies cut a text at a single space between two other characters in every case, so the ids of a text are those of its
-space-separated parts one after another. A part is encoded by the library once and then looked up. Texts with other white space beside a space are encoded whole.
+space-separated parts one after another. A part is encoded by the library once, many of them as one text, and then looked up. Texts with other white space beside a space are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,8 +15,16 @@ import numpy as np
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers. ``spaced``: parts after the first keep the space before them."""
 
-    #: Parts held; beyond, those not asked for last are let go.
+    #: Parts held at most, in two halves: those of late and those before; what hasn't been asked for since is let go.
     MOST_PARTS = 600_000
+    #: Parts that the library gets as one text.
+    TOGETHER = 200
+    #: Stands between parts in such a text; an id of its own.
+    FENCE = "\x01"
+    #: A run of these after a Latin letter is cut off in every case; the apostrophe is not among them.
+    STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: In place of ids: one byte, as no ids are.
+    WHOLE = b"?"
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,46 +33,87 @@ class Encoder:
         self.library, self.spaced = Tokenizer.from_file(path), spaced
         self.library.encode_special_tokens = True  # names of special tokens in a text are ordinary text
         self.size = self.library.get_vocab_size()
-        self.stops = dict(zip(".,", self.whole([".", ","])))
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = self.first if not spaced else {}
+        self.fence = int(np.frombuffer(self.whole([self.FENCE])[0], "<u4")[-1])
+        # the ids that begin (end, where not spaced) a word
+        self.edge = np.zeros(self.size, bool)
+        self.edge[[i for t, i in self.library.get_vocab().items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
+        # no part has a space, so one before a part tells the first of a text from the others where they differ
+        self.late: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, held: dict[str, bytes | None], parts: set[str], before: str) -> None:
-        new = [p for p in parts if p not in held]
-        ended = [p for p in new if len(p) > 1 and p[-1] in self.stops and p[-2] < "\u0250" and p[-2].isalpha() and len(p[-2].lower()) == 1]
-        new = list({*new, *(c for p in ended if (c := p[:-1]) not in held)}.difference(ended))
-        plain = [p for p in new if not self.spaced or p and not p[0].isspace() and not p[-1].isspace()]
-        held.update(dict.fromkeys(new))
-        for at in range(0, len(plain), 2000):  # the library's results are large beside their ids
-            some = plain[at : at + 2000]
-            held.update(zip(some, self.whole([before + p for p in some])))
-        for p in ended:  # a Latin letter and a stop are cut too
-            stem = held[p[:-1]]
-            held[p] = None if stem is None else stem + self.stops[p[-1]]
+    @staticmethod
+    def _cut(ids: np.ndarray, edges: list[int]) -> list[bytes]:
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(edges, edges[1:])]
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of every part for itself, of words that the library cuts at the single spaces between them, each with one id of ``edge``."""
+        ids = np.array(self.library.encode_batch_fast([" " * self.spaced + " ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(parts):  # another vocabulary
+            return self.whole([" " * self.spaced + p for p in parts])
+        return self._cut(ids, [*at.tolist(), len(ids)] if self.spaced else [0, *(at + 1).tolist()])
+
+    def _fenced(self, parts: list[str]) -> list[bytes]:
+        """The same of parts without ``FENCE``, whatever number of words they are."""
+        between = f" {self.FENCE} "
+        ids = np.array(self.library.encode_batch_fast([between.join(parts) + between], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ids == self.fence)
+        if len(at) != len(parts):  # another vocabulary
+            return self.whole(parts)
+        data, ends = ids.tobytes(), at.tolist()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(at + 1).tolist()], ends)]
+
+    def _kept(self, parts: set[str]) -> set[str]:
+        """Parts that are not held; what was held before is held again."""
+        late, before = self.late, self.before
+        late.update({p: before[p] for p in parts & before.keys()})
+        return parts - late.keys()
+
+    def _learn(self, new: set[str]) -> None:
+        """Holds ids of the parts; ``WHOLE`` where a text with the part is encoded whole."""
+        late, new, mark = self.late, self._kept(new), " " * self.spaced
+        ended = {p: c for p in new if (c := p.rstrip(self.STOPS)) and c != p and (x := c[-1]) < "\u0250" and x.isalpha() and x != "\u0130"}
+        asked = self._kept(new.difference(ended) | {*ended.values()} | {mark + p[len(c) :] for p, c in ended.items()})
+        # one word: letters that no normalizer changes into something else
+        words = [p for p in asked if p.isalpha() and (self.spaced or p.isascii() or max(p) < "\u0250" and "\u0130" not in p)]
+        others, alone = [], []
+        for p in asked.difference(words):
+            late[p] = self.WHOLE
+            if not self.spaced:
+                (alone if self.FENCE in p else others).append(p)
+            elif p and p.lstrip(" ") == p.strip():
+                (alone if p[0] == " " else words).append(p)
+        for some, ids_of in ((words, self._joined), (others, self._fenced), (alone, lambda some: self.whole([p.lstrip(" ") for p in some]))):
+            for at in range(0, len(some), self.TOGETHER):  # the library's results are large beside their ids
+                late.update(zip(some[at : at + self.TOGETHER], ids_of(some[at : at + self.TOGETHER])))
+        for p, c in ended.items():
+            stem = late[c]
+            late[p] = stem + late[mark + p[len(c) :]] if stem is not self.WHOLE else stem
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
-        split = [(t or "").split(" ") for t in texts]
-        heads, tails = set(), set()
+        # where not spaced, any white space is only what separates words
+        split = [(t if self.spaced else t.replace("\n", " ")).split(" ") if t else [""] for t in texts]
+        rows, gaps, new, held = [], [], set(), self.late.get
         for parts in split:
-            heads.add(parts[0])
-            tails.update(parts[1:])
-        self._learn(self.first, heads if self.spaced else heads | tails, "")
-        if self.spaced:
-            self._learn(self.rest, tails, " ")
-        for held in (self.first, self.rest):
-            if len(held) > self.MOST_PARTS:  # those just asked for stay
-                kept = {p: held[p] for p in heads | tails if p in held}
-                held.clear()
-                held.update(kept)
-        out, first, rest = [], self.first, self.rest
-        for text, parts in zip(texts, split):
-            got = [None, *map(rest.__getitem__, parts[1:])]
-            got[0] = first[parts[0]]
-            out.append(b"".join(got) if None not in got else self.whole([text or ""])[0])
+            if self.spaced:
+                parts[0] = " " + parts[0]
+            got = [*map(held, parts)]
+            at = [i for i, x in enumerate(got) if x is None]
+            new.update([parts[i] for i in at])
+            rows.append(got)
+            gaps.append(at)
+        self._learn(new)
+        for parts, got, at in zip(split, rows, gaps):
+            for i in at:
+                got[i] = held(parts[i])
+        out = [b"".join(got) if self.WHOLE not in got else self.whole([text or ""])[0] for text, got in zip(texts, rows)]
+        if len(self.late) > self.MOST_PARTS // 2:
+            self.late, self.before = {}, self.late
         return out
 
 

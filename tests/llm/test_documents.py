@@ -208,6 +208,31 @@ def test_parts_give_the_ids_of_whole_texts():
         assert own.encode(texts) == want and own.encode(texts) == want
 
 
+def test_new_words_go_to_the_library_together():
+    words = [a + b + c + d for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh" for d in "aéüc"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        own, asked = tokens.Encoder(public_tokenizers.path(name), spaced), []
+        library = own.library
+        own.library = type("Counted", (), {"encode_batch_fast": staticmethod(lambda texts, **more: asked.extend(texts) or library.encode_batch_fast(texts, **more))})
+        for text, most in (("x " + " ".join(words), 50), ("x " + " ".join(w + "$$$" for w in words), 3), ("x " + " ".join(w + "," for w in words), 3)):
+            del asked[:]
+            got = own.encode([text])  # a run of signs after a known word asks for the signs alone
+            assert len(asked) <= most
+            assert got == [np.array(i, "<u4").tobytes() for i in ids_by_library(name, [text])]
+
+
+def test_projection_is_the_mean_of_signs():
+    size = 49_408
+    lanes = (packing.signs(size)[:, None] >> np.arange(0, 16 * packing.DIMS, 16, dtype=np.uint64)) & np.uint64(0xFFFF)
+    assert set(np.unique(lanes)) == {0, 1}
+    plain = lanes.astype(np.float64) * 2 - 1
+    for n in (1, 7, 65_535, 65_536, 150_000):
+        ids = np.random.default_rng(n).integers(0, size, n)
+        assert np.array_equal(packing.projection(ids, size), plain[ids].mean(axis=0))
+    most = np.full(200_000, int(np.flatnonzero((lanes == 1).all(axis=1))[0]))  # no lane runs over
+    assert packing.projection(most, size).tolist() == [1.0] * packing.DIMS
+
+
 def test_rans_blocks_round_trip_and_notice_damage():
     rng = np.random.default_rng(5)
     ids = np.concatenate([rng.zipf(1.3, 200_000) % 50_000, np.full(5000, 7), rng.integers(0, 50_257, 70_000)]).astype(np.uint32)
