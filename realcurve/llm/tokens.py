@@ -70,8 +70,8 @@ class Encoder:
     def _kept(self, parts: set[str]) -> set[str]:
         """Parts that are not held; what was held before is held again."""
         late, before = self.late, self.before
-        late.update({p: before[p] for p in parts & before.keys()})
-        return parts - late.keys()
+        late.update([(p, before[p]) for p in parts if p in before and p not in late])
+        return {p for p in parts if p not in late}
 
     def _learn(self, new: set[str]) -> None:
         """Holds ids of the parts; ``WHOLE`` where a text with the part is encoded whole."""
