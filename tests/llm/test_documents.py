@@ -221,6 +221,21 @@ def test_new_words_go_to_the_library_together():
             assert got == [np.array(i, "<u4").tobytes() for i in ids_by_library(name, [text])]
 
 
+def test_latin_words_go_to_the_model_alone():
+    rng = np.random.default_rng(5)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha() and c != 0x130]
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(2000)]
+    texts = ["x " + " ".join(w + "\nx"[: 2 * (i % 7 == 0)] for i, w in enumerate(words)), "x a.\n" + ".\n".join(words[:300]) + " b", "x " + " ".join(w + ".\nOther" for w in words)]
+    breaks = ["\n", "a\n", "\na", "a\n\nb", "a\n\n\nb", "a \nb", "a\n b", "a\t\nb", "a\n\tb", "a\n\x0bb", "a\n\x85b", "a\n\xa0b", "a\n'sb", "a\n12. b", "a\n_b", "a.\n.b", "a\n\u0130b", "a\n_b_ c", "a\n\nb c \nd", "a\n\nb \nword", "a \n\nb", " \nword", "\n\nword \nx"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        own, asked = tokens.Encoder(public_tokenizers.path(name), spaced), []
+        library = own.library
+        own.library = type("Counted", (), {"encode_batch_fast": staticmethod(lambda texts, **more: asked.extend(texts) or library.encode_batch_fast(texts, **more))})
+        got = own.encode(texts)
+        assert sum(map(len, asked)) < 100  # first words and signs
+        assert got + own.encode(breaks) == [np.array(i, "<u4").tobytes() for i in ids_by_library(name, texts + breaks)]
+
+
 def test_projection_is_the_mean_of_signs():
     size = 49_408
     lanes = (packing.signs(size)[:, None] >> np.arange(0, 16 * packing.DIMS, 16, dtype=np.uint64)) & np.uint64(0xFFFF)
