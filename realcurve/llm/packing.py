@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import Land, count_below, landing, quantile_bounds, slots, table, with_code
 from .hashing import mixed
-from .tokens import encoder, in_slices
+from .tokens import Encoder, encoder, in_slices
 
 #: Ids of a sequence, and the id that ends a document.
 LENGTH, END = 2048, 1
 #: Dimensions of a point, bits of each in the key, bits that break ties.
 DIMS, BITS, TIE_BITS = 4, 10, 22
+#: Words that a worker of the query holds: about 200 MB more than by default, which the pipeline doesn't have to spare.
+HELD = 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -79,11 +81,11 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def tokenized(docs: DataFrame, path: str, spaced: bool, end: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, spaced: bool, end: int, held: int = Encoder.MOST_PARTS) -> DataFrame:
     """``doc_id, ids, n, tie, v0..`` of every row; ids as unsigned numbers of 16 bits, or of 32 where the vocabulary needs them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path, spaced)
+        enc = encoder(path, spaced, held)
         kind = "<u2" if enc.size <= 1 << 16 else "<u4"
         for batch in batches:
             texts = batch["text"].tolist()
@@ -114,14 +116,15 @@ def _keyed(points: DataFrame) -> DataFrame:
     return points.withColumn("key", key("tie", *names))
 
 
-def pieces(docs: DataFrame, land: Land, path: str | None = None, spaced: bool = False, end: int = END, length: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, land: Land, path: str | None = None, spaced: bool = False, end: int = END, length: int = LENGTH, held: int = Encoder.MOST_PARTS) -> DataFrame:
     """The pieces of the documents (``doc_id, text``; other columns are ignored) in sequences of at most ``length`` ids.
 
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and ``ids``, the piece's ids as little-endian unsigned 32-bit numbers. Each row of ``docs`` is a document of
     its own; null and empty texts are their end alone. Sequences are full but for the last ones, whose lengths are falling powers of two.
+    A worker holds the ids of ``held`` words at most.
     """
     with_code(docs.sparkSession)
-    wide = land.compressed(tokenized(docs, path or default_tokenizer(), spaced, end))
+    wide = land.compressed(tokenized(docs, path or default_tokenizer(), spaced, end, held))
     keys = _keyed(wide.select("tie", "n", *[f"v{d}" for d in range(DIMS)]))
     bounds = quantile_bounds(keys, "key", 2 * max(1, slots(docs.sparkSession)))
     placed = _keyed(wide).select("doc_id", "ids", "n", "key").withColumn("range", count_below(bounds, F.col("key")))
@@ -162,4 +165,4 @@ def pieces(docs: DataFrame, land: Land, path: str | None = None, spaced: bool =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all ``documents``, without the ids themselves."""
-    return pieces(table(spark, sf_dir, "documents"), landing(spark)).drop("ids")
+    return pieces(table(spark, sf_dir, "documents"), landing(spark), held=HELD).drop("ids")

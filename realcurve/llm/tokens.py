@@ -29,8 +29,8 @@ _LETTERS[ord("_")] = 256 + 32
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers. ``spaced``: parts after the first keep the space before them."""
 
-    #: Parts held at most, in two halves: those of late and those before; what hasn't been asked for since is let go.
-    MOST_PARTS = 1_200_000
+    #: Parts held at most where nothing else is said, in two halves: those of late and those before; what hasn't been asked for since is let go.
+    MOST_PARTS = 600_000
     #: Parts that the library gets as one text.
     TOGETHER = 200
     #: What stands for a space in the model's letters.
@@ -42,12 +42,12 @@ class Encoder:
     #: In place of ids: one byte, as no ids are.
     WHOLE = b"?"
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, held: int = MOST_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-        self.library, self.spaced = Tokenizer.from_file(path), spaced
+        self.library, self.spaced, self.MOST_PARTS = Tokenizer.from_file(path), spaced, held
         self.library.encode_special_tokens = True  # names of special tokens in a text are ordinary text
         self.size = self.library.get_vocab_size()
         self.line = self.whole(["\n"])[0]
@@ -187,8 +187,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, spaced: bool) -> Encoder:
-    return Encoder(path, spaced)
+def encoder(path: str, spaced: bool, held: int = Encoder.MOST_PARTS) -> Encoder:
+    return Encoder(path, spaced, held)
 
 
 def in_slices(texts: list[str | None], size: int = 1 << 20):
