@@ -7,12 +7,14 @@ part by part, and a part that was seen before is looked up with its groups and l
 
 The texts go through in chunks of bounded size. A chunk's row holds its distinct parts with their links and, for each document, its parts:
 so what is counted over the corpus is one row for each distinct pair of ids in a chunk. The totals of the chunk's pairs come back to it, and
-the numbers of its documents are sums over their parts.
+the numbers of its documents are sums over their parts. What only the chunk itself reads again goes as bytes: the JVM neither takes such rows
+apart nor copies them number by number.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Iterator, Sequence
@@ -30,6 +32,8 @@ from .common import Land, landing, table, with_code
 
 #: Characters of the texts of a chunk, and parts that a worker remembers, twice: those of late and those before.
 CHUNK, MOST_PARTS = 2_000_000, 150_000
+#: Bytes of what is remembered of parts, likewise: without spaces a part is as long as its text.
+MOST_BYTES = 32_000_000
 #: Fixed value: what stands for a space in pieces.
 SPACE_MARK = "▁"
 #: A pair of ids as one number.
@@ -87,6 +91,7 @@ class Aligner:
     HEAD = Struct("<III")
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads keep memory of their own
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -103,6 +108,7 @@ class Aligner:
         self.cuts = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
         self.late: dict[str | int, bytes | None] = {}
         self.before: dict[str | int, bytes | None] = {}
+        self.held = 0
         # a stop after a letter is a token of its own where no piece holds both; it goes by its code, as a word can't
         one = {c: (self.a.encode(c, add_special_tokens=False).ids, self.b.piece_to_id(c)) for c in ".,"}
         self.stops = {c: ord(c) for c in one if not any(len(p) > 1 and p[-1] == c and p[-2].isalpha() for p in pieces) and pieces[one[c][1]] == c}
@@ -132,18 +138,23 @@ class Aligner:
         for p in parts:
             if p not in late:
                 if p in before:
-                    late[p] = before[p]
+                    self._keep(p, before[p])
                 elif p not in self.fixed:
                     new.append(p)
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
             for p, a, b in zip(some, self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False), self.b.encode(some, num_threads=1)):
-                late[p] = self._aligned(" " + p, a.ids, b)
+                self._keep(p, self._aligned(" " + p, a.ids, b))
         out = [late[p] if p in late else self.fixed[p] for p in parts]
-        if len(late) > MOST_PARTS:  # what hasn't been asked for since is let go
-            self.late, self.before = {}, late
+        if len(late) > MOST_PARTS or self.held > MOST_BYTES:  # what hasn't been asked for since is let go
+            # nor is what a chunk of long parts leaves worth keeping
+            self.late, self.before, self.held = {}, late if self.held <= 2 * MOST_BYTES else {}, 0
         return out
 
+    def _keep(self, part: str, found: bytes | None) -> None:
+        self.late[part] = found
+        self.held += len(part) + len(found or b"")
+
     def _aligned(self, text: str, a_ids: list[int], b_ids: list[int]) -> bytes | None:
         whole = text.encode()
         if not a_ids or not b_ids:
@@ -163,17 +174,28 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 
 
 CHUNKS = ("chunk long, doc_id array<long>, no_id array<boolean>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
-          "doc_parts array<int>, part array<int>, times array<int>, part_pairs array<int>, pair_at array<int>, pairs array<long>, links array<long>")
+          "doc_parts binary, part binary, times binary, part_pairs binary, pair_at binary, pairs array<long>, links array<long>")
+
+
+def packed(values: Sequence[int]) -> bytes:
+    """Whole numbers, each in as few bytes as the largest takes; that number of bytes comes first."""
+    size = np.min_scalar_type(int(np.max(values, initial=0))).itemsize
+    return bytes([size]) + np.asarray(values, f"<u{size}").tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, f"<u{held[0]}", offset=1).astype(np.int64)
 
 
 def _chunk(number: int, doc_ids: list, texts: list[str | None], own: Aligner) -> pd.DataFrame:
     """The row of a chunk. ``part, times``: the parts of its documents one after another, ``doc_parts`` of each; ``pair_at``: the links of its
-    parts likewise, ``part_pairs`` of each, by place in ``pairs``, which are the distinct pairs with their ``links`` in the chunk."""
+    parts likewise, ``part_pairs`` of each, by place in ``pairs``, which are the distinct pairs with their ``links`` in the chunk. The first
+    five are ``packed``."""
     place: dict[str | int, int] = {}
     split = [[place.setdefault(p, len(place)) for p in own.parts(t)] for t in texts]
     found = own.learn([*place])
-    heads = [own.HEAD.unpack_from(f) if f else (0, 0, 0) for f in found]
-    sums, bad = np.array(heads, np.int64).reshape(-1, 3), {i for i, f in enumerate(found) if f is None}
+    heads, bad = b"".join([f[: own.HEAD.size] if f else bytes(own.HEAD.size) for f in found]), {i for i, f in enumerate(found) if f is None}
+    sums = np.frombuffer(heads, "<u4").astype(np.int64).reshape(-1, 3)
     sizes = sums[:, 0] + sums[:, 1] - sums[:, 2]  # a group's tokens overlap in a chain
     ends = (own.HEAD.size + 8 * sizes).tolist()
     shown = [f[e:] if f else b"" for f, e in zip(found, ends)]
@@ -190,14 +212,14 @@ def _chunk(number: int, doc_ids: list, texts: list[str | None], own: Aligner) ->
             sha.update((b";" if at else b"") + b";".join([shown[i] for i in local[at : at + 4096]]))
         n_a, n_b, n_groups = (int(x) for x in n @ sums[each])
         rows.append((n_a, n_b, n_groups, sha.hexdigest(), len(each)))
-    part, times = (np.concatenate(x).astype(np.int64) if x else none for x in (parts, times))
+    part, times = (np.concatenate(x) if x else none for x in (parts, times))
     used = np.bincount(part, times, len(found)).astype(np.int64)
     ids_of_links = np.frombuffer(b"".join([f[own.HEAD.size : e] for f, e in zip(found, ends) if f]), np.uint32).astype(np.int64)
     pairs, at = np.unique(ids_of_links[::2] << SHIFT | ids_of_links[1::2], return_inverse=True)
     links = np.bincount(at, np.repeat(used, sizes), len(pairs)).astype(np.int64)
     n_a, n_b, n_groups, sha, doc_parts = zip(*rows)
     n_links = [a + b - g for a, b, g in zip(n_a, n_b, n_groups)]
-    row = (number, [i or 0 for i in doc_ids], [i is None for i in doc_ids], n_a, n_b, n_groups, n_links, sha, np.array(doc_parts), part, times, sizes, at, pairs, links)
+    row = (number, [i or 0 for i in doc_ids], [i is None for i in doc_ids], n_a, n_b, n_groups, n_links, sha, *map(packed, (doc_parts, part, times, sizes, at)), pairs, links)
     return pd.DataFrame({c.split()[0]: [list(v) if isinstance(v, tuple) else v] for c, v in zip(CHUNKS.split(", "), row)})
 
 
@@ -224,11 +246,12 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 def _summed(chunk: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """Documents of a chunk, given the corpus-wide counts of its pairs."""
+    aligner.cache_clear()  # nothing is aligned from here on
     r = chunk.iloc[0]
     place, of = known["place"].to_numpy(np.int64), {"best": np.zeros(len(r["pairs"]), np.int64), "total": np.zeros(len(r["pairs"]), np.int64)}
     for name, value in of.items():
         value[place] = known[name].to_numpy(np.int64)
-    at, sizes, part, times, doc_parts = (np.asarray(r[c], np.int64) for c in ("pair_at", "part_pairs", "part", "times", "doc_parts"))
+    at, sizes, part, times, doc_parts = (unpacked(r[c]) for c in ("pair_at", "part_pairs", "part", "times", "doc_parts"))
     by_part, by_doc, sums = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(doc_parts)), doc_parts), {}
     for name, value in of.items():
         of_part, of_doc = np.zeros(len(sizes), np.int64), np.zeros(len(doc_parts), np.int64)

@@ -100,3 +100,25 @@ def test_slices_expand_links():
     assert groups == [(0, 3, 0, 3), (3, 4, 3, 4)]
     assert links == [1, 5, 1, 6, 2, 6, 2, 7, 3, 7, 4, 8]
     assert alignment.sliced([1, 2], [3], [1, 1], [2]) == ([(0, 2, 0, 1)], [1, 3, 2, 3])
+
+
+def test_what_is_held_of_parts_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(alignment, "MOST_BYTES", 20_000, raising=False)
+    own = alignment.Aligner(A, B)
+    size = lambda held: sum(len(p) + len(f or b"") for p, f in held.items())
+    for k in range(8):
+        parts = [f"{k}x{i}" + "語日本" * 30 for i in range(5)]
+        # the first are asked for again and again
+        assert own.learn(["again", *parts]) == alignment.Aligner(A, B).learn(["again", *parts])
+        assert size(own.late) <= 20_000 and size(own.before) <= 40_000
+    own.learn([f"{i}" + "語日本" * 300 for i in range(20)])
+    assert size(own.late) == size(own.before) == 0
+
+
+def test_numbers_of_a_chunk_are_bytes_to_the_jvm():
+    row = alignment._chunk(7, [1, None, 3], ["a word and a word", None, "and 日本語"], alignment.Aligner(A, B)).iloc[0]
+    assert all(isinstance(row[c], bytes) for c in ("doc_parts", "part", "times", "part_pairs", "pair_at"))
+    assert alignment.unpacked(row["doc_parts"]).tolist() == [3, 0, 2] and alignment.unpacked(row["times"]).tolist() == [2, 2, 1, 1, 1]
+    for numbers in ([], [0], [3, 255], [256, 1], [65_535], [65_536, 0], [2**32 - 1], [2**32]):
+        assert alignment.unpacked(alignment.packed(numbers)).tolist() == numbers
+        assert len(alignment.packed(numbers)) == 1 + len(numbers) * (1 if max(numbers, default=0) < 256 else 2 if max(numbers) < 65_536 else 4 if max(numbers) < 2**32 else 8)
