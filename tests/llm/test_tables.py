@@ -103,6 +103,44 @@ def test_html_template_blocks_inside_main(spark, land):
     assert {r.page_id: r.text for r in html_extract.extract(df, land).collect()} == {i: "\n\n".join(texts[k].format(i) for k in turns[i % 3]) for i in range(9)}
 
 
+def test_html_order_of_a_class_in_many_pieces(spark, land):
+    # what moves about cuts the fixed lines into pieces; they keep their order, so a line out of its place is no template
+    rng, fixed, moving = np.random.default_rng(7), [f"Fixed line {i}" for i in range(70)], [f"Goes about {i}" for i in range(140)]
+    rows, want = [], {}
+    for page in range(30):
+        lines = fixed[:5] + fixed[6:61] + fixed[5:6] + fixed[61:] if page == 29 else fixed
+        at = np.sort(rng.integers(0, 71, 140))
+        about = [moving[i] for i in rng.permutation(140)]
+        mixed = [x for i in range(71) for x in [*(about[k] for k in np.flatnonzero(at == i)), *lines[i : i + 1]]]
+        rows.append((page, f"http://one.org/{page}", "<html><body>" + "".join(f"<div>{x}</div>" for x in mixed) + "</body></html>"))
+        want[page] = "\n\n".join(x for x in mixed if x in moving or page == 29 and x == fixed[5])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_extract.extract(df, land).collect()} == want
+
+
+@pytest.mark.parametrize("cells", [html_extract.CELLS, 700, 50])
+def test_html_pairs_of_pieces_against_brute_force(spark, cells):
+    rng, kinds = np.random.default_rng(8), [3] * 90 + [5, 4, 5, 6, 4, 4]
+    cut = [(h, [*range(96), 1000], [*range(96), 0], [0] * 96 + [1], kinds, [9] * 96, [9] * 96) for h in ("a", "b")]
+    rows = []
+    for page in range(22):
+        order = np.argsort(np.arange(96) + rng.normal(0, 9, 96))
+        # some twice in turns, some once more, some not at all
+        twice = [*order, *(c for c in order if c >= 90)] if page % 3 else [*order, *rng.permutation(96)[: page * 4]]
+        rows.append(("ab"[page > 8], page * 31, [int(c) for c in twice if c != page] + [1000, 5000]))
+    want = set()
+    for host in "ab":
+        counts = Counter()
+        for h, _, found in rows:
+            at = {c: [i for i, t in enumerate(found) if t == c] for c in range(96)}
+            for one, x in at.items() if h == host else ():
+                counts.update((one, two) for two, y in at.items() if kinds[one] == kinds[two] and one != two and x and len(x) == len(y) and all(map(int.__lt__, x, y)) and all(map(int.__lt__, y, x[1:])))
+        own = html_extract.members(kinds)
+        want |= {(host, kinds[o], own[kinds[o]].index(o), own[kinds[o]].index(t)) for (o, t), n in counts.items() if n >= html_extract.STEADY * 9}
+    got = html_extract._pairs(spark.createDataFrame(rows, "host string, page long, tokens array<long>").repartition(4), spark.createDataFrame(cut, html_extract.PIECES), cells).collect()
+    assert {(r.host, r.of, r.one, r.word * 64 + b) for r in got for b in range(64) if r.mask >> b & 1} == want and any(o > 64 and t > 64 for _, _, o, t in want)
+
+
 def test_html_pages_of_the_folder(spark, sf_dir):
     import html
     import re
